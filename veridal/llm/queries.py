@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridal.llm import exact_dedup, packing, token_files
+from veridal.llm import exact_dedup, mixing, packing, quality_rules, token_files, url_filter
 from veridal.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,24 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"))
+
+
+#: Fixed values: (verdict, host, path) of the rules.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -24,9 +42,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op5_token_files, op6_exact_dedup)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_labelled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_best_fit_packing, op3_mix_sources, op4_url_filter, op5_token_files, op6_exact_dedup, op7_quality_rules,
+)}
 
 ORACLES: dict[str, str] = {
+    "op3_mix_sources": mixing.oracle_sql(),
     "op6_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
