@@ -3,8 +3,8 @@
 Words and word pairs are hashed to ``BUCKETS`` buckets. Two multinomials are
 counted over whole tables: the raw corpus (every document) and the trusted target
 (documents that a label marks good and not toxic). A document's ratio is the mean
-of ``log(target / raw)`` over its words and pairs; one at or above the threshold
-is kept. The two tables of counts have ``BUCKETS`` rows whatever the corpus, so
+of ``log(target / raw)`` over its words and pairs, with ``PRIOR`` counts at the
+corpus's own proportions; one at or above the threshold is kept. The two tables of counts have ``BUCKETS`` rows whatever the corpus, so
 each document is scored where it is read; only counts are shuffled.
 
 The mean needs no fitting and is the same for every copy of a text. Windows of
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from veridal.llm.store import cut, words
 
 BUCKETS = 1 << 15
-THRESHOLD = -0.35
-SMOOTHING = 0.5
+THRESHOLD = -0.08
+PRIOR = 4.0
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
@@ -98,11 +98,9 @@ def ratio_table(docs: DataFrame, text: str, trusted: Column) -> DataFrame:
     full = every.join(F.broadcast(cut(sums)), "bucket", "left").na.fill(0, ["raw", "target"])  # BUCKETS rows
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "raw", "target")))
     row = full.agg(ordered.alias("all"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    smooth = SMOOTHING * BUCKETS
-    log_ratio = F.transform(
-        "all",
-        lambda x: F.log((x["target"] + SMOOTHING) / (F.col("target") + smooth)) - F.log((x["raw"] + SMOOTHING) / (F.col("raw") + smooth)),
-    )
+    # Shrunk towards 0 where a bucket has few counts, which a document outside the target would pay for.
+    share = F.col("target") / F.col("raw")
+    log_ratio = F.transform("all", lambda x: F.log((x["target"] + PRIOR) / (x["raw"] * share + PRIOR)))
     none = F.array_repeat(F.lit(0.0), BUCKETS)
     return cut(row.select(F.when(F.col("target") > 0, log_ratio).otherwise(none).alias("ratios_")))
 
