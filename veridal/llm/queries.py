@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridal.llm import exact_dedup, mixing, packing, quality_rules, token_files, url_filter
+from veridal.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, token_files, url_filter
 from veridal.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_mix_sources, op4_url_filter, op5_token_files, op6_exact_dedup, op7_quality_rules,
+    op1_ngram_jaccard_join, op2_best_fit_packing, op3_mix_sources, op4_url_filter, op5_token_files, op6_exact_dedup, op7_quality_rules,
 )}
 
 ORACLES: dict[str, str] = {
