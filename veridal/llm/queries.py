@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridal.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, token_files, url_filter
+from veridal.llm import exact_dedup, jaccard_join, line_crf, mixing, packing, quality_rules, token_files, url_filter
 from veridal.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_labelled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_mix_sources, op4_url_filter, op5_token_files, op6_exact_dedup, op7_quality_rules,
+    op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {
