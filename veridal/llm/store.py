@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,20 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+def sum_blocks(parts: DataFrame, kind: str) -> DataFrame:
+    """Sum arrays held as ``(block int, counts binary)`` by block; ``kind`` is their numpy type.
+
+    A task adds up what it reads before the shuffle, and again after it.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.astype(kind).tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
+
+    schema = "block int, counts binary"
+    return arrow_map(arrow_map(parts, add, schema).repartition("block"), add, schema)
