@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridal.llm import exact_dedup, hmm_lm, jaccard_join, line_crf, mixing, packing, quality_rules, token_files, url_filter
+from veridal.llm import exact_dedup, hmm_lm, jaccard_join, line_crf, mixing, packing, private_data, quality_rules, token_files, url_filter
 from veridal.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,13 +54,17 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_mix_sources, op4_url_filter, op5_token_files, op6_exact_dedup, op7_quality_rules,
-    op8_lm_scoring, op10_quality_classifier,
+    op8_lm_scoring, op9_private_data, op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {
