@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+Every stage but the last returns the columns of ``documents``; each is written as
+Parquet and read again before the next.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridal.llm import exact_dedup, packing
+from veridal.llm import exact_dedup, jaccard_join, line_crf, mixing, packing
+from veridal.llm.store import new_path, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
+    return line_crf.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similar shingle sets, the document with the least id."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by probabilities that are raked to the target marginals."""
+    return mixing.sample_mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences."""
     return packing.best_fit_packing(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", exact_dedup_stage),
-    ("best_fit_packing", packing_stage),
+    ("quality_classifier", quality_classifier),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
 ]
 
+#: The classifier and the packing are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veridal.llm.store import new_path
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; stages but the last go to the shared folder."""
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         out = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)

@@ -229,11 +229,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: st
     """``docs`` without the rows that the classifier rejects; no shuffle of texts."""
     crf = train(docs, labels, text, id_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    schema = packed.select("row").schema.simpleString().removeprefix("struct<").removesuffix(">").replace("row:", "row ", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in in_slices(batches, "text"):
             keep = score_texts(some.column("text").cast(pa.binary()).to_pylist(), crf) >= threshold
             yield some.select(["row"]).filter(pa.array(keep))
 
-    return arrow_map(packed, run, schema).select("row.*")
+    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
