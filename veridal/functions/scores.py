@@ -50,7 +50,8 @@ def is_unit(a: Column, tolerance: float = 1e-3) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """Null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def weighted_confidence(parts: list[Column], weights: tuple[float, ...] = (0.4, 0.3, 0.3)) -> Column:
@@ -60,7 +61,8 @@ def weighted_confidence(parts: list[Column], weights: tuple[float, ...] = (0.4,
 
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """The server's wish within 0..30 s, else half a second doubled each time, 8 s at most."""
-    wish = F.least(F.greatest(retry_after.try_cast("double"), F.lit(0.0)), F.lit(30.0))
+    asked = retry_after.try_cast("double")
+    wish = F.when(asked.isNotNull(), F.least(F.greatest(asked, F.lit(0.0)), F.lit(30.0)))
     return F.coalesce(wish, F.least(F.lit(8.0), F.pow(F.lit(2.0), attempt) * 0.5))
 
 
