@@ -125,5 +125,6 @@ def judge(docs: DataFrame, trusted: Column, text: str = "text", id_col: str = "d
 def judge_labelled(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``judge`` with the documents that ``labels`` marks good and not toxic as trusted target."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left")
+    # Labels grow with the documents, so they are never broadcast, however few they are.
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
     return judge(marked.withColumn("is_good", F.col("good_id").isNotNull()), F.col("is_good"), threshold=threshold)
