@@ -2,10 +2,11 @@
 
 The byte-level pre-tokenizer never lets a token reach over a boundary between
 white space and what follows it, apart from one leading space. A text can so be
-cut into pieces (an optional space and a run of other characters, or a run of
-white space) whose ids, put end to end, are the ids of the text. The library
-encodes every distinct piece once a worker; repeated pieces come from a table of
-bounded size. Texts that hold a special token's string go to the library whole.
+cut into pieces (a space, if there is one, and a run of other characters; or
+white space) whose ids, put end to end, are the ids of the text. Pieces are cut
+and named by 128-bit hashes with array operations; the library encodes a piece
+when its name is not in a table of fixed size. Texts that hold a special token's
+string or white space beyond ASCII go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,71 +16,172 @@ import re
 
 import numpy as np
 
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+from veridal.llm.shingles import mix
+
+_ODD_SPACE = re.compile("[\x85\xa0  -     　]")
+_GROUP = 1 << 20
+_SLOT_BITS = 21
+_WIDTH = 10
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_AFTER_LETTER = ~_LETTER & ~_GAP & (np.arange(256) < 128)
+_BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of both bases and of their inverses."""
+    global _powers
+    if not _powers or len(_powers[0][0]) < n:
+        size = max(n, _GROUP + (1 << 16))
+        rows = [(b, pow(b, -1, 1 << 64)) for b in _BASES]
+        _powers = [tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in pair) for pair in rows]
+    return _powers
+
+
+def piece_starts(a: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where pieces start in bytes ``a`` of texts put end to end (none is empty).
+
+    A run of white space is one piece; if a word follows, the run's last character
+    is cut off, and goes with the word if it is a space. Within a word a piece
+    starts where an ASCII letter is followed by another kind of ASCII character,
+    as runs of letters are tokens of their own.
+    """
+    gap = _GAP[a]
+    first = np.zeros(len(a), bool)
+    first[text_starts] = True
+    before = np.concatenate([[False], gap[:-1]]) & ~first
+    word = ~gap & (before | first)
+    start = gap & ~before
+    alone = word & ~(before & np.concatenate([[False], a[:-1] == 0x20]))
+    last = np.concatenate([word[1:] & ~first[1:], [False]]) & gap
+    inner = np.concatenate([[False], _LETTER[a[:-1]]]) & _AFTER_LETTER[a]
+    return np.flatnonzero(start | alone | last | inner)
 
 
 class TextEncoder:
-    """Encodes texts to arrays of unsigned 32-bit ids.
+    """Encodes texts to ids, packed as ``width`` each.
 
-    ``most_pieces`` bounds the table of known pieces; when it is full, only the
-    pieces of the batch at hand stay.
+    The table has ``2 ** slot_bits`` slots; a piece's name fixes its slot, and the
+    latest piece of a slot stays. Pieces of more than ``_WIDTH`` ids are not kept.
     """
 
-    def __init__(self, path: str, most_pieces: int = 600_000):
+    def __init__(self, path: str, slot_bits: int = _SLOT_BITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.model._resize_cache(0)  # the table below takes its place
+        self.library.model._resize_cache(0)  # the table takes its place
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.most_pieces = most_pieces
-        self.known: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = pieces.difference(self.known)
-        if len(self.known) + len(new) > self.most_pieces:
-            self.known = {p: self.known[p] for p in pieces.difference(new)}
-        plain, blank = [], []
-        for p in new:
-            (blank if p.isspace() else plain).append(p)
-        if len(self.newline) != 1:
-            plain, blank = [], blank + plain
-        self.known.update(zip(blank, self._whole(blank), strict=True))
-        # A line break before a piece is always a token of its own: one call for many pieces.
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, raw in zip(groups, self._whole(["\n".join(g) + "\n" for g in groups]), strict=True):
-            ends = np.flatnonzero(np.frombuffer(raw, self.width) == self.newline[0]) * self.width.itemsize
-            starts = [0, *(ends[:-1] + self.width.itemsize).tolist()]
-            self.known.update((p, raw[a:b]) for p, a, b in zip(group, starts, ends.tolist(), strict=True))
+        self.mask = np.uint64((1 << slot_bits) - 1)
+        self.names = np.zeros((2, 1 << slot_bits), np.uint64)
+        self.lengths = np.zeros(1 << slot_bits, np.uint8)
+        self.kept = np.zeros((1 << slot_bits, _WIDTH), self.width)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _library_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces; those that are words in one call for many, as a line break before one is a token of its own."""
+        out: list[np.ndarray] = [np.zeros(0, self.width)] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if len(self.newline) == 1 and not p.isspace()]
+        others = sorted(set(range(len(pieces))) - set(words))
+        for i, ids in zip(others, self._whole([pieces[i] for i in others]), strict=True):
+            out[i] = ids
+        groups = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for group, ids in zip(groups, self._whole(["\n".join([pieces[i] for i in g] + [""]) for g in groups]), strict=True):
+            ends = np.flatnonzero(ids == self.newline[0])
+            for i, a, b in zip(group, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                out[i] = ids[a:b]
+        return out
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of texts that are not empty."""
+        raw = b"".join(texts)
+        a = np.frombuffer(raw, np.uint8)
+        bounds = np.cumsum([0, *map(len, texts)])
+        starts = piece_starts(a, bounds[:-1])
+        ends = np.append(starts[1:], len(a))
+        names = []
+        for byte, (up, down) in zip(_BYTE, _powers_to(len(a) + 1), strict=True):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[a] * up[: len(a)], dtype=np.uint64)])
+            names.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        slot = (names[0] & self.mask).astype(np.int64)
+        hit = (self.names[0][slot] == names[0]) & (self.names[1][slot] == names[1])
+        ids, lengths = self.kept[slot], self.lengths[slot].astype(np.int64)
+        miss = np.flatnonzero(~hit)
+        long: dict[int, np.ndarray] = {}
+        if len(miss):
+            _, one, which = np.unique(names[0][miss] ^ (names[1][miss] << np.uint64(1)), return_index=True, return_inverse=True)
+            at = miss[one]
+            found = self._library_ids([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            sizes = np.array([len(f) for f in found])
+            rows = np.zeros((len(found), _WIDTH), self.width)
+            short = sizes <= _WIDTH
+            if short.any():
+                rows[short[:, None] & (np.arange(_WIDTH) < sizes[:, None])] = np.concatenate([f for f, s in zip(found, short.tolist(), strict=True) if s])
+            put, into = at[short], slot[at[short]]
+            self.names[0][into], self.names[1][into], self.lengths[into], self.kept[into] = names[0][put], names[1][put], sizes[short], rows[short]
+            ids[miss], lengths[miss] = rows[which], np.where(short, sizes, 0)[which]
+            long = {int(i): found[w] for i, w in zip(miss.tolist(), which.tolist(), strict=True) if not short[w]}
+        flat = ids[np.arange(_WIDTH) < lengths[:, None]]
+        place = np.concatenate([[0], np.cumsum(lengths)])
+        if long:
+            where = sorted(long)
+            parts, done = [], 0
+            for i in where:
+                parts += [flat[done : place[i]], long[i]]
+                done = place[i]
+                lengths[i] = len(long[i])
+            flat = np.concatenate([*parts, flat[done:]])
+            place = np.concatenate([[0], np.cumsum(lengths)])
+        cut = place[np.searchsorted(starts, bounds)]
+        return [flat[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text (``self.width`` each); null counts as empty."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 512):
-            some = [t or "" for t in texts[at : at + 512]]
-            odd = {i for i, t in enumerate(some) if any(s in t for s in self.special)}
-            pieces = [[] if i in odd else _PIECE.findall(t) for i, t in enumerate(some)]
-            self._learn(set().union(*pieces))
-            get = self.known.__getitem__
-            rows = [b"".join(map(get, p)) for p in pieces]
-            for i in odd:
-                rows[i] = self._whole([some[i]])[0]
-            out += rows
+        """Packed ids of each text; null counts as empty."""
+        out: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), packed in zip(waiting, self._group([t for _, t in waiting]) if waiting else [], strict=True):
+                out[i] += packed
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special) or not text.isascii() and _ODD_SPACE.search(text):
+                out[i] = self._whole([text])[0].tobytes()
+                continue
+            for part in _parts(text.encode("utf-8", "surrogatepass")):
+                waiting.append((i, part))
+                size += len(part)
+                if size >= _GROUP:
+                    flush()
+                    waiting, size = [], 0
+        flush()
         return out
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.width).astype("<u4")
 
 
+def _parts(raw: bytes) -> list[bytes]:
+    """A long text in parts of about ``_GROUP`` bytes, cut before a single space between words."""
+    out, at = [], 0
+    while len(raw) - at > 2 * _GROUP and (m := _BETWEEN.search(raw, at + _GROUP)):
+        out.append(raw[at : m.start() + 1])
+        at = m.start() + 1
+    return [*out, raw[at:]]
+
+
+_BETWEEN = re.compile(rb"[^\t-\r ] [^\t-\r ]")
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
