@@ -20,7 +20,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def small():
-    return TextEncoder(default_path(), most_pieces=64)
+    return TextEncoder(default_path(), slot_bits=4)
 
 
 def ids_of(library, text):

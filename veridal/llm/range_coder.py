@@ -57,7 +57,8 @@ class _Model:
             self.single.append(p)
             mixed += w * p[part]
         ends = np.cumsum(mixed, axis=1)
-        self.flag_freq, self.flag_end, self.flag_total = mixed.ravel().astype(np.uint64), ends, ends[:, 2].astype(np.uint64)
+        self.flag_freq, self.flag_total = mixed.ravel().astype(np.uint64), ends[:, 2].astype(np.uint64)
+        self.flag_first, self.flag_second = ends[:, 0].copy(), ends[:, 1].copy()
         self.flag_start = (ends - mixed).ravel().astype(np.uint64)
         self.end0 = np.cumsum(self.count0)
 
@@ -65,8 +66,8 @@ class _Model:
         """Predictions for the first ``n`` lanes."""
         self.c1 = self.last[:n]
         self.c2 = (self.before[:n] * 40503 ^ self.last[:n] * 2654435761 >> 7) & ((1 << _HASH_BITS) - 1)
-        self.p1, self.p2 = self.next1[self.c1], self.next2[self.c2]
-        self.s1, self.s2 = self.sure1[self.c1], self.sure2[self.c2]
+        self.p1, self.p2 = self.next1.take(self.c1), self.next2.take(self.c2)
+        self.s1, self.s2 = self.sure1.take(self.c1), self.sure2.take(self.c2)
         self.joint = ((self.s2 * 8 + self.s1) * 2 + (self.p1 == self.p2)) * 9 + self.history[:n]
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
@@ -118,13 +119,13 @@ class _Writer:
         self.lanes: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
-    def put(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | np.uint64) -> None:
+    def put(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, total: np.ndarray | np.uint64) -> None:
         r = self.range[at] // total
         low, rng = self.low[at] + r * start, r * freq
         while len(go := np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))):
             l, g = low[go], rng[go]
             g = np.where((l ^ (l + g)) < _TOP, g, (~l + np.uint64(1)) & (_BOT - np.uint64(1)))
-            self.lanes.append(at[go])
+            self.lanes.append(go if isinstance(at, slice) else at[go])
             self.words.append((l >> np.uint64(48)).astype(np.uint16))
             low[go], rng[go] = l << _U16, g << _U16
         self.low[at], self.range[at] = low, rng
@@ -152,11 +153,11 @@ class _Reader:
         for k in range(4):
             self.code = self.code << _U16 | words[k * lanes : (k + 1) * lanes].astype(np.uint64)
 
-    def value(self, at: np.ndarray, total: np.ndarray | np.uint64) -> np.ndarray:
+    def value(self, at: np.ndarray | slice, total: np.ndarray | np.uint64) -> np.ndarray:
         self.r = self.range[at] // total
         return np.minimum((self.code[at] - self.low[at]) // self.r, total - np.uint64(1)).astype(np.int64)
 
-    def took(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+    def took(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
         low, rng, code = self.low[at] + self.r * start, self.r * freq, self.code[at]
         while len(go := np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))):
             l, g = low[go], rng[go]
@@ -177,11 +178,11 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         model.predict(n)
         flag = model.outcome(now)
         k = model.joint * 3 + flag
-        out.put(out.all[:n], model.flag_start[k], model.flag_freq[k], model.flag_total[model.joint])
+        out.put(slice(n), model.flag_start.take(k), model.flag_freq.take(k), model.flag_total.take(model.joint))
         miss = np.flatnonzero(flag == 2)
         literal = now[miss]
-        freq = model.count0[literal]
-        out.put(miss, (model.end0[literal] - freq).astype(np.uint64), freq.astype(np.uint64), np.uint64(model.end0[-1]))
+        freq = model.count0.take(literal)
+        out.put(miss, (model.end0.take(literal) - freq).astype(np.uint64), freq.astype(np.uint64), np.uint64(model.end0[-1]))
         model.learn(now, flag, literal)
     words = out.stream().astype("<u2").tobytes()
     plain = np.ascontiguousarray(ids, "<u4").tobytes()
@@ -194,19 +195,19 @@ def decode_block(block: bytes) -> np.ndarray:
     if magic != MAGIC or zlib.crc32(raw := block[_HEAD.size :]) != crc_words:
         raise ValueError("damaged block")
     source, model = _Reader(lanes, np.frombuffer(raw, "<u2")), _Model(vocabulary, lanes)
-    grid, every = np.zeros((steps, lanes), np.int64), np.arange(lanes)
+    grid = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         n = lanes if (lanes - 1) * steps + t < count else lanes - 1
         model.predict(n)
-        value = source.value(every[:n], model.flag_total[model.joint])
-        ends = model.flag_end[model.joint]
-        flag = (value >= ends[:, 0]).astype(np.int64) + (value >= ends[:, 1])
+        value = source.value(slice(n), model.flag_total.take(model.joint))
+        flag = (value >= model.flag_first.take(model.joint)).astype(np.int64)
+        flag += value >= model.flag_second.take(model.joint)
         k = model.joint * 3 + flag
-        source.took(every[:n], model.flag_start[k], model.flag_freq[k])
+        source.took(slice(n), model.flag_start.take(k), model.flag_freq.take(k))
         miss = np.flatnonzero(flag == 2)
         literal = np.searchsorted(model.end0, source.value(miss, np.uint64(model.end0[-1])), side="right")
-        freq = model.count0[literal]
-        source.took(miss, (model.end0[literal] - freq).astype(np.uint64), freq.astype(np.uint64))
+        freq = model.count0.take(literal)
+        source.took(miss, (model.end0.take(literal) - freq).astype(np.uint64), freq.astype(np.uint64))
         now = np.where(flag == 0, model.p2, model.p1)
         now[miss] = literal
         grid[t, :n] = now
