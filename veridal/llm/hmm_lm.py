@@ -281,7 +281,7 @@ def train(encoded: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Hmm:
             blocks = [total[i : i + _BLOCK].tobytes() for i in range(0, size, _BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
-        sums = sum_blocks(arrow_map(encoded.select("symbols"), run, "block int, counts binary"), "<f8")
+        sums = sum_blocks(arrow_map(encoded.select("symbols"), run, "block int, counts binary"), "<f8", "<f8")
         total = np.zeros(size)
         for r in sums.toLocalIterator():
             total[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], "<f8")

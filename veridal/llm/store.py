@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
@@ -48,6 +49,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one operator's call: compact, in the shared folder, and deleted on leaving.
+
+    For intermediate results that nothing reads once the call returns.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables = spark, new_path(spark, "scratch"), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back; the shuffle files behind it may go at once.
+
+        Spark drops shuffle files when the driver's collection of garbage finds
+        nothing that refers to them, so that is asked for here.
+        """
+        self.tables += 1
+        out = f"{self.path}/{self.tables}"
+        df.write.parquet(out)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(out)
+
+    def __exit__(self, *_: object) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -86,18 +117,18 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def sum_blocks(parts: DataFrame, kind: str) -> DataFrame:
-    """Sum arrays held as ``(block int, counts binary)`` by block; ``kind`` is their numpy type.
+def sum_blocks(parts: DataFrame, kind: str, total: str) -> DataFrame:
+    """Sum arrays held as ``(block int, counts binary)`` by block, from numpy type ``kind`` to ``total``.
 
-    A task adds up what it reads before the shuffle, and again after it.
+    Every task that makes such parts makes each block once, so a part is as large
+    as the array, whatever the task has read.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.astype(kind).tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, kind).astype(total)
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
 
-    schema = "block int, counts binary"
-    return arrow_map(arrow_map(parts, add, schema).repartition("block"), add, schema)
+    return arrow_map(parts.repartition("block"), add, "block int, counts binary")
