@@ -68,6 +68,21 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 )}
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words
+        ), shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM reach JOIN edges ON a = doc_id WHERE root < b)
+        SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(root) AS component_id FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+    """,
     "op3_mix_sources": mixing.oracle_sql(),
     "op6_exact_dedup": """
         WITH d AS (
