@@ -9,9 +9,13 @@ from veridal.llm.store import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Joins every larger neighbour of a node to the least of the node and its neighbours."""
+    """Joins every larger neighbour of a node to the least of the node and its neighbours.
+
+    The least are written first, so that both sides of the join are plain shuffles
+    and Spark can split the links of a node that has a great many.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 

@@ -14,10 +14,11 @@ Sets up to 1/0.8 times the boundary are in both, so that no pair is missed. The
 boundary minimises the keys to shuffle plus the lists to scan, from the numbers
 of sets by size and the mean list length that the sketch gives.
 
-Equal sets are one node. In every list, each set is first compared with the
-list's least set alone; the links that hold make components. Then, per list,
-only pairs of sets in different components are left, and every one that the
-position in the lists does not exclude is compared. So copies are never expanded
+Equal sets are one node. Each set is first compared with the least sets
+of its lists, ``PIVOTS`` of them at most; the links that hold make components. Then, per list,
+only pairs of sets in different components are left, and every one is compared
+that neither the position in the lists nor ``PARITY`` words of parity bits, which
+bound the sets' difference from below, exclude. So copies are never expanded
 into pairs, and no link between different components is lost. Lists of frequent
 keys are cut by the set's hash in the first step; the second step makes up for it.
 
@@ -40,13 +41,16 @@ from pyspark.sql import functions as F
 
 from veridal.llm.components import components
 from veridal.llm.shingles import mix, set_id, shingle_sets
-from veridal.llm.store import arrow_map, cut, in_slices
+from veridal.llm.store import Scratch, arrow_map, cut, in_slices, sum_blocks
 
 PERCENT = 80
-SKETCH_BITS = 20
-BLOCK = 1 << 14
+SKETCH_BITS = 22
+BLOCK = 1 << 16
 BLOOM_BITS = 24
+PARITY = 8
 SALT_ROWS = 50_000
+PIVOTS = 4
+LEVELS = 4
 _LIGHT = np.uint64(0xD1B54A32D192ED03)
 _SEEN_AT_MOST = 200_000
 
@@ -65,10 +69,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield some, shingle_sets(some.column("text").cast(pa.binary()).to_pylist())
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """``64 * PARITY`` bits: each tells whether an odd number of tokens fall on it.
+
+    Two sets' bits differ in at most as many places as the sets differ in tokens.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Rows ``(id, sid, n)`` of documents, and rows ``(block, counts)`` of the sketch."""
-    kind = docs.dtypes[0][1]
-    schema = f"id {kind}, sid long, n long, block int, counts binary"
+    """Rows ``(key, id, sid, n, b0, …)`` of documents, and rows ``(block, counts)`` of the sketch."""
+    kind = dict(docs.dtypes)["id"]
+    bits = [f"b{k}" for k in range(PARITY)]
+    names = ["key", "id", "sid", "n", *bits, "block", "counts"]
+    schema = f"key long, id {kind}, sid long, n long, {', '.join(f'{b} long' for b in bits)}, block int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -76,44 +91,42 @@ def _first_pass(docs: DataFrame) -> DataFrame:
         for some, sets in _sets(batches):
             id_type = some.schema.field("id").type
             np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            nothing = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+            parity = np.stack([parity_bits(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [some.column("id"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *nothing],
-                names=["id", "sid", "n", "block", "counts"],
-            )
+                [
+                    some.column("key"), some.column("id"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    *(pa.array(parity[:, k]) for k in range(PARITY)), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+                ],
+                names=names,
+            )
         if id_type is not None:
-            blocks = [sketch[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, len(sketch), BLOCK)]
-            none = pa.nulls(len(blocks), id_type), pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64())
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["id", "sid", "n", "block", "counts"])
+            small = np.minimum(sketch, 255).astype(np.uint8)  # the order needs no more of one task
+            blocks = [small[i : i + BLOCK].tobytes() for i in range(0, len(small), BLOCK)]
+            longs = [pa.nulls(len(blocks), pa.int64()) for _ in range(3 + PARITY)]
+            yield pa.RecordBatch.from_arrays([longs[0], pa.nulls(len(blocks), id_type), *longs[1:], pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
     return arrow_map(docs, run, schema)
 
 
-def _sketch_of(first: DataFrame) -> np.ndarray:
-    """The whole sketch: as many numbers as it has buckets, whatever the input."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<i8")
-        yield pa.RecordBatch.from_pydict({"block": pa.array(sums.keys(), pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
+def _sketch_of(first: DataFrame) -> tuple[np.ndarray, float, float]:
+    """Levels of the whole sketch, and the sums of its counts and of their squares.
 
-    blocks = first.filter("block IS NOT NULL").select("block", "counts")
-    total = arrow_map(blocks.repartition("block"), add, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    A level is ``LEVELS`` times the logarithm of a count, in one byte; the driver
+    holds one block of counts at a time.
+    """
+    total = sum_blocks(first.filter("block IS NOT NULL").select("block", "counts"), "<u1", "<i8")
+    levels, n, second = np.zeros(1 << SKETCH_BITS, np.uint8), 0.0, 0.0
     for row in total.toLocalIterator():
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += np.frombuffer(row["counts"], "<i8")
-    return out
+        counts = np.frombuffer(row["counts"], "<i8").astype(np.float64)
+        levels[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.floor(LEVELS * np.log2(counts + 1))
+        n, second = n + counts.sum(), second + float((counts**2).sum())
+    return levels, n, second
 
 
-def list_length(sketch: np.ndarray) -> float:
+def list_length(n: float, second: float) -> float:
     """Mean length of the list of a token, over all occurrences, from the sketch's second moment."""
-    n, b = float(sketch.sum()), float(len(sketch))
-    if not n:
-        return 1.0
-    second = float((sketch.astype(np.float64) ** 2).sum())
-    return max(1.0, (second - n * n / b) / (1 - 1 / b) / n)
+    b = float(1 << SKETCH_BITS)
+    return max(1.0, (second - n * n / b) / (1 - 1 / b) / n) if n else 1.0
 
 
 def choose_boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) -> int:
@@ -154,11 +167,11 @@ def keys_of(tokens: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[
     return np.concatenate(keys), np.concatenate(most)
 
 
-def _entries(docs: DataFrame, levels: object, counts: object, boundary: int) -> DataFrame:
+def _entries(docs: DataFrame, levels: object, boundary: int) -> DataFrame:
     """``(token, salt, sid, n, bound)`` of every set's keys; a partition names a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, count = levels.value, counts.value
+        level = levels.value
         seen: set[int] = set()
         for _, sets in _sets(batches):
             token, sid, n, bound = [], [], [], []
@@ -175,8 +188,10 @@ def _entries(docs: DataFrame, levels: object, counts: object, boundary: int) ->
                 n.append(np.full(len(keys), len(s)))
             if token:
                 token_, sid_ = np.concatenate(token), np.concatenate(sid)
-                salts = count[(token_ >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // SALT_ROWS + 1
-                columns = (token_.view(np.int64), (sid_.view(np.uint64) % salts.astype(np.uint64)).astype(np.int32), sid_, np.concatenate(n).astype(np.int32), np.concatenate(bound).astype(np.int32))
+                rows = np.exp2(level[(token_ >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] / LEVELS)
+                salts = (rows / SALT_ROWS).astype(np.int64) + 1
+                salt = np.where(salts > 1, sid_.view(np.uint64) % salts.astype(np.uint64), -1).astype(np.int32)
+                columns = (token_.view(np.int64), salt, sid_, np.concatenate(n).astype(np.int32), np.concatenate(bound).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "sid", "n", "bound"])
 
     return arrow_map(docs, run, "token long, salt int, sid long, n int, bound int")
@@ -185,7 +200,8 @@ def _entries(docs: DataFrame, levels: object, counts: object, boundary: int) ->
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of two sets or more, from rows in the order of token, salt and set.
 
-    Every row gets its list's least set (``pivot``). A list may go on over any
+    A part of a list that was cut (``salt`` from 0; -1 for whole lists) is shown
+    whatever its length, as its other parts may have more. Every row gets its list's least set (``pivot``). A list may go on over any
     number of batches; only its first row is kept.
     """
     names = ["token", "salt", "sid", "n", "bound"]
@@ -205,11 +221,11 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(new_list)
         owner = at[np.cumsum(new_list) - 1]
         members = np.bincount(np.cumsum(new_list) - 1, weights=fresh).astype(np.int64)
-        show = fresh & (members[np.cumsum(new_list) - 1] > 1)
+        show = fresh & ((members[np.cumsum(new_list) - 1] > 1) | (c["salt"] >= 0))
         if carried and told:
             show |= fresh & (owner == 0)
             show[0] = False
-        told = bool(members[-1] > 1 or (carried and told and owner[-1] == 0))
+        told = bool(members[-1] > 1 or c["salt"][-1] >= 0 or (carried and told and owner[-1] == 0))
         first, last = [int(c[k][owner[-1]]) for k in names], int(c["sid"][-1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(x[show]) for x in (c["token"], c["sid"], c["n"], c["bound"], c["sid"][owner], c["n"][owner], c["bound"][owner])],
@@ -222,11 +238,17 @@ def _may_link(n1: str, bound1: str, n2: str, bound2: str) -> str:
     return f"least({bound1}, {bound2}) * {100 + PERCENT} >= ({n1} + {n2}) * {PERCENT}"
 
 
-def _bloom(spark: SparkSession, sids: DataFrame) -> object:
-    """A Bloom filter of fixed size, broadcast as bytes."""
-    place = F.pmod(F.col("sid"), F.lit(1 << BLOOM_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(sid, {1 << BLOOM_BITS}) % 32 as int))")
-    words = sids.select(F.shiftright(place, 5).cast("int").alias("w"), bit.alias("bit"))
+def _may_equal(n1: str, bits1: str, n2: str, bits2: str) -> str:
+    """SQL: the bits differ in no more places than the sets may differ in tokens."""
+    differ = " + ".join(f"bit_count({bits1}{k} ^ {bits2}{k})" for k in range(PARITY))
+    return f"({differ}) * {100 + PERCENT} <= ({n1} + {n2}) * {100 - PERCENT}"
+
+
+def _bloom(spark: SparkSession, keys: DataFrame) -> object:
+    """A Bloom filter of fixed size over ``key``, broadcast as an array."""
+    place = F.pmod(F.col("key"), F.lit(1 << BLOOM_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {1 << BLOOM_BITS}) % 32 as int))")
+    words = keys.select(F.shiftright(place, 5).cast("int").alias("w"), bit.alias("bit"))
     out = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
     rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # at most 2^19 rows
     for b in rows.toArrow().to_batches():
@@ -234,79 +256,90 @@ def _bloom(spark: SparkSession, sids: DataFrame) -> object:
     return spark.sparkContext.broadcast(out)
 
 
-def _candidate_sets(docs: DataFrame, sids: DataFrame) -> DataFrame:
-    """``(sid, tokens)`` of the sets named in ``sids``, once each."""
-    bloom = _bloom(docs.sparkSession, sids)
+def _candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(sid, tokens)`` of the documents whose ``key`` is among ``keys``.
+
+    The filter may let others through, which meet nobody later.
+    """
+    bloom = _bloom(docs.sparkSession, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
-        seen: set[int] = set()
-        for _, sets in _sets(batches):
-            names, found = [], []
-            for s in sets:
-                if not len(s):
-                    continue
-                name = set_id(s)
-                place = name % (1 << BLOOM_BITS)
-                if name not in seen and bits[place >> 5] >> (place & 31) & 1:
-                    if len(seen) < _SEEN_AT_MOST:
-                        seen.add(name)
-                    names.append(name)
-                    found.append(s.view(np.int64))
-            if names:
+        for some in in_slices(batches, "text"):
+            place = some.column("key").to_numpy() & ((1 << BLOOM_BITS) - 1)
+            chosen = some.filter(pa.array((bits[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+            found = [s for s in shingle_sets(chosen.column("text").cast(pa.binary()).to_pylist()) if len(s)]
+            if found:
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["sid", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), tokens], names=["sid", "tokens"])
 
-    every = arrow_map(docs, run, "sid long, tokens array<bigint>")
-    return every.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+    return arrow_map(docs, run, "sid long, tokens array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets' similarity is high enough."""
+def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` of set names whose sets' similarity is high enough.
+
+    Only one document of each set in a pair leaves the pass over the texts.
+    ``named`` has ``sid`` and the ``key`` of that document.
+    """
+    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    sets = scratch.keep(_candidate_sets(docs, named.join(sids, "sid", "left_semi")))
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     common = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("total"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return common.filter(f"common * 100 >= (total - common) * {PERCENT}").select("a", "b")
+    return scratch.keep(common.filter(f"common * 100 >= (total - common) * {PERCENT}").select("a", "b").distinct())
 
 
-def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``."""
+def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between sets that make the same components as all links do."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    first = cut(_first_pass(docs))
-    sketch = _sketch_of(first)
-    table = first.filter("block IS NULL").select("id", "sid", "n")
-    sizes = {r["n"]: r["c"] for r in table.filter("n BETWEEN 1 AND 400").groupBy("n").agg(F.countDistinct("sid").alias("c")).collect()}
-    boundary = choose_boundary(sizes, list_length(sketch))
-    levels = spark.sparkContext.broadcast(np.floor(2 * np.log2(sketch + 1)).astype(np.uint8))
-    counts = spark.sparkContext.broadcast(sketch)
-    entries = _entries(docs, levels, counts, boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
-    lists = cut(arrow_map(entries, _scan_lists, "token long, sid long, n long, bound long, pivot long, pivot_n long, pivot_bound long"))
+    levels, n, second = _sketch_of(first)
+    sizes = {r["n"]: r["c"] for r in first.filter("n BETWEEN 1 AND 400").groupBy("n").agg(F.countDistinct("sid").alias("c")).collect()}
+    boundary = choose_boundary(sizes, list_length(n, second))
+    entries = _entries(docs, spark.sparkContext.broadcast(levels), boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
+    lists = scratch.keep(arrow_map(entries, _scan_lists, "token long, sid long, n long, bound long, pivot long, pivot_n long, pivot_bound long"))
+    bits = [f"b{k}" for k in range(PARITY)]
+    named = scratch.keep(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"), *[F.min(b).alias(b) for b in bits]))
+
+    def of(side: str) -> DataFrame:
+        return named.select(F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *bits)])
 
     stars = lists.filter("sid != pivot").filter(_may_link("n", "bound", "pivot_n", "pivot_bound"))
-    stars = cut(stars.select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
-    sets = cut(_candidate_sets(docs, lists.select("sid").distinct()))
-    links = cut(_verified(stars, sets))
+    pivots = F.slice(F.array_sort(F.collect_set("pivot")), 1, PIVOTS)  # of no more than the set's keys
+    stars = scratch.keep(stars.groupBy(F.col("sid").alias("a")).agg(pivots.alias("b")).select("a", F.explode("b").alias("b")))
+    near = stars.join(of("a"), "a").join(of("b"), "b").filter(_may_equal("a_n", "a_b", "b_n", "b_b"))
+    links = _verified(docs, scratch.keep(near.select("a", "b")), named, scratch)
     roots = components(links)
 
     # What is left: pairs of a list's sets that are in different components.
     known = lists.select("token", "sid", "n", "bound").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    known = cut(known.withColumn("root", F.coalesce("root", "sid")))
+    known = scratch.keep(known.withColumn("root", F.coalesce("root", "sid")))
     parts = known.groupBy("token", "root").agg(F.min("n").alias("n"), F.max("bound").alias("bound"))
     several = parts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    parts = cut(parts.join(several, "token", "left_semi"))
+    parts = scratch.keep(parts.join(several, "token", "left_semi"))
     x, y = (parts.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("root", "n", "bound"))) for k in "12")
     open_pairs = x.join(y, "token").filter(F.col("root1") < F.col("root2")).filter(_may_link("n1", "bound1", "n2", "bound2")).select("token", "root1", "root2")
-    m, w = (known.select("token", F.col("root").alias(f"root{k}"), F.col("sid").alias(s), F.col("n").alias(f"n{k}"), F.col("bound").alias(f"bound{k}")) for k, s in (("1", "a"), ("2", "b")))
-    rest = open_pairs.join(m, ["token", "root1"]).join(w, ["token", "root2"]).filter(_may_link("n1", "bound1", "n2", "bound2"))
+    members = known.join(several, "token", "left_semi").join(named.drop("key", "n"), "sid")
+    m, w = (members.select("token", F.col("root").alias(f"root{k}"), F.col("sid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "bound", *bits)]) for k, s in (("1", "a"), ("2", "b")))
+    rest = open_pairs.join(m, ["token", "root1"]).join(w, ["token", "root2"])
+    rest = rest.filter(_may_link("a_n", "a_bound", "b_n", "b_bound")).filter(_may_equal("a_n", "a_b", "b_n", "b_b"))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(cut(rest), sets)
+    return links.unionByName(_verified(docs, scratch.keep(rest), named, scratch))
+
 
-    roots = components(links.unionByName(more))
-    named = table.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    named = cut(named.select("id", "n", F.coalesce("root", "sid").alias("root")))
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``."""
+    docs = docs.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        first = scratch.keep(_first_pass(docs))
+        roots = components(_links(docs, first, scratch))
+        table = first.filter("block IS NULL").select("id", "sid", "n")
+        named = table.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+        named = cut(named.select("id", "n", F.coalesce("root", "sid").alias("root")))
+    # Written first, so that Spark can split a great group of copies in the join.
+    least = cut(named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")))
     return named.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
