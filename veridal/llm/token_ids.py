@@ -20,7 +20,7 @@ from veridal.llm.shingles import mix
 
 _ODD_SPACE = re.compile("[\x85\xa0  -     　]")
 _GROUP = 1 << 20
-_SLOT_BITS = 21
+_SLOT_BITS = 20
 _WIDTH = 10
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _GAP = np.zeros(256, bool)
