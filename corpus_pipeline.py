@@ -32,8 +32,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by probabilities that are raked to the target marginals."""
-    return mixing.sample_mixture(docs)
+    """Documents sampled by probabilities that are raked to the target marginals, and of which a stated share stays at least."""
+    return mixing.sample_mixture(docs, least_rate=mixing.LEAST_RATE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

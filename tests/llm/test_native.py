@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.conftest import words
 from veridal.llm import mixing, quality_rules, queries, url_filter
 
@@ -190,3 +191,16 @@ def test_mixture_corners(corners, clashing, nothing):
     assert kept.columns == clashing.columns
     assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(r.doc_id for r in out if r.sampled)
     assert mixing.mixture(nothing).count() == 0 and mixing.sample_mixture(nothing).count() == 0
+
+
+def test_a_stray_row_does_not_empty_the_mixture(spark, sf_dir, documents):
+    docs = documents.select("doc_id", "text", "lang", "source")
+    stray = docs.unionByName(spark.createDataFrame([(10**9, "one two three four five", "en", None)], docs.schema))
+
+    def kept(df, **how):
+        return mixing.mixture(df, **how).agg(F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens")).first()[0]
+
+    assert kept(stray, least_rate=0.9) == pytest.approx(0.9, abs=1e-4)
+    sampled = corpus_pipeline.mix_sources(spark, stray, sf_dir)
+    assert sampled.count() > 2 * mixing.sample_mixture(stray).count()
+    assert sampled.filter("source IS NULL AND doc_id = 1000000000").count() == 1

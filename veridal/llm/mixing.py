@@ -4,7 +4,10 @@ Token counts are summed to cells (source, language, topic); raking scales the
 cells to each marginal's targets in turn. A cell's final weight over its tokens
 is its factor; dividing by the largest factor gives probabilities of at most 1
 that keep all proportions, and a document stays if a number that its id fixes is
-below its cell's probability. Everything is DataFrame functions; only cells, not
+below its cell's probability. As the factor of a cell grows while its share
+shrinks, one rare cell can leave next to nothing of the others. ``least_rate``
+bounds that: if fewer of all tokens would be expected to stay, the cells of the
+largest factors stay whole, and one scale for all others makes it that share. Everything is DataFrame functions; only cells, not
 documents, are shuffled for raking.
 
 Targets default to tempered shares: a category with share ``s`` of all tokens
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from veridal.llm.store import WORD_GAP, cut
 
 ROUNDS = 8
+#: The share of all tokens that the pipeline keeps at least, as expected.
+LEAST_RATE = 1 / 3
 TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.9}
 #: Fixed words for the sampling number, so that it differs from other hashes of ids.
 SALT = "mix:"
@@ -69,10 +74,29 @@ def rake(cells: DataFrame, margins: list[str], rounds: int = ROUNDS) -> DataFram
     return out
 
 
-def mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins: tuple[str, str, str] = ("source", "lang", "topic"), targets: Mapping[str, Mapping[str | None, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def scale_of(cells: DataFrame, least_rate: float | None = None) -> DataFrame:
+    """One row, ``scale``: what the factors of ``cells`` are divided by; quotients over 1 count as 1."""
+    if least_rate is None:
+        return cells.agg(F.max("factor").alias("scale"))
+    if not 0 < least_rate < 1:
+        raise ValueError("the least rate must lie between 0 and 1")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("factor").desc(), F.col("tokens"))  # one row per cell
+    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    steps = cells.select(
+        "factor", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("whole"), F.sum(F.col("factor") * F.col("tokens")).over(onward).alias("mass"),
+        (F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(least_rate)).alias("wanted"),
+    )
+    # The largest factor at which enough is kept: cells before it stay whole, the others share what is left.
+    enough = F.when(F.col("whole") + F.col("mass") / F.col("factor") >= F.col("wanted"), F.struct("factor", "whole", "mass", "wanted"))
+    at = steps.agg(F.max(enough).alias("at"), F.max("factor").alias("largest"), F.min("factor").alias("smallest"))
+    return at.select(F.coalesce(F.least("largest", F.expr("at.mass / (at.wanted - at.whole)")), "smallest").alias("scale"))
+
+
+def mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins: tuple[str, str, str] = ("source", "lang", "topic"), targets: Mapping[str, Mapping[str | None, float]] | None = None, rounds: int = ROUNDS, least_rate: float | None = None) -> DataFrame:
     """One row per document: id, marginals, tokens, probability, draw and ``sampled``.
 
-    The third marginal is the topic, from ``topic_of``.
+    The third marginal is the topic, from ``topic_of``. Without ``least_rate`` the
+    rarest cell alone sets how much stays.
     """
     source, lang, topic = margins
     tokens = tokens_of(F.col(text))
@@ -86,9 +110,9 @@ def mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins
     for name, margin in zip(names, margins, strict=True):
         shares = target_shares(cells, name, TEMPER[name], (targets or {}).get(margin)).withColumnRenamed(name, "category")
         cells = cells.join(shares, cells[name].eqNullSafe(shares["category"])).drop("category")
-    cells = cut(rake(cells, names, rounds).select(*names, (F.col("weight") / F.col("tokens")).alias("factor")))
-    largest = F.broadcast(cells.agg(F.max("factor").alias("largest")))
-    cells = cells.join(largest).select(*(F.col(n).alias(f"cell_{n}") for n in names), F.round(F.col("factor") / F.col("largest"), 6).alias("probability"))
+    cells = cut(rake(cells, names, rounds).select(*names, "tokens", (F.col("weight") / F.col("tokens")).alias("factor")))
+    probability = F.least(F.round(F.col("factor") / F.col("scale"), 6), F.lit(1.0))
+    cells = cells.join(F.broadcast(scale_of(cells, least_rate))).select(*(F.col(n).alias(f"cell_{n}") for n in names), probability.alias("probability"))
     same = [table[n].eqNullSafe(cells[f"cell_{n}"]) for n in names]
     return table.join(cells, same[0] & same[1] & same[2]).select(
         F.col("doc_id").alias(id_col), *names, "tokens", "probability",
