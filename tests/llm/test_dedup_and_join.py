@@ -90,6 +90,29 @@ def test_join_corners(corners, nothing, clashing):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, 9, 10, 11, 12, None], key=str)
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    base = {x: [f"{x}{i}" for i in range(80)] for x in "abcdef"}
+
+    def near(x, k):
+        return " ".join(base[x][:-k] + [f"new{k}"] * k)
+
+    def plain(x):
+        return " ".join(base[x])
+
+    rows = [
+        (1, plain("a")), (None, near("a", 1)), (7, near("a", 2)),  # the copies have a null id and 7 ...
+        (None, plain("b")), (7, plain("c")), (None, ""), (None, None), (None, None), (7, " "),  # ... and so have rows that are nobody's copies
+        (None, plain("d")), (None, near("d", 1)), (None, plain("d")),
+        (5, plain("e")), (5, near("e", 1)), (5, plain("e")), (5, plain("f")),
+    ]
+    out = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = Counter((r.doc_id, r.text) for r in out.collect())
+    group_of = {t: x for x in base for t in (plain(x), near(x, 1), near(x, 2))}
+    assert Counter((d, group_of.get(t, t)) for d, t in left.elements()) == Counter(
+        [(1, "a"), (None, "b"), (7, "c"), (None, ""), (None, None), (None, None), (7, " "), (None, "d"), (5, "e"), (5, "f")]
+    )
+
+
 def test_a_chain_of_links_is_one_group(spark):
     w = [f"t{i}" for i in range(120)]
     rows = [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(12)]

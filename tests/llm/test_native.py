@@ -204,3 +204,11 @@ def test_a_stray_row_does_not_empty_the_mixture(spark, sf_dir, documents):
     sampled = corpus_pipeline.mix_sources(spark, stray, sf_dir)
     assert sampled.count() > 2 * mixing.sample_mixture(stray).count()
     assert sampled.filter("source IS NULL AND doc_id = 1000000000").count() == 1
+
+
+def test_rows_with_equal_ids_are_sampled_by_their_own_cells(spark):
+    rows = [(i % 41 or None, "w " * (i % 9 + 1), ["en", "fr", None][i % 7 % 3], f"s{int(i**0.5) // 6}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = Counter((r.doc_id, r.source, r.lang, r.tokens) for r in mixing.mixture(docs).filter("sampled").collect())
+    assert {r.doc_id for r in mixing.mixture(docs).filter("NOT sampled").collect()} & {d for d, *_ in want}
+    assert Counter((r.doc_id, r.source, r.lang, len(words(r.text))) for r in mixing.sample_mixture(docs).collect()) == want

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridal.llm.components import components
@@ -329,22 +329,43 @@ def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     return links.unionByName(_verified(docs, scratch.keep(rest), named, scratch))
 
 
-def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``."""
-    docs = docs.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+def _row_key(text: str, id_col: str) -> Column:
+    """A hash of id and text: rows that share it are equal in both, so in one group."""
+    return F.xxhash64(F.col(id_col), F.col(text))
+
+
+def _grouped(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """One row per row of ``docs``: ``key``, ``id``, ``n`` shingles, ``root`` (null without shingles)."""
+    docs = docs.select(_row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         first = scratch.keep(_first_pass(docs))
         roots = components(_links(docs, first, scratch))
-        table = first.filter("block IS NULL").select("id", "sid", "n")
+        table = first.filter("block IS NULL").select("key", "id", "sid", "n")
         named = table.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-        named = cut(named.select("id", "n", F.coalesce("root", "sid").alias("root")))
+        return cut(named.select("key", "id", "n", F.coalesce("root", "sid").alias("root")))
+
+
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``."""
+    named = _grouped(docs, text, id_col)
     # Written first, so that Spark can split a great group of copies in the join.
     least = cut(named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")))
     return named.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is not the least of their group."""
-    gone = similar_groups(docs, text, id_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"))
-    return rows.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    """``docs`` with one row of each group, one of the least id; every row decides for itself.
+
+    A null id counts as largest. Of rows equal in id and text any one stays.
+    """
+    keys = _grouped(docs, text, id_col).filter("root IS NOT NULL").groupBy("root", "key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    keys = cut(keys)
+    chosen = cut(keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("chosen")).select("root", F.col("chosen.key").alias("chosen")))
+    fates = keys.join(chosen, "root").select("key", "rows", (F.col("key") == F.col("chosen")).alias("stays"))
+    fates = cut(fates.filter("NOT stays OR rows > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(text, id_col).alias("key"))
+    out = rows.join(fates.select("key"), "key", "left_anti").select("row")
+    repeated = fates.filter("stays").select("key")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")

@@ -16,7 +16,7 @@ for the categories it names.
 
 Defined results: a null category is a category of its own; a document without
 words counts one token, so that it has a chance to stay; rows with equal ids
-share their fate; an empty table gives an empty table; further columns pass.
+in one cell share their fate; an empty table gives an empty table; further columns pass.
 """
 
 from __future__ import annotations
@@ -121,11 +121,14 @@ def mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins
     )
 
 
-def sample_mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how: object) -> DataFrame:
-    """The rows of ``docs`` that the mixture samples."""
-    left_out = mixture(docs, text, id_col, **how).filter("NOT sampled").select(F.col(id_col).alias("left_out")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"))
-    return rows.join(left_out, F.col("key").eqNullSafe(F.col("left_out")), "left_anti").select("row.*")
+def sample_mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins: tuple[str, str, str] = ("source", "lang", "topic"), **how: object) -> DataFrame:
+    """The rows of ``docs`` that the mixture samples, each by its own cell."""
+    names = ["id", "source", "lang", "topic"]
+    left_out = mixture(docs, text, id_col, margins, **how).filter("NOT sampled").select(F.col(id_col).alias("id"), *names[1:]).distinct()
+    own = (F.col(id_col), F.col(margins[0]), F.col(margins[1]), topic_of(F.coalesce(F.col(text), F.lit("")), tokens_of(F.col(text))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(f"own_{n}") for n, c in zip(names, own, strict=True)])
+    same = [F.col(f"own_{n}").eqNullSafe(F.col(n)) for n in names]
+    return rows.join(left_out, same[0] & same[1] & same[2] & same[3], "left_anti").select("row.*")
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:
