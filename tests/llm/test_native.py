@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -152,6 +153,32 @@ def test_url_filter_equals_brute_force(spark, sf_dir, case):
         assert r.verdict == (rule[0] if rule else by_model)
 
 
+@pytest.mark.parametrize("frequent", [0, 40])
+def test_url_scores_come_from_exact_counts(spark, monkeypatch, frequent):
+    rng = random.Random(1)
+    urls = [f"http://{rng.choice(['a.org/es', 'b.net/de', 'c.gov'])}/" + "".join(chr(rng.randrange(33, 1500)) for _ in range(12)) for _ in range(1500)]
+    seen = {"allow": Counter(), "block": Counter()}
+    orders = [[(k, u[at - 1 - k : at]) for at in range(1, len(u) + 1) for k in range(min(at - 1, url_filter.ORDER) + 1)] for u in urls]
+    for u, o in zip(urls, orders, strict=True):
+        if (rule := rule_for(*split_url(u))) is not None:
+            seen[rule[0]].update(x for k, g in o for x in ((k, g), (k, g[:-1], "context")))
+
+    def log_of(o, counts):
+        p, total = 1 / url_filter.ALPHABET, 0.0
+        for (k, g), after in zip(o, [*o[1:], (0, "")], strict=True):
+            p = (counts[k, g] + url_filter.PULL * (p if k else 1 / url_filter.ALPHABET)) / (counts[k, g[:-1], "context"] + url_filter.PULL)
+            total += math.log(p) if after[0] == 0 else 0.0
+        return total
+
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    scored = url_filter.scored
+    monkeypatch.setattr(url_filter, "scored", lambda u, v: scored(u, v, frequent))
+    got = {r.page_id: r.score for r in url_filter.filter_urls(table, RULES).collect()}
+    assert len({x for o in orders for x in o}) > 1 << 16
+    for i, (u, o) in enumerate(zip(urls, orders, strict=True)):
+        assert got[i] == pytest.approx((log_of(o, seen["allow"]) - log_of(o, seen["block"])) / len(u), abs=1e-9)
+
+
 def test_url_filter_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.org/es/", "x"), (None, None, "y")], "page_id long, url string, blocked_id string")
     out = url_filter.drop_rejected(pages, RULES)

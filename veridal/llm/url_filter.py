@@ -3,11 +3,15 @@
 URLs that a rule decides train two smoothed variable-order Markov models, one of
 accepted and one of rejected URLs. Orders 0 to ``ORDER`` are blended from the
 shortest context up: ``P_k = (n(context, c) + PULL * P_(k-1)) / (n(context) +
-PULL)``. Counts are held under hashed contexts in one array of ``BUCKETS`` counts
-a model, whatever the corpus, so every URL is scored where it is read. A URL's
-score is the difference of the two log likelihoods over its length; the threshold
-lies where accepted and rejected training URLs are equally many of their
-standard deviations away.
+PULL)``. A URL's score is the difference of the two log likelihoods over its
+length; the threshold lies where accepted and rejected training URLs are equally
+many of their standard deviations away.
+
+Counts are exact at every size: what a character adds depends on its window, the
+character and the ``ORDER`` before it, so windows are counted once, and all
+shorter contexts are summed from the windows' counts. The ``FREQUENT`` most
+frequent windows' values are broadcast to the URLs; the remaining ones meet
+theirs in a shuffle, where none is frequent enough to be a hot key.
 
 Defined results: a null URL or one without ``://`` has empty host and path;
 without a rule that fits, an empty or null URL is allowed, and so is every URL
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from veridal.llm.store import ascii_lower, cut, own_name
 
 ORDER = 4
-BUCKETS = 1 << 16
+#: Counts are held by contexts and characters themselves, which share as little as whole 64-bit hashes do.
+BUCKETS = 1 << 64
+FREQUENT = 1 << 14
 PULL = 2.0
 ALPHABET = 256
 
@@ -55,64 +61,46 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def _bucket(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int")
-
-
-def _context(url: Column, at: Column, k: Column) -> Column:
-    """The ``k`` characters before place ``at`` (from 1), marked as a context."""
-    return F.concat(F.lit("\u0001"), k.cast("string"), F.substring(url, at - k, k))
-
-
-def _gram(url: Column, at: Column, k: Column) -> Column:
-    return F.concat(F.lit("\u0002"), k.cast("string"), F.substring(url, at - k, k + 1))
-
-
-def _orders(at: Column) -> Column:
-    return F.sequence(F.lit(0), F.least(at - 1, F.lit(ORDER)))
-
-
-def _places(url: Column) -> Column:
-    return F.when(F.length(url) > 0, F.sequence(F.lit(1), F.length(url))).otherwise(F.array().cast("array<int>"))
-
+def windows_of(url: Column) -> Column:
+    """For each character, itself after the ``ORDER`` characters before it, or as many as there are."""
+    places = F.when(F.length(url) > 0, F.sequence(F.lit(1), F.length(url))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda at: F.substring(url, F.greatest(at - ORDER, F.lit(1)), F.least(at, F.lit(ORDER + 1))))
 
-def keys_of(url: Column) -> Column:
-    """Buckets of every context and character of a URL, all orders."""
-    return F.flatten(
-        F.transform(
-            _places(url),
-            lambda at: F.flatten(F.transform(_orders(at), lambda k: F.array(_bucket(_context(url, at, k)), _bucket(_gram(url, at, k))))),
-        )
-    )
 
+def window_counts(urls: DataFrame) -> DataFrame:
+    """``(window, allow, block, n)`` of every window of ``urls`` (``url``, ``verdict``): counts by verdict, and of all."""
+    each = urls.select("verdict", F.explode(windows_of(F.col("url"))).alias("window"))
+    return each.groupBy("window").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"), F.count("*").alias("n"))
 
-def counts_of(urls: DataFrame) -> DataFrame:
-    """One row: ``allow`` and ``block``, an array of ``BUCKETS`` counts each."""
-    keys = urls.select("verdict", F.explode(keys_of(F.col("url"))).alias("bucket"))
-    sums = keys.groupBy("bucket").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
-    every = urls.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(F.broadcast(sums), "bucket", "left")  # at most BUCKETS rows
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))))
-    return full.agg(ordered.alias("all")).select(F.col("all.a").alias("allow"), F.col("all.b").alias("block"))
 
+def window_values(seen: DataFrame) -> DataFrame:
+    """``(window, n, value)``: the difference of the last character's log probabilities in the two models."""
+    orders = F.sequence(F.lit(0), F.length("window") - 1)
+    steps = seen.select("window", "n", "allow", "block", F.explode(orders).alias("k"))
+    steps = steps.withColumn("gram", F.expr("right(window, k + 1)")).withColumn("context", F.expr("left(gram, k)"))
+    grams = cut(steps.groupBy("k", "context", "gram").agg(F.sum("allow").alias("gram_allow"), F.sum("block").alias("gram_block")))
+    contexts = grams.groupBy("k", "context").agg(F.sum("gram_allow").alias("context_allow"), F.sum("gram_block").alias("context_block"))
+    # Fewer rows than grams, and no gram has more than one context.
+    models = cut(grams.join(contexts, ["k", "context"]).drop("k", "context"))
+    joined = steps.select("window", "n", "k", "gram").join(models, "gram")
+    by_order = joined.groupBy("window").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", *models.columns))).alias("orders"))
 
-def _log_likelihood(url: Column, counts: Column) -> Column:
-    def blended(at: Column) -> Column:
-        return F.aggregate(
-            _orders(at),
-            F.lit(1.0 / ALPHABET),
-            lambda p, k: (F.get(counts, _bucket(_gram(url, at, k))) + F.lit(PULL) * p) / (F.get(counts, _bucket(_context(url, at, k))) + F.lit(PULL)),
-        )
+    def probability(verdict: str) -> Column:
+        return F.aggregate("orders", F.lit(1.0 / ALPHABET), lambda p, o: (o[f"gram_{verdict}"] + F.lit(PULL) * p) / (o[f"context_{verdict}"] + F.lit(PULL)))
 
-    return F.aggregate(_places(url), F.lit(0.0), lambda total, at: total + F.log(F.least(blended(at), F.lit(1.0))))
+    return by_order.select("window", "n", (F.log(probability("allow")) - F.log(probability("block"))).alias("value"))
 
 
-def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
-    """``urls`` with ``score``: difference of log likelihoods over the length, null if empty."""
-    both = F.broadcast(counts)  # one row of two arrays of BUCKETS counts
-    out = urls.join(both)
-    difference = _log_likelihood(F.col("url"), F.col("allow")) - _log_likelihood(F.col("url"), F.col("block"))
-    return out.withColumn("score", F.when(F.length("url") > 0, difference / F.length("url"))).drop("allow", "block")
+def scored(urls: DataFrame, values: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``urls`` (``row``, ``url``, …) with ``score``: difference of log likelihoods over the length, null if empty."""
+    each = urls.select("row", F.explode(windows_of(F.col("url"))).alias("window"))
+    often = F.broadcast(cut(values.orderBy(F.desc("n"), "window").limit(frequent)).select("window", "value"))
+    sums = [
+        some.groupBy("row").agg(F.sum("value").alias("value"))
+        for some in (each.join(often, "window"), each.join(often, "window", "left_anti").join(values.select("window", "value"), "window"))
+    ]
+    total = sums[0].unionByName(sums[1]).groupBy("row").agg(F.sum("value").alias("total"))
+    return urls.join(total, "row", "left").withColumn("score", F.col("total") / F.length("url")).drop("total")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -120,13 +108,13 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", id_co
     table = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"))
     table = table.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     table = table.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    table = table.select("id", "url", "host", "path", "found.rule", "found.verdict")
+    table = cut(table.select(F.monotonically_increasing_id().alias("row"), "id", "url", "host", "path", "found.rule", "found.verdict"))
+    table = cut(scored(table, cut(window_values(cut(window_counts(table))))))
     known = table.filter(F.col("verdict").isNotNull() & (F.length("url") > 0))
-    counts = cut(counts_of(known))
-    stats = scored(known, counts).groupBy().agg(*[f(F.when(F.col("verdict") == v, F.col("score"))).alias(f"{n}_{v}") for v in ("allow", "block") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    stats = known.groupBy().agg(*[f(F.when(F.col("verdict") == v, F.col("score"))).alias(f"{n}_{v}") for v in ("allow", "block") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     a, b = F.col("sd_allow") + F.lit(1e-6), F.col("sd_block") + F.lit(1e-6)
     threshold = cut(stats.select(((F.col("mean_allow") * b + F.col("mean_block") * a) / (a + b)).alias("threshold")))
-    judged = scored(table, counts).join(F.broadcast(threshold))
+    judged = table.join(F.broadcast(threshold))
     by_model = F.when(F.col("score") < F.col("threshold"), "block").otherwise("allow")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), "score")
 
