@@ -1,24 +1,29 @@
 """Sets of five-word shingles as 64-bit hashes, computed on whole slices of text.
 
-A-Z is lower-cased; words are runs of anything but ASCII white space. A word's
-hash is a polynomial over its bytes modulo 2^64, taken from running sums, so no
-word is touched by Python code.
+A-Z is lower-cased; words are runs of anything but ASCII white space. A word of up
+to 64 bytes is folded in blocks of 8 by a bijection of 64-bit numbers, so words of
+one block that are equally long never share a hash, and others do by chance only
+(2^-64); longer words, which are rare, are hashed by BLAKE2b. Only those are
+touched by Python code.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 
 SIZE = 5
+#: Bytes of a word or piece beyond which it gets a cryptographic hash.
+LONG = 64
 _CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_FIRST_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,35 +33,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _P)
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, _CHUNK + 4096)
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in (_P, _P_INVERSE))
-    return _powers
+def byte_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each seed, 64-bit hashes of the runs ``raw[start:end]``."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = np.frombuffer(raw, np.uint8)
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+    sizes = ends - starts
+    block = eights[starts] & _MASKS[np.minimum(sizes, 8)]
+    length = sizes.astype(np.uint64) * _P
+    out = [mix(block ^ (length + np.uint64(seed))) for seed in seeds]
+    left = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    at = 8
+    while len(left):
+        block = eights[starts[left] + at] & _MASKS[np.minimum(sizes[left] - at, 8)]
+        for h in out:
+            h[left] = mix((h[left] ^ block) + _P)
+        at += 8
+        left = left[sizes[left] > at]
+    long = np.flatnonzero(sizes > LONG)
+    for i, s, e in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        digest = hashlib.blake2b(raw[s:e], digest_size=8 * len(seeds)).digest()
+        for k, h in enumerate(out):
+            h[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return out
 
 
 def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word."""
-    a = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], ~_GAP[a], [False]])
+    inside = np.concatenate([[False], ~_GAP[np.frombuffer(raw, np.uint8)], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers_to(len(a) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * up[: len(a)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    return byte_hashes(raw, starts, ends)[0], starts
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """``_hash_words`` in chunks that end between words, so that memory does not follow a long text."""
     hashes, starts, at = [], [], 0
     while at < len(raw):
-        end = at + _CHUNK
-        while end < len(raw) and not _GAP[raw[end]]:
-            end += 1
+        gap = _FIRST_GAP.search(raw, at + _CHUNK)
+        end = gap.start() if gap else len(raw)
         h, s = _hash_words(raw[at:end])
         hashes.append(h)
         starts.append(s + at)

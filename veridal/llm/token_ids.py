@@ -4,9 +4,10 @@ The byte-level pre-tokenizer never lets a token reach over a boundary between
 white space and what follows it, apart from one leading space. A text can so be
 cut into pieces (a space, if there is one, and a run of other characters; or
 white space) whose ids, put end to end, are the ids of the text. Pieces are cut
-and named by 128-bit hashes with array operations; the library encodes a piece
-when its name is not in a table of fixed size. Texts that hold a special token's
-string or white space beyond ASCII go to the library whole.
+and named by two 64-bit hashes, compared in full, with array operations; the
+library encodes a piece when its names are not in a table of fixed size, and every
+piece of more than 64 bytes. Texts that hold a special token's string or white
+space beyond ASCII go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,30 +17,18 @@ import re
 
 import numpy as np
 
-from veridal.llm.shingles import mix
+from veridal.llm.shingles import LONG, byte_hashes
 
 _ODD_SPACE = re.compile("[\x85\xa0  -     　]")
 _GROUP = 1 << 20
 _SLOT_BITS = 20
 _WIDTH = 10
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _AFTER_LETTER = ~_LETTER & ~_GAP & (np.arange(256) < 128)
-_BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES]
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of both bases and of their inverses."""
-    global _powers
-    if not _powers or len(_powers[0][0]) < n:
-        size = max(n, _GROUP + (1 << 16))
-        rows = [(b, pow(b, -1, 1 << 64)) for b in _BASES]
-        _powers = [tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in pair) for pair in rows]
-    return _powers
 
 
 def piece_starts(a: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -74,7 +63,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.model._resize_cache(0)  # the table takes its place
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
@@ -107,26 +95,29 @@ class TextEncoder:
         bounds = np.cumsum([0, *map(len, texts)])
         starts = piece_starts(a, bounds[:-1])
         ends = np.append(starts[1:], len(a))
-        names = []
-        for byte, (up, down) in zip(_BYTE, _powers_to(len(a) + 1), strict=True):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[a] * up[: len(a)], dtype=np.uint64)])
-            names.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        names = byte_hashes(raw, starts, ends, _SEEDS)
         slot = (names[0] & self.mask).astype(np.int64)
-        hit = (self.names[0][slot] == names[0]) & (self.names[1][slot] == names[1])
+        hit = (self.names[0][slot] == names[0]) & (self.names[1][slot] == names[1]) & (ends - starts <= LONG)
         ids, lengths = self.kept[slot], self.lengths[slot].astype(np.int64)
         miss = np.flatnonzero(~hit)
         long: dict[int, np.ndarray] = {}
         if len(miss):
-            _, one, which = np.unique(names[0][miss] ^ (names[1][miss] << np.uint64(1)), return_index=True, return_inverse=True)
-            at = miss[one]
+            big = ends[miss] - starts[miss] > LONG
+            order = np.lexsort((names[1][miss], names[0][miss]))
+            a0, a1 = names[0][miss][order], names[1][miss][order]
+            fresh = np.concatenate([[True], (a0[1:] != a0[:-1]) | (a1[1:] != a1[:-1])]) | big[order]
+            which = np.empty(len(miss), np.int64)
+            which[order] = np.cumsum(fresh) - 1
+            at = miss[order[fresh]]
             found = self._library_ids([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             sizes = np.array([len(f) for f in found])
             rows = np.zeros((len(found), _WIDTH), self.width)
             short = sizes <= _WIDTH
+            kept = short & (ends[at] - starts[at] <= LONG)
             if short.any():
                 rows[short[:, None] & (np.arange(_WIDTH) < sizes[:, None])] = np.concatenate([f for f, s in zip(found, short.tolist(), strict=True) if s])
-            put, into = at[short], slot[at[short]]
-            self.names[0][into], self.names[1][into], self.lengths[into], self.kept[into] = names[0][put], names[1][put], sizes[short], rows[short]
+            put, into = at[kept], slot[at[kept]]
+            self.names[0][into], self.names[1][into], self.lengths[into], self.kept[into] = names[0][put], names[1][put], sizes[kept], rows[kept]
             ids[miss], lengths[miss] = rows[which], np.where(short, sizes, 0)[which]
             long = {int(i): found[w] for i, w in zip(miss.tolist(), which.tolist(), strict=True) if not short[w]}
         flat = ids[np.arange(_WIDTH) < lengths[:, None]]
