@@ -143,7 +143,7 @@ def test_first_common_key_bounds_the_overlap():
         if common * 180 < 80 * (len(a) + len(b)):
             continue
         for boundary in (0, 10, 100):
-            (ka, ma), (kb, mb) = (jaccard_join.keys_of(np.sort(x), boundary) for x in (a, b))
+            (ka, ma, _), (kb, mb, _) = (jaccard_join.keys_of(np.sort(x), boundary) for x in (a, b))
             both = {k: min(int(ma[i]), int(mb[np.flatnonzero(kb == k)[0]])) for i, k in enumerate(ka.tolist()) if k in set(kb.tolist())}
             assert both and max(both.values()) * 180 >= 80 * (len(a) + len(b))
 

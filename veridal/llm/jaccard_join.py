@@ -14,19 +14,32 @@ Sets up to 1/0.8 times the boundary are in both, so that no pair is missed. The
 boundary minimises the keys to shuffle plus the lists to scan, from the numbers
 of sets by size and the mean list length that the sketch gives.
 
-Equal sets are one node. Each set is first compared with the least sets
-of its lists, ``PIVOTS`` of them at most; the links that hold make components. Then, per list,
-only pairs of sets in different components are left, and every one is compared
-that neither the position in the lists nor ``PARITY`` words of parity bits, which
-bound the sets' difference from below, exclude. So copies are never expanded
-into pairs, and no link between different components is lost. Lists of frequent
-keys are cut by the set's hash in the first step; the second step makes up for it.
-
-Sets are named by 64-bit hashes, and so are shingles.
+Equal sets are one node. Lists are not expanded into pairs. Each list has a
+*pivot*, the set that shares most of its keys, which is the centre of a group of
+near copies; every set of a list is compared with the pivot, and is then linked
+to it, *near* (a similarity of 0.6 or more) or *far*. As Jaccard distances obey
+the triangle inequality, of two sets of a list
+
+* both linked to the pivot are in one component already;
+* one linked and one far cannot link;
+* two that are not far link only if they share so many tokens of their
+  *differences* from the pivot as their sizes tell, at least one: a second index,
+  on a prefix of the differences, finds them. Differences are short, and in a
+  group of near copies what one copy has changed is seldom what another has;
+* lists whose pivot leaves far sets get a new pivot among those, in rounds, as
+  long as the pairs that are left outnumber the rows; then those pairs, cut by
+  the bound of their places in the lists, are compared as they are.
+
+Every candidate is compared on its whole set; none is dropped. Lists of
+frequent keys are cut by the set's hash when they are scanned.
+
+Shingles and sets are named by 64-bit hashes (see ``shingles``).
 
 Defined results: null or wordless texts have an empty set and link with nothing;
-a text of 1 to 4 words is one shingle; rows with equal ids are documents of
-their own; a null id counts as largest; an empty table gives an empty table.
+a text of 1 to 4 words is one shingle; a text of any length is taken whole; rows
+with equal ids are documents of their own; a null id counts as largest; an empty
+table gives an empty table; columns besides id and text are neither read nor
+clash with any name used here.
 """
 
 from __future__ import annotations
@@ -36,7 +49,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridal.llm.components import components
@@ -44,15 +58,21 @@ from veridal.llm.shingles import mix, set_id, shingle_sets
 from veridal.llm.store import Scratch, arrow_map, cut, in_slices, sum_blocks
 
 PERCENT = 80
+#: Similarity to the pivot below which a set is far: twice the distance of a link.
+NEAR = 2 * PERCENT - 100
 SKETCH_BITS = 22
 BLOCK = 1 << 16
 BLOOM_BITS = 24
-PARITY = 8
+#: Share of bits up to which a Bloom filter is used; beyond, keys are joined.
+BLOOM_LOAD = 0.2
 SALT_ROWS = 50_000
-PIVOTS = 4
+#: Rounds of new pivots, and the pairs a row that a list may leave without one.
+ROUNDS = 6
+PAIRS_A_ROW = 4
 LEVELS = 4
 _LIGHT = np.uint64(0xD1B54A32D192ED03)
 _SEEN_AT_MOST = 200_000
+LINKED, AT_NEAR, FAR = 0, 1, 2
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -69,57 +89,52 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield some, shingle_sets(some.column("text").cast(pa.binary()).to_pylist())
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """``64 * PARITY`` bits: each tells whether an odd number of tokens fall on it.
-
-    Two sets' bits differ in at most as many places as the sets differ in tokens.
-    """
-    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Rows ``(key, id, sid, n, b0, …)`` of documents, and rows ``(block, counts)`` of the sketch."""
+    """Rows ``(key, id, sid, n)`` of documents, and rows ``(block, counts)`` of the sketch."""
     kind = dict(docs.dtypes)["id"]
-    bits = [f"b{k}" for k in range(PARITY)]
-    names = ["key", "id", "sid", "n", *bits, "block", "counts"]
-    schema = f"key long, id {kind}, sid long, n long, {', '.join(f'{b} long' for b in bits)}, block int, counts binary"
+    names = ["key", "id", "sid", "n", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         id_type = None
         for some, sets in _sets(batches):
             id_type = some.schema.field("id").type
-            np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            parity = np.stack([parity_bits(s) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    some.column("key"), some.column("id"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    *(pa.array(parity[:, k]) for k in range(PARITY)), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
-                ],
-                names=names,
-            )
+            np.add.at(sketch, _bucket(np.concatenate(sets)), 1)
+            sids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            rest = (pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
+            yield pa.RecordBatch.from_arrays([some.column("key"), some.column("id"), sids, pa.array([len(s) for s in sets], pa.int64()), *rest], names=names)
         if id_type is not None:
             small = np.minimum(sketch, 255).astype(np.uint8)  # the order needs no more of one task
             blocks = [small[i : i + BLOCK].tobytes() for i in range(0, len(small), BLOCK)]
-            longs = [pa.nulls(len(blocks), pa.int64()) for _ in range(3 + PARITY)]
-            yield pa.RecordBatch.from_arrays([longs[0], pa.nulls(len(blocks), id_type), *longs[1:], pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=names)
+            n, nothing = len(blocks), pa.nulls(len(blocks), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, pa.nulls(n, id_type), nothing, nothing, pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
-    return arrow_map(docs, run, schema)
+    return arrow_map(docs, run, f"key long, id {kind}, sid long, n long, block int, counts binary")
 
 
 def _sketch_of(first: DataFrame) -> tuple[np.ndarray, float, float]:
     """Levels of the whole sketch, and the sums of its counts and of their squares.
 
     A level is ``LEVELS`` times the logarithm of a count, in one byte; the driver
-    holds one block of counts at a time.
+    gets ``2 ** SKETCH_BITS`` bytes.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, held in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                counts = np.frombuffer(held, "<i8").astype(np.float64)
+                levels = np.floor(LEVELS * np.log2(counts + 1)).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "levels": [levels], "n": [counts.sum()], "second": [float((counts**2).sum())]})
+
     total = sum_blocks(first.filter("block IS NOT NULL").select("block", "counts"), "<u1", "<i8")
     levels, n, second = np.zeros(1 << SKETCH_BITS, np.uint8), 0.0, 0.0
-    for row in total.toLocalIterator():
-        counts = np.frombuffer(row["counts"], "<i8").astype(np.float64)
-        levels[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.floor(LEVELS * np.log2(counts + 1))
-        n, second = n + counts.sum(), second + float((counts**2).sum())
+    for row in arrow_map(total, run, "block int, levels binary, n double, second double").collect():  # 2 ** SKETCH_BITS / BLOCK rows
+        levels[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["levels"], np.uint8)
+        n, second = n + row["n"], second + row["second"]
     return levels, n, second
 
 
@@ -148,104 +163,104 @@ def choose_boundary(sizes: dict[int, int], mean_list: float, percent: int = PERC
     return best
 
 
-def keys_of(tokens: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set whose tokens are in order, and the most overlap that each leaves.
+def keys_of(tokens: np.ndarray, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set whose tokens are in order, the most overlap that each leaves, and the place of its rarest token.
 
     If a key is the first that two sets share, no more than the smaller of their
     two numbers can be common.
     """
     n = len(tokens)
-    keys, most = [], []
+    keys, most, lead = [], [], []
     if n <= boundary * 100 // percent:
         i, j = np.triu_indices(prefix_length(n, 2, percent), 1)
         keys.append(mix(mix(tokens[i]) * _LIGHT + tokens[j]))
         most.append(n - j + 1)
+        lead.append(i)
     if n > boundary:
         p = prefix_length(n, 1, percent)
         keys.append(tokens[:p])
         most.append(n - np.arange(p))
-    return np.concatenate(keys), np.concatenate(most)
+        lead.append(np.arange(p))
+    return np.concatenate(keys), np.concatenate(most), np.concatenate(lead)
+
 
+def _in_order(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Rarest first; equal levels by value, so that all sets have one order."""
+    return tokens[np.argsort(level[_bucket(tokens)], kind="stable")]
 
-def _entries(docs: DataFrame, levels: object, boundary: int) -> DataFrame:
+
+def _entries(docs: DataFrame, levels: Broadcast[np.ndarray], boundary: int) -> DataFrame:
     """``(token, salt, sid, n, bound)`` of every set's keys; a partition names a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            token, sid, n, bound = [], [], [], []
+            token, sid, n, bound, rows = [], [], [], [], []
             for s in sets:
                 if not len(s) or (name := set_id(s)) in seen:
                     continue
                 if len(seen) < _SEEN_AT_MOST:
                     seen.add(name)
-                bucket = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                keys, most = keys_of(s[np.argsort(level[bucket], kind="stable")], boundary)
+                tokens = _in_order(s, level)
+                keys, most, lead = keys_of(tokens, boundary)
                 token.append(keys)
                 bound.append(most)
+                rows.append(level[_bucket(tokens[lead])])
                 sid.append(np.full(len(keys), name))
                 n.append(np.full(len(keys), len(s)))
             if token:
-                token_, sid_ = np.concatenate(token), np.concatenate(sid)
-                rows = np.exp2(level[(token_ >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] / LEVELS)
-                salts = (rows / SALT_ROWS).astype(np.int64) + 1
+                sid_ = np.concatenate(sid)
+                salts = (np.exp2(np.concatenate(rows) / LEVELS) / SALT_ROWS).astype(np.int64) + 1
                 salt = np.where(salts > 1, sid_.view(np.uint64) % salts.astype(np.uint64), -1).astype(np.int32)
-                columns = (token_.view(np.int64), salt, sid_, np.concatenate(n).astype(np.int32), np.concatenate(bound).astype(np.int32))
+                columns = (np.concatenate(token).view(np.int64), salt, sid_, np.concatenate(n).astype(np.int32), np.concatenate(bound).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "sid", "n", "bound"])
 
     return arrow_map(docs, run, "token long, salt int, sid long, n int, bound int")
 
 
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two sets or more, from rows in the order of token, salt and set.
+    """Rows of lists of two sets or more, each set once, from rows in the order of token, salt and set.
 
     A part of a list that was cut (``salt`` from 0; -1 for whole lists) is shown
-    whatever its length, as its other parts may have more. Every row gets its list's least set (``pivot``). A list may go on over any
-    number of batches; only its first row is kept.
+    whatever its length, as its other parts may have more. A list may go on over
+    any number of batches; only its last row is kept.
     """
     names = ["token", "salt", "sid", "n", "bound"]
-    first: list[int] | None = None
-    last, told = None, False
+    last: dict[str, np.ndarray] | None = None
+    told = False
     for b in batches:
         if not b.num_rows:
             continue
-        c = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
-        carried = first is not None
-        if carried:
-            c = {k: np.concatenate([[first[i], first[i]] if k != "sid" else [first[i], last], c[k]]) for i, k in enumerate(names)}
+        c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
+        if last is not None:
+            c = {k: np.concatenate([last[k], c[k]]) for k in names}
         new_list = np.concatenate([[True], (c["token"][1:] != c["token"][:-1]) | (c["salt"][1:] != c["salt"][:-1])])
         fresh = np.concatenate([[True], new_list[1:] | (c["sid"][1:] != c["sid"][:-1])])
-        if carried:
-            fresh[1] = False  # the last row of the batch before, to tell repeats by
-        at = np.flatnonzero(new_list)
-        owner = at[np.cumsum(new_list) - 1]
-        members = np.bincount(np.cumsum(new_list) - 1, weights=fresh).astype(np.int64)
-        show = fresh & ((members[np.cumsum(new_list) - 1] > 1) | (c["salt"] >= 0))
-        if carried and told:
-            show |= fresh & (owner == 0)
-            show[0] = False
-        told = bool(members[-1] > 1 or c["salt"][-1] >= 0 or (carried and told and owner[-1] == 0))
-        first, last = [int(c[k][owner[-1]]) for k in names], int(c["sid"][-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[show]) for x in (c["token"], c["sid"], c["n"], c["bound"], c["sid"][owner], c["n"][owner], c["bound"][owner])],
-            names=["token", "sid", "n", "bound", "pivot", "pivot_n", "pivot_bound"],
-        )
-
-
-def _may_link(n1: str, bound1: str, n2: str, bound2: str) -> str:
-    """SQL: the overlap that is left can reach ``80 / 180`` of both sizes together."""
-    return f"least({bound1}, {bound2}) * {100 + PERCENT} >= ({n1} + {n2}) * {PERCENT}"
-
-
-def _may_equal(n1: str, bits1: str, n2: str, bits2: str) -> str:
-    """SQL: the bits differ in no more places than the sets may differ in tokens."""
-    differ = " + ".join(f"bit_count({bits1}{k} ^ {bits2}{k})" for k in range(PARITY))
-    return f"({differ}) * {100 + PERCENT} <= ({n1} + {n2}) * {100 - PERCENT}"
-
-
-def _bloom(spark: SparkSession, keys: DataFrame) -> object:
-    """A Bloom filter of fixed size over ``key``, broadcast as an array."""
+        number = np.cumsum(new_list) - 1
+        several = np.bincount(number, weights=fresh) > 1
+        several[0] |= told  # its first sets were in batches before
+        show = fresh & (several[number] | (c["salt"] >= 0))
+        if last is not None and (told or c["salt"][0] >= 0):
+            show[0] = False  # shown already
+        told = bool(several[-1])
+        shown = {k: x[show] for k, x in c.items()}
+        # The last row waits as long as nothing shows whether its list has two sets.
+        last = {k: x[-1:] for k, x in c.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(shown[k]) for k in ("token", "sid", "n", "bound")], names=["token", "sid", "n", "bound"])
+
+
+def _with_pivot(rows: DataFrame, scratch: Scratch, able: str = "true") -> DataFrame:
+    """``rows`` of lists with the set of most ``rank`` of those in their list that are ``able`` to be the pivot.
+
+    The pivots are written first, so that Spark can split a long list in the join.
+    """
+    pivots = rows.filter(able).groupBy("token").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "sid")).alias("best"))
+    return rows.join(scratch.keep(pivots.select("token", F.col("best.sid").alias("pivot"))), "token").select("token", "sid", "n", "bound", "rank", "pivot")
+
+
+def _bloom(keys: DataFrame) -> Broadcast[np.ndarray] | None:
+    """A Bloom filter of fixed size over ``key``, broadcast as an array; None if it would let too many others pass."""
     place = F.pmod(F.col("key"), F.lit(1 << BLOOM_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod(key, {1 << BLOOM_BITS}) % 32 as int))")
     words = keys.select(F.shiftright(place, 5).cast("int").alias("w"), bit.alias("bit"))
@@ -253,80 +268,130 @@ def _bloom(spark: SparkSession, keys: DataFrame) -> object:
     rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # at most 2^19 rows
     for b in rows.toArrow().to_batches():
         out[b.column("w").to_numpy()] = b.column("bits").to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(out)
+    if int(np.bitwise_count(out).sum()) > BLOOM_LOAD * (1 << BLOOM_BITS):
+        return None
+    return keys.sparkSession.sparkContext.broadcast(out)
 
 
-def _candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(sid, tokens)`` of the documents whose ``key`` is among ``keys``.
+def _listed_sets(docs: DataFrame, lists: DataFrame, named: DataFrame, levels: Broadcast[np.ndarray], scratch: Scratch) -> DataFrame:
+    """``(sid, tokens)`` of the sets in ``lists``, tokens in order, from one document of each.
 
-    The filter may let others through, which meet nobody later.
+    ``named`` has ``sid`` and the ``key`` of that document. A Bloom filter keeps
+    other texts from leaving the pass if there are few enough keys for it; else
+    keys and texts are joined.
     """
-    bloom = _bloom(docs.sparkSession, keys)
+    sids = lists.select("sid").distinct()
+    keys = named.join(sids, "sid", "left_semi").select("key")
+    bloom = _bloom(keys)
+    if bloom is None:
+        docs = docs.join(keys, "key", "left_semi").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
+        level = levels.value
         for some in in_slices(batches, "text"):
-            place = some.column("key").to_numpy() & ((1 << BLOOM_BITS) - 1)
-            chosen = some.filter(pa.array((bits[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
-            found = [s for s in shingle_sets(chosen.column("text").cast(pa.binary()).to_pylist()) if len(s)]
+            if bloom is not None:
+                place = some.column("key").to_numpy() & ((1 << BLOOM_BITS) - 1)
+                some = some.filter(pa.array((bloom.value[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+            found = [s for s in shingle_sets(some.column("text").cast(pa.binary()).to_pylist()) if len(s)]
             if found:
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_in_order(s, level) for s in found]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), tokens], names=["sid", "tokens"])
 
-    return arrow_map(docs, run, "sid long, tokens array<bigint>")
-
+    sets = arrow_map(docs.select("key", "text"), run, "sid long, tokens array<bigint>").join(sids, "sid", "left_semi")
+    out = scratch.keep(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), large=True)  # repeated rows share a key
+    if bloom is not None:
+        bloom.destroy()
+    return out
 
-def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs ``(a, b)`` of set names whose sets' similarity is high enough.
 
-    Only one document of each set in a pair leaves the pass over the texts.
-    ``named`` has ``sid`` and the ``key`` of that document.
-    """
-    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = scratch.keep(_candidate_sets(docs, named.join(sids, "sid", "left_semi")))
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` with their sizes and what each has that the other lacks."""
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("total"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return scratch.keep(common.filter(f"common * 100 >= (total - common) * {PERCENT}").select("a", "b").distinct())
+    out = pairs.join(left, "a").join(right, "b")
+    return out.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.array_except("ta", "tb").alias("more"), F.array_except("tb", "ta").alias("less"))
+
+
+def _within(differ: str, sizes: str, percent: int) -> str:
+    """SQL: sets of together ``sizes`` tokens that differ in ``differ`` are similar by ``percent`` at least."""
+    return f"({differ}) * {100 + percent} <= ({sizes}) * {100 - percent}"
+
+
+def _stars(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every set ``a`` with each pivot ``b`` of its lists: ``na``, ``differ``, ``state``, and what differs if not far.
+
+    ``apart`` has first the tokens that the pivot lacks, then those that only it
+    has, both rarest first: one order for all sets of a pivot.
+    """
+    pairs = rows.filter("sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+    differ = F.size("more") + F.size("less")
+    state = F.when(F.expr(_within("differ", "na + nb", PERCENT)), LINKED).when(F.expr(_within("differ", "na + nb", NEAR)), AT_NEAR).otherwise(FAR)
+    out = _compared(pairs, sets).withColumn("differ", differ).withColumn("state", state)
+    return out.select("a", "b", "na", "nb", "differ", "state", F.when(F.col("state") != FAR, F.concat("more", "less")).alias("apart"))
+
+
+def _by_differences(stars: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets near one pivot, not both linked to it, that their differences leave open.
+
+    If ``x`` links with ``s``, and ``s`` is not linked to the pivot ``p``, then the
+    differences of both from ``p`` share at least ``(differ(x) + differ(s) -
+    (n(x) + n(s)) / 9) / 2`` tokens, which is more than ``4/9 differ(x)``, and more
+    than ``(differ(s) - (n(s) + n(p)) / 9) / 2``; the first token that they share
+    is then among as many fewer of each one's tokens.
+    """
+    p, q = 100 + PERCENT, 100 - PERCENT
+    busy = stars.filter(f"state = {AT_NEAR}").select("b").distinct()
+    least = F.expr(f"CASE WHEN state = {LINKED} THEN floor({PERCENT} * differ / {p}) + 1 ELSE greatest(1, ceil(({p} * differ - {q} * (na + nb) + {2 * PERCENT}) / {2 * p})) END")
+    near = stars.filter(f"state < {FAR}").join(busy, "b", "left_semi").withColumn("least", least)
+    near = near.select("a", F.col("b").alias("p"), "na", "differ", "state", F.posexplode(F.expr("slice(apart, 1, cast(differ - least + 1 as int))")).alias("at", "token"))
+    x, y = (near.select("p", "token", *[F.col(c).alias(f"{c}{k}") for c in ("a", "na", "differ", "state", "at")]) for k in "12")
+    room = f"least(differ1 - at1, differ2 - at2) * {2 * p} >= (differ1 + differ2) * {p} - (na1 + na2) * {q}"
+    both = x.filter(f"state1 = {AT_NEAR}").join(y, ["p", "token"]).filter(f"(state2 = {LINKED} OR a2 < a1) AND {room}")
+    return both.select(F.greatest("a1", "a2").alias("a"), F.least("a1", "a2").alias("b")).filter("a != b")
+
+
+def _by_places(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a list, one of them far from its pivots and the other not linked to them, that their places leave open."""
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("sid", "n", "bound", "state")]) for k in "12")
+    room = f"least(bound1, bound2) * {100 + PERCENT} >= (n1 + n2) * {PERCENT}"
+    both = x.filter(f"state1 = {FAR}").join(y, "token").filter(f"sid1 != sid2 AND (state2 < {FAR} OR sid2 < sid1) AND {room}")
+    return both.select(F.greatest("sid1", "sid2").alias("a"), F.least("sid1", "sid2").alias("b"))
 
 
 def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between sets that make the same components as all links do."""
-    spark = docs.sparkSession
     levels, n, second = _sketch_of(first)
-    sizes = {r["n"]: r["c"] for r in first.filter("n BETWEEN 1 AND 400").groupBy("n").agg(F.countDistinct("sid").alias("c")).collect()}
+    named = scratch.keep(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n")))
+    binned = F.expr("cast(CASE WHEN n < 512 THEN n ELSE floor(exp2(floor(log2(n) * 16) / 16)) END AS long)".replace("exp2(", "power(2, "))
+    sizes = {r["size"]: r["c"] for r in named.groupBy(binned.alias("size")).agg(F.count("*").alias("c")).collect()}  # 512 sizes, and 16 for each doubling
     boundary = choose_boundary(sizes, list_length(n, second))
-    entries = _entries(docs, spark.sparkContext.broadcast(levels), boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
-    lists = scratch.keep(arrow_map(entries, _scan_lists, "token long, sid long, n long, bound long, pivot long, pivot_n long, pivot_bound long"))
-    bits = [f"b{k}" for k in range(PARITY)]
-    named = scratch.keep(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"), *[F.min(b).alias(b) for b in bits]))
-
-    def of(side: str) -> DataFrame:
-        return named.select(F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *bits)])
-
-    stars = lists.filter("sid != pivot").filter(_may_link("n", "bound", "pivot_n", "pivot_bound"))
-    pivots = F.slice(F.array_sort(F.collect_set("pivot")), 1, PIVOTS)  # of no more than the set's keys
-    stars = scratch.keep(stars.groupBy(F.col("sid").alias("a")).agg(pivots.alias("b")).select("a", F.explode("b").alias("b")))
-    near = stars.join(of("a"), "a").join(of("b"), "b").filter(_may_equal("a_n", "a_b", "b_n", "b_b"))
-    links = _verified(docs, scratch.keep(near.select("a", "b")), named, scratch)
-    roots = components(links)
-
-    # What is left: pairs of a list's sets that are in different components.
-    known = lists.select("token", "sid", "n", "bound").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    known = scratch.keep(known.withColumn("root", F.coalesce("root", "sid")))
-    parts = known.groupBy("token", "root").agg(F.min("n").alias("n"), F.max("bound").alias("bound"))
-    several = parts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    parts = scratch.keep(parts.join(several, "token", "left_semi"))
-    x, y = (parts.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("root", "n", "bound"))) for k in "12")
-    open_pairs = x.join(y, "token").filter(F.col("root1") < F.col("root2")).filter(_may_link("n1", "bound1", "n2", "bound2")).select("token", "root1", "root2")
-    members = known.join(several, "token", "left_semi").join(named.drop("key", "n"), "sid")
-    m, w = (members.select("token", F.col("root").alias(f"root{k}"), F.col("sid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "bound", *bits)]) for k, s in (("1", "a"), ("2", "b")))
-    rest = open_pairs.join(m, ["token", "root1"]).join(w, ["token", "root2"])
-    rest = rest.filter(_may_link("a_n", "a_bound", "b_n", "b_bound")).filter(_may_equal("a_n", "a_b", "b_n", "b_b"))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(docs, scratch.keep(rest), named, scratch))
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
+    entries = _entries(docs, sent, boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
+    lists = scratch.keep(arrow_map(entries, _scan_lists, "token long, sid long, n int, bound int"), large=True)
+    sets = _listed_sets(docs, lists, named, sent, scratch)
+    sent.destroy()
+
+    # A set that shares many of its keys with many others is central.
+    held = scratch.keep(lists.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"))
+    rows = lists.join(held, "token")
+    ranks = rows.groupBy("sid").agg((F.sum(F.log2("length")) / F.first("n")).alias("rank"))
+    rows = _with_pivot(scratch.keep(rows.select("token", "sid", "n", "bound").join(ranks, "sid")), scratch)
+    stars = None
+    for turn in range(ROUNDS):
+        star = scratch.keep(_stars(rows, sets))
+        stars = star if stars is None else stars.unionByName(star)
+        state = star.filter(f"state != {LINKED}").select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "state")
+        rows = scratch.keep(rows.join(state, ["sid", "pivot"]).drop("pivot"))
+        far = scratch.keep(rows.groupBy("token").agg(F.sum(F.expr(f"cast(state = {FAR} as long)")).alias("far"), F.count("*").alias("all")).filter("far > 0"))
+        rows = rows.join(far, "token", "left_semi")
+        size = far.agg(F.sum(F.col("far") * F.col("all")).alias("pairs"), F.sum("all").alias("rows")).first()
+        if (size["pairs"] or 0) <= PAIRS_A_ROW * (size["rows"] or 0) or turn == ROUNDS - 1:
+            break
+        rows = _with_pivot(rows, scratch, f"state = {FAR}")
+    open_pairs = scratch.keep(_by_differences(stars).unionByName(_by_places(rows)).distinct())
+    alike = _compared(open_pairs, sets).filter(_within("size(more) + size(less)", "na + nb", PERCENT)).select("a", "b")
+    return scratch.keep(stars.filter(f"state = {LINKED}").select("a", "b").unionByName(alike))
 
 
 def _row_key(text: str, id_col: str) -> Column:
@@ -338,7 +403,7 @@ def _grouped(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``id``, ``n`` shingles, ``root`` (null without shingles)."""
     docs = docs.select(_row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        first = scratch.keep(_first_pass(docs))
+        first = scratch.keep(_first_pass(docs), large=True)
         roots = components(_links(docs, first, scratch))
         table = first.filter("block IS NULL").select("key", "id", "sid", "n")
         named = table.join(roots.withColumnRenamed("node", "sid"), "sid", "left")

@@ -61,17 +61,18 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back; the shuffle files behind it may go at once.
+    def keep(self, df: DataFrame, large: bool = False) -> DataFrame:
+        """Write ``df`` and read it back; behind a ``large`` one, shuffle files may go at once.
 
         Spark drops shuffle files when the driver's collection of garbage finds
-        nothing that refers to them, so that is asked for here.
+        nothing that refers to them, so that is asked for there.
         """
         self.tables += 1
         out = f"{self.path}/{self.tables}"
         df.write.parquet(out)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if large:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(out)
 
     def __exit__(self, *_: object) -> None:
