@@ -78,6 +78,38 @@ def test_join_equals_brute_force_on_near_copies(spark, seed, monkeypatch):
     assert groups(df) == brute_groups(rows)
 
 
+def test_a_group_of_near_copies_is_not_expanded(spark, monkeypatch):
+    """Copies under the limit to each other: far fewer pairs are compared than there are, and none is missed."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(2, 7) if i else 0):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    made, compared = [], jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "_compared", lambda pairs, sets: made.append(pairs.count()) or compared(pairs, sets))
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == brute_groups(rows)
+    assert sum(made) < len(rows) * (len(rows) - 1) // 8, made
+
+
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_groups_that_share_a_passage(spark, rounds, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(jaccard_join, "_in_order", lambda tokens, _: tokens)  # any order, so that common tokens come first, too
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        w = [f"g{i % 6}.{k}" for k in range(50)]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(passage + w)))
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == brute_groups(rows)
+
+
 def test_join_corners(corners, nothing, clashing):
     want = brute_groups(pairs_of(corners))
     got = groups(corners)
@@ -148,6 +180,40 @@ def test_first_common_key_bounds_the_overlap():
             assert both and max(both.values()) * 180 >= 80 * (len(a) + len(b))
 
 
+def brute_lists(rows):
+    """Of each list of ``(token, salt, n, sid, bound)``: the parts between sizes that cannot link, if they have pairs that can."""
+    out, lists = [], defaultdict(dict)
+    for r in rows:
+        lists[r[:2]][r] = None
+    for (_, salt), members in lists.items():
+        parts = [[]]
+        for r in members:
+            if salt < 0 and parts[-1] and parts[-1][-1][2] * 100 < r[2] * 80:
+                parts.append([])
+            parts[-1].append(r)
+        for part in parts:
+            if salt >= 0 or len(part) > 2 or len(part) == 2 and min(r[4] for r in part) * 180 >= sum(r[2] for r in part) * 80:
+                out += [(r[0], part[0][2] if salt < 0 else 0, *r[2:]) for r in part]
+    return out
+
+
+def test_lists_are_cut_the_same_however_they_arrive():
+    rng = np.random.default_rng(0)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    for _ in range(300):
+        rows = set()
+        for _ in range(rng.integers(1, 60)):
+            token, sid = int(rng.integers(6)), int(rng.integers(30))
+            n = sid * 7 % 37 + 1
+            rows.add((token, -1 if token < 4 else int(rng.integers(2)), n, sid, n - sid * token % max(1, n // 3)))
+        rows = [r for r in sorted(rows) for _ in range(rng.choice([1, 1, 2, 3]))]
+        want = sorted((t ^ int(jaccard_join.mix(np.array([part], np.uint64)).view(np.int64)[0]), sid, n, bound) for t, part, n, sid, bound in brute_lists(rows))
+        for cuts in ([], sorted(rng.integers(0, len(rows) + 1, 5).tolist()), list(range(1, len(rows)))):
+            parts = [list(zip(*rows[a:b], strict=True)) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True) if a < b]
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(p, kinds, strict=True)], names=["token", "salt", "n", "sid", "bound"]) for p in parts]
+            assert sorted(tuple(r.values()) for o in jaccard_join._scan_lists(iter(batches)) for r in o.to_pylist()) == want
+
+
 def test_boundary_weighs_pairs_against_lists():
     assert jaccard_join.choose_boundary({}, 1.0) == 0
     assert jaccard_join.choose_boundary({10: 5, 400: 5}, 1.0) < jaccard_join.choose_boundary({10: 5, 40: 5, 400: 5}, 1000.0) < 400

@@ -220,34 +220,67 @@ def _entries(docs: DataFrame, levels: Broadcast[np.ndarray], boundary: int) -> D
 
 
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists of two sets or more, each set once, from rows in the order of token, salt and set.
-
-    A part of a list that was cut (``salt`` from 0; -1 for whole lists) is shown
-    whatever its length, as its other parts may have more. A list may go on over
-    any number of batches; only its last row is kept.
+    """Lists of sets that may link, each set once, from rows in the order of token, salt, size and set.
+
+    A list is cut where a size is followed by one that is too large for both to
+    link; each part is a list of its own (``token`` tells which), and goes if it
+    has one set, or two whose places leave too little. Parts of lists that were
+    cut by hash (``salt`` from 0; -1 for whole lists) are shown as they are, as
+    their other parts have more. Of a list that goes on in the next batch, two
+    sets at most wait.
     """
     names = ["token", "salt", "sid", "n", "bound"]
-    last: dict[str, np.ndarray] | None = None
-    told = False
+    waiting: dict[str, np.ndarray] | None = None
+    told = False  # whether the one row that waits has been shown
+    seg = 0
+
+    def shown(c: dict[str, np.ndarray], first: np.ndarray, complete: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows to show, and the number of each row's list; of the last list, only if it is complete or has three sets."""
+        number = np.cumsum(first) - 1
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(first)))
+        fine = (size > 2) | (c["salt"][at] >= 0)
+        two = at[size == 2]
+        least = np.minimum(c["bound"][two], c["bound"][two + 1]).astype(np.int64)
+        fine[size == 2] |= least * (100 + PERCENT) >= (c["n"][two].astype(np.int64) + c["n"][two + 1]) * PERCENT
+        if told:
+            fine[0] = True
+        if not complete and size[-1] < 3 and not (told and len(at) == 1):
+            fine[-1] = False
+        return fine[number], number
+
+    def rows(c: dict[str, np.ndarray], first: np.ndarray, show: np.ndarray) -> pa.RecordBatch:
+        start = c["n"][np.flatnonzero(first)][np.cumsum(first) - 1].astype(np.uint64)
+        start[: int(np.argmax(np.append(first[1:], True))) + 1] = seg or start[0]
+        part = np.where(c["salt"] >= 0, np.uint64(0), start)
+        return pa.RecordBatch.from_arrays([pa.array(x[show]) for x in (c["token"] ^ mix(part).view(np.int64), c["sid"], c["n"], c["bound"])], names=["token", "sid", "n", "bound"])
+
     for b in batches:
         if not b.num_rows:
             continue
         c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
-        if last is not None:
-            c = {k: np.concatenate([last[k], c[k]]) for k in names}
-        new_list = np.concatenate([[True], (c["token"][1:] != c["token"][:-1]) | (c["salt"][1:] != c["salt"][:-1])])
-        fresh = np.concatenate([[True], new_list[1:] | (c["sid"][1:] != c["sid"][:-1])])
-        number = np.cumsum(new_list) - 1
-        several = np.bincount(number, weights=fresh) > 1
-        several[0] |= told  # its first sets were in batches before
-        show = fresh & (several[number] | (c["salt"] >= 0))
-        if last is not None and (told or c["salt"][0] >= 0):
-            show[0] = False  # shown already
-        told = bool(several[-1])
-        shown = {k: x[show] for k, x in c.items()}
-        # The last row waits as long as nothing shows whether its list has two sets.
-        last = {k: x[-1:] for k, x in c.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(shown[k]) for k in ("token", "sid", "n", "bound")], names=["token", "sid", "n", "bound"])
+        if waiting is not None:
+            c = {k: np.concatenate([waiting[k], c[k]]) for k in names}
+        same = (c["token"][1:] == c["token"][:-1]) & (c["salt"][1:] == c["salt"][:-1])
+        fresh = np.concatenate([[True], ~same | (c["sid"][1:] != c["sid"][:-1])])
+        c, same = {k: x[fresh] for k, x in c.items()}, same[fresh[1:]]
+        near = (c["n"][:-1].astype(np.int64) * 100 >= c["n"][1:].astype(np.int64) * PERCENT) | (c["salt"][1:] >= 0)
+        first = np.concatenate([[True], ~(same & near)])
+        show, number = shown(c, first, False)
+        put = show.copy()
+        put[0] &= not told
+        yield rows(c, first, put)
+        # What the next batch needs of the last list.
+        last = number == number[-1]
+        alone = number[-1] == 0
+        if not alone:
+            seg = 0
+        seg = int(seg or c["n"][last][0])
+        told = bool(show[-1])
+        waiting = {k: x[-1:] if told else x[last] for k, x in c.items()}
+    if waiting is not None and not told:
+        first = np.arange(len(waiting["n"])) == 0
+        yield rows(waiting, first, shown(waiting, first, True)[0])
 
 
 def _with_pivot(rows: DataFrame, scratch: Scratch, able: str = "true") -> DataFrame:
@@ -367,7 +400,7 @@ def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = {r["size"]: r["c"] for r in named.groupBy(binned.alias("size")).agg(F.count("*").alias("c")).collect()}  # 512 sizes, and 16 for each doubling
     boundary = choose_boundary(sizes, list_length(n, second))
     sent = docs.sparkSession.sparkContext.broadcast(levels)
-    entries = _entries(docs, sent, boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
+    entries = _entries(docs, sent, boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
     lists = scratch.keep(arrow_map(entries, _scan_lists, "token long, sid long, n int, bound int"), large=True)
     sets = _listed_sets(docs, lists, named, sent, scratch)
     sent.destroy()
