@@ -96,11 +96,64 @@ def test_lm_scores(documents, few, monkeypatch):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
-def test_lm_corners(corners, nothing):
+def brute_scores(docs, hmm, symbols_of):
+    """The forward recursion word by word, and add-one shares within classes."""
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    c = Counter(w for d, t in docs if not held(d) for w in words((t or "").translate(LOWER)))
+
+    def class_of(w):
+        raw = w.encode()
+        last = raw[-1]
+        group = last - 97 if 97 <= last <= 122 else 26 if 48 <= last <= 57 else 27 if last < 128 else 28
+        return 1 + 3 * group + (len(raw) > 4) + (len(raw) > 8)
+
+    rare = Counter()
+    for w, n in c.items():
+        if w not in symbols_of:
+            rare[class_of(w)] += n + 1
+    out = []
+    for d, t in docs:
+        f, log = None, 0.0
+        for w in [*words((t or "").translate(LOWER)), None]:
+            symbol = 0 if w is None else symbols_of.get(w, class_of(w))
+            share = 1.0 if w is None or w in symbols_of else (c[w] + 1) / (rare[class_of(w)] + 1)
+            f = (hmm.start if f is None else f @ hmm.step) * hmm.emit[symbol] * share
+            log, f = log + math.log10(f.sum()), f / f.sum()
+        out.append((d, round(log, 4)))
+    return sorted(out, key=str)
+
+
+def test_lm_scores_equal_a_plain_recursion(spark, documents, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "KNOWN", 700)
+    monkeypatch.setattr(hmm_lm, "SYMBOLS", 120)
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 50)
+    learnt, chosen, train, most_frequent = [], [], hmm_lm.train, hmm_lm.most_frequent
+    monkeypatch.setattr(hmm_lm, "train", lambda *a: learnt.append(train(*a)) or learnt[-1])
+    monkeypatch.setattr(hmm_lm, "most_frequent", lambda *a: chosen.append(most_frequent(*a)) or chosen[-1])
+    few = documents.limit(40)
+    docs = [(r.doc_id, r.text) for r in few.collect()]
+    rows = hmm_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), rounds=2).collect()
+    vocabulary = sorted({w for _, t in docs for w in words(t.translate(LOWER))})
+    name = dict(zip(vocabulary, hmm_lm.word_hashes(" ".join(vocabulary).encode())[0].view(np.int64).tolist(), strict=True))
+    symbol = {h: 1 + hmm_lm.CLASSES + i for i, h in enumerate(chosen[1].hashes.tolist())}
+    assert 100 < len(symbol) <= 120
+    assert sorted(((r.doc_id, round(r.score, 4)) for r in rows), key=str) == pytest.approx(brute_scores(docs, learnt[0], {w: symbol[h] for w, h in name.items() if h in symbol}))
+
+
+def test_lm_ties_at_the_top_leave_symbols(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    counts = hmm_lm.token_counts(spark.createDataFrame([(text,)] * 3, "text string"))
+    assert 80 <= len(hmm_lm.most_frequent(counts.filter("class > 0"), 100).hashes) <= 100
+    assert hmm_lm.symbols_for(10) == hmm_lm.SYMBOLS < hmm_lm.symbols_for(10**9) < hmm_lm.symbols_for(10**13) < 1 << 19
+
+
+def test_lm_corners(corners, clashing, nothing):
     rows = hmm_lm.score_documents(corners, rounds=1).collect()
     check_base(rows, [(r.doc_id, r.text) for r in corners.collect()])
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert hmm_lm.score_documents(nothing, rounds=1).count() == 0
+    again = hmm_lm.score_documents(clashing, rounds=1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
 # --- classifier ---

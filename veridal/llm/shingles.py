@@ -58,27 +58,24 @@ def byte_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, seeds: tuple[i
     return out
 
 
-def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word."""
+def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word."""
     inside = np.concatenate([[False], ~_GAP[np.frombuffer(raw, np.uint8)], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    return byte_hashes(raw, starts, ends)[0], starts
+    return byte_hashes(raw, starts, ends)[0], starts, ends
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_hash_words`` in chunks that end between words, so that memory does not follow a long text."""
-    hashes, starts, at = [], [], 0
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     while at < len(raw):
         gap = _FIRST_GAP.search(raw, at + _CHUNK)
         end = gap.start() if gap else len(raw)
-        h, s = _hash_words(raw[at:end])
-        hashes.append(h)
-        starts.append(s + at)
+        h, s, e = _hash_words(raw[at:end])
+        parts.append((h, s + at, e + at))
         at = end
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def _fold(parts: list[np.ndarray]) -> np.ndarray:
@@ -91,7 +88,7 @@ def _fold(parts: list[np.ndarray]) -> np.ndarray:
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """The distinct shingles of each text, ascending; a text of 1 to 4 words is one shingle."""
     raw = [(t or b"").lower() for t in texts]
-    hashes, starts = word_hashes(b"\n".join(raw))
+    hashes, starts, _ = word_hashes(b"\n".join(raw))
     firsts = np.cumsum([0, *(len(t) + 1 for t in raw)])
     at = np.searchsorted(starts, firsts)
     full = _fold([hashes[k : len(hashes) - SIZE + 1 + k] for k in range(SIZE)]) if len(hashes) >= SIZE else np.zeros(0, np.uint64)
