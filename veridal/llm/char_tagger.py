@@ -41,6 +41,7 @@ class Tagger:
     out: np.ndarray  # 2 HIDDEN x TAGS
     bias: np.ndarray  # TAGS
     step: np.ndarray  # TAGS x TAGS
+    recall: float = 0.0  # on held-out spans
 
     def parts(self) -> list[np.ndarray]:
         return [self.table, self.recur, self.out, self.bias, self.step]

@@ -1,10 +1,18 @@
 """PII: fixed rules, and spans that a character-level BiLSTM-CRF adds.
 
 The rules find e-mail addresses, IP addresses, card numbers and telephone numbers
-by their form. Their spans, in windows of a bounded sample of documents, train
-the tagger; some of them are first rewritten in ways that the rules do not know
-(a spelled-out e-mail address, a number without its country code), so that the
-tagger learns the context and the shape rather than the rules.
+by their form, in time that follows the text's length. Their spans in a sample of
+about ``SAMPLE`` documents, chosen by a hash, are the labels: at most ``SPANS_EACH``
+of each kind and as many windows without any. The tagger learns from ``WINDOWS``
+windows that are made of them, as many of each kind, with other digits and letters
+put in for those of the span, and a third of the e-mail addresses and telephone
+numbers rewritten in ways that the rules do not know (spelled out; without the
+country code), so that it learns shape and context rather than the rules.
+
+A fifth of the spans is held out. ``train`` measures how many of these, changed and
+rewritten like the others, the tagger finds in their places; under ``LEAST_RECALL``
+it fits again from another start, three times in all, and the best fit stays, with
+a warning if that is still under.
 
 A whole text is covered by windows of ``WINDOW`` characters that overlap by
 ``OVERLAP``; all are decoded. A span counts from the window in whose middle part
@@ -14,13 +22,16 @@ and no rule's span touches it. Rules' spans always stay.
 
 Defined results: null counts as empty, without spans; repeated rows are treated
 one by one; texts of any length are covered whole; offsets are code points, ends
-exclusive; without any span to learn from, the tagger adds none.
+exclusive; an empty table gives an empty table; columns besides id and text are not
+read, so none can clash; without any span to learn from, the tagger adds none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridal.llm.char_tagger import KINDS, Tagger, allowed_steps, best_tags, char_codes, fit, tag_scores
-from veridal.llm.store import arrow_map, in_slices
+from veridal.llm.char_tagger import KINDS, Tagger, best_tags, char_codes, fit, tag_scores
+from veridal.llm.store import arrow_map, cut, in_slices
 
 WINDOW, OVERLAP = 256, 48
 TRAIN_WINDOW = 128
-MOST_DOCUMENTS, WINDOWS_EACH = 900, 2
-ROUNDS, BATCH, RATE, SEED = 12, 128, 0.03, 7
+SAMPLE, SPANS_EACH, WINDOWS = 20_000, 300, 1536
+LEAST_RECALL, FITS, HELD_OUT_OF = 0.8, 3, 5
+ROUNDS, BATCH, RATE, SEED = 12, 96, 0.03, 7
 _LANES = 1024
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The same matches as without the look behind and the possessive repeats, which keep a long run of digits from being read again from each of them.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -59,6 +72,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _in_a_byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def has_properties(kind: int, text: str, a: int, b: int) -> bool:
     """What a span must have to be of its kind, whoever finds it: it stands alone, and its form fits."""
     found = text[a:b]
@@ -69,10 +88,10 @@ def has_properties(kind: int, text: str, a: int, b: int) -> bool:
         return bool(re.search(r"@|\bat\b", found)) and bool(re.search(r"\.|\bdot\b", found))
     if kind == 1:
         parts = re.findall("[0-9]+", found)
-        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(map(_in_a_byte, parts))
     if kind == 2:
         return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and (found[0] == "+" or bool(re.search(r"[0-9)][ .()-]+[0-9(]", found)))
+    return 10 <= len(digits) <= 15 and (found[0] == "+" or len(found.strip("().- ")) > len(digits))
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -94,7 +113,7 @@ def rule_spans(text: str) -> list[Span]:
     """Leftmost matches that do not overlap within their kind; failing ones are dropped."""
     out = list(_emails(text))
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(map(_in_a_byte, m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
@@ -177,81 +196,124 @@ def all_spans(texts: list[str], model: Tagger | None) -> list[tuple[list[Span],
     return out
 
 
-def _rewritten(found: str, kind: int, pick: int) -> str:
-    """A labelled span, or a form of it that the rules do not find."""
-    if kind == 0 and pick % 3 == 0:
+def spans_in_place(text: str, key: int) -> list[tuple[int, int, str, str, str]]:
+    """``(key, kind, before, found, after)`` of one span of each kind, alone in its window, and of one window without any (kind -1)."""
+    rng, spans, out = np.random.default_rng(key & 0xFFFFFFFF), rule_spans(text), []
+    for kind in range(len(KINDS)):
+        mine = [s for s in spans if s[1] == kind and s[2] - s[0] < TRAIN_WINDOW // 2]
+        if mine:
+            a, _, b = mine[int(rng.integers(len(mine)))]
+            low = max([0, a - TRAIN_WINDOW, *(e for _, _, e in spans if e <= a)])
+            high = min([b + TRAIN_WINDOW, *(x for x, _, _ in spans if x >= b)])
+            if not any(x < b and a < e for x, k, e in spans if (x, k, e) != (a, kind, b)):
+                out.append((key, kind, text[low:a], text[a:b], text[b:high]))
+    free = int(rng.integers(0, max(1, len(text) - TRAIN_WINDOW)))
+    if not any(a < free + TRAIN_WINDOW and free < b for a, _, b in spans):
+        out.append((key, -1, "", "", text[free : free + TRAIN_WINDOW]))
+    return out
+
+
+def changed(found: str, kind: int, rng: np.random.Generator) -> str:
+    """A span of the same kind: other digits and letters, and at times a form that the rules do not find.
+
+    It need not pass the checks on numbers, which the tagger does not learn.
+    """
+    if kind == 1:
+        found = ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
+    else:
+        made = rng.integers(0, 26, len(found)).tolist()
+        found = "".join(chr(ord("0") + m % 10) if c.isdigit() else chr(ord("a") + m) if kind == 0 and "a" <= c <= "z" and m % 3 else c for c, m in zip(found, made, strict=True))
+    if kind == 0 and rng.random() < 1 / 3:
         return found.replace("@", " at ").replace(".", " dot ")
-    if kind == 3 and pick % 3 == 0 and " " in found:
+    if kind == 3 and rng.random() < 1 / 3 and " " in found:
         return found.split(" ", 1)[1]
     return found
 
 
-def training_windows(text: str, key: int, each: int = WINDOWS_EACH) -> list[tuple[bytes, bytes]]:
-    """Codes and tags of windows around the first spans of a text, and of one window elsewhere."""
-    rng = np.random.default_rng(key & 0xFFFFFFFF)
-    out = []
-    spans = rule_spans(text)
-    for a, kind, b in [spans[i] for i in sorted(rng.permutation(len(spans))[:each].tolist())]:
-        new = _rewritten(text[a:b], kind, int(rng.integers(12)))
-        shift = int(rng.integers(0, TRAIN_WINDOW - 8))
-        low = max(0, a - shift)
-        piece = text[low:a] + new + text[b : b + TRAIN_WINDOW]
-        tags = np.zeros(len(piece), np.uint8)
-        for x, k, y in spans:
-            if x >= b:
-                x, y = x - (b - a) + len(new), y - (b - a) + len(new)
-            if x != a and low <= x and y - low <= len(piece):
-                tags[x - low : y - low] = 2 + 2 * k
-                tags[x - low] = 1 + 2 * k
-        tags[a - low : a - low + len(new)] = 2 + 2 * kind
-        tags[a - low] = 1 + 2 * kind
-        if allowed_steps()[np.append(0, tags[:-1]), tags].all():  # spans of two kinds may overlap
-            out.append((piece[:TRAIN_WINDOW], tags[:TRAIN_WINDOW]))
-    free = int(rng.integers(0, max(1, len(text) - TRAIN_WINDOW)))
-    if not any(a < free + TRAIN_WINDOW and free < b for a, _, b in spans):
-        out.append((text[free : free + TRAIN_WINDOW], np.zeros(min(TRAIN_WINDOW, len(text) - free), np.uint8)))
-    packed = []
-    for piece, tags in out:
-        codes = np.zeros(TRAIN_WINDOW, np.uint8)
-        codes[: len(piece)] = char_codes(piece)
-        full = np.zeros(TRAIN_WINDOW, np.uint8)
-        full[: len(tags)] = tags
-        packed.append((codes.tobytes(), full.tobytes()))
-    return packed
-
-
-def train(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> Tagger | None:
-    """Fit on windows of at most ``most_documents`` documents (``id``, ``text``) with a digit, chosen by a hash of their ids."""
-    some = docs.filter(F.col("id").isNotNull() & F.col("text").rlike("[0-9]{2}|@"))
-    ids = some.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_documents).select(F.col("id").alias("chosen"))
-    chosen = docs.join(F.broadcast(ids), F.col("id") == F.col("chosen")).select(F.xxhash64("id").alias("key"), "text")
+def made_windows(places: list[tuple[int, str, str, str]], n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of ``n`` windows, dealt evenly over kinds and over the places of a kind."""
+    rng = np.random.default_rng(seed)
+    by_kind = [[p for p in places if p[0] == k] for k in range(-1, len(KINDS))]
+    by_kind = [x for x in by_kind if x]
+    codes, tags = np.zeros((n, TRAIN_WINDOW), np.uint8), np.zeros((n, TRAIN_WINDOW), np.uint8)
+    for row in range(n if by_kind else 0):
+        some = by_kind[row % len(by_kind)]
+        kind, before, found, after = some[row // len(by_kind) % len(some)]
+        if kind < 0:
+            piece = char_codes(after)[:TRAIN_WINDOW]
+        else:
+            new = changed(found, kind, rng)
+            at = min(len(before), int(rng.integers(0, max(1, TRAIN_WINDOW - len(new)))))
+            piece = char_codes(before[len(before) - at :] + new + after)[:TRAIN_WINDOW]
+            tags[row, at : at + len(new)] = 2 + 2 * kind
+            tags[row, at] = 1 + 2 * kind
+        codes[row, : len(piece)] = piece
+    return codes, tags
+
+
+def recall_of(model: Tagger, codes: np.ndarray, tags: np.ndarray) -> float:
+    """The share of tagged spans that the model finds to the character."""
+    best = best_tags(tag_scores(np.ascontiguousarray(codes.T), model), model).T
+    want = [(i, s) for i in range(len(tags)) for s in tag_spans(tags[i])]
+    found = {(i, s) for i in range(len(tags)) for s in tag_spans(best[i])}
+    return sum(w in found for w in want) / max(1, len(want))
+
+
+def labelled_places(docs: DataFrame, sample: int = SAMPLE, each: int = SPANS_EACH) -> list[tuple[int, int, str, str, str]]:
+    """``spans_in_place`` of about ``sample`` documents, at most ``each`` of a kind, in the order of a hash."""
+    share = min(1.0, sample / max(1, docs.count()))
+    key = F.xxhash64("id", "text")
+    some = docs.select(key.alias("key"), "text").filter(F.pmod("key", F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
         for some in in_slices(batches, "text"):
-            keys = some.column("key").to_pylist()
-            rows = [(k, c, t) for k, text in zip(keys, some.column("text").to_pylist(), strict=True) for c, t in training_windows(text, k)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["key", "codes", "tags"])
-
-    found = arrow_map(chosen, run, "key long, codes binary, tags binary").distinct().orderBy("key", "codes", "tags").toArrow()
-    codes, tags = (np.frombuffer(b"".join(found.column(c).to_pylist()), np.uint8).reshape(-1, TRAIN_WINDOW) for c in ("codes", "tags"))
-    return fit(codes, tags, ROUNDS, BATCH, RATE, SEED) if tags.any() else None
+            rows = [r for k, t in zip(some.column("key").to_pylist(), some.column("text").to_pylist(), strict=True) for r in spans_in_place(t or "", k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "kind", "before", "found", "after"])
+
+    places = cut(arrow_map(some, run, "key long, kind int, before string, found string, after string").distinct())
+    by_hash = [places.filter(F.col("kind") == k).orderBy("key", "before", "found", "after").limit(each) for k in range(-1, len(KINDS))]
+    return [tuple(r) for df in by_hash for r in df.collect()]
+
+
+def train(docs: DataFrame) -> Tagger | None:
+    """Fit on windows made of the rules' spans in a sample of ``docs`` (``id``, ``text``); ``recall`` is that on held-out spans."""
+    places = labelled_places(docs)
+    if not any(p[1] >= 0 for p in places):
+        return None
+    apart = [p[1:] for p in places if p[0] % HELD_OUT_OF == 0]
+    seen = [p[1:] for p in places if p[0] % HELD_OUT_OF]
+    if not any(p[0] >= 0 for p in apart) or not any(p[0] >= 0 for p in seen):  # too few to hold any out
+        apart = seen = [p[1:] for p in places]
+    codes, tags = made_windows(seen, WINDOWS, SEED)
+    check = made_windows(apart, WINDOWS // 4, SEED + 1)
+    best: Tagger | None = None
+    for k in range(FITS):
+        model = fit(codes, tags, ROUNDS, BATCH, RATE, SEED + k)
+        model.recall = recall_of(model, *check)
+        best = model if best is None or model.recall > best.recall else best
+        if best.recall >= LEAST_RECALL:
+            return best
+    warnings.warn(f"the tagger finds {best.recall:.0%} of held-out spans only", stacklevel=2)
+    return best
 
 
 def find_private(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, numbers of rules' spans by kind, their digest, and all spans."""
+    """One row per document: id, numbers of rules' spans by kind, their digest, all spans, and how many the tagger added."""
     table = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(train(table))
-    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in in_slices(batches, "text", 2_000_000):
             pairs = all_spans([t or "" for t in some.column("text").to_pylist()], sent.value)
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in pairs], pa.int64()) for k in range(len(KINDS))]
+            added = pa.array([len(every) - len(base) for base, every in pairs], pa.int64())
             sha = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in pairs])
-            yield pa.RecordBatch.from_arrays([some.column("id"), *counts, sha, pa.array([joined(every) for _, every in pairs], pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([some.column("id"), *counts, sha, pa.array([joined(every) for _, every in pairs], pa.string()), added], names=names)
 
     kind = table.dtypes[0][1]
-    return arrow_map(table, run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return arrow_map(table, run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumnRenamed("id", id_col)
 
 
 def masked(text: str, spans: list[Span]) -> str:
