@@ -9,7 +9,9 @@ Model. Orders 2 and 1 each predict one id for their context, with a confidence.
 Whether order 2, order 1 or neither is right is coded with a mix of three
 adaptive distributions (by confidence of order 2, of order 1, and by the lane's
 last two outcomes), weighted by how well each has done. What neither predicts is
-coded by adaptive order-0 counts. All of it is integer arithmetic, so that any
+coded by adaptive order-0 counts. Predictions learn after every step; the
+distributions are made anew from their counts after each of the first ``EVERY``
+steps, then after every ``EVERY``-th. All of it is integer arithmetic, so that any
 machine decodes what another has written.
 
 Coder. A carryless range coder with 64-bit state and 16-bit words per lane; the
@@ -28,6 +30,7 @@ _HEAD = struct.Struct("<4sIIIIII")
 _TOP, _BOT, _U16 = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 _MOST_LANES, _LEAST_STEPS = 8192, 128
 _HASH_BITS = 20
+EVERY = 8
 _STEP_0, _LIMIT_0, _LIMIT_FLAG = 24, 1 << 22, 1 << 14
 
 
@@ -35,8 +38,8 @@ class _Model:
     """What encoder and decoder both know after every step."""
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
+        self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
+        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int8)
         self.count0 = np.ones(vocabulary, np.int64)
         self.flags = [np.ones((n, 3), np.int64) for n in (16, 16, 9)]
         self.weight = np.array([21, 21, 22], np.int64)
@@ -47,6 +50,7 @@ class _Model:
         joint = np.arange(8 * 8 * 2 * 9)
         history, agree, s1, s2 = joint % 9, joint // 9 % 2, joint // 18 % 8, joint // 144
         self.parts = (s2 * 2 + agree, s1 * 2 + agree, history)
+        self.seen, self.literals, self.step = np.zeros(3456, np.int64), [], 0
         self.refresh()
 
     def refresh(self) -> None:
@@ -68,32 +72,42 @@ class _Model:
         self.c2 = (self.before[:n] * 40503 ^ self.last[:n] * 2654435761 >> 7) & ((1 << _HASH_BITS) - 1)
         self.p1, self.p2 = self.next1.take(self.c1), self.next2.take(self.c2)
         self.s1, self.s2 = self.sure1.take(self.c1), self.sure2.take(self.c2)
-        self.joint = ((self.s2 * 8 + self.s1) * 2 + (self.p1 == self.p2)) * 9 + self.history[:n]
+        self.joint = ((self.s2.astype(np.int64) * 8 + self.s1) * 2 + (self.p1 == self.p2)) * 9 + self.history[:n]
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, 2))
 
     def learn(self, ids: np.ndarray, flag: np.ndarray, literals: np.ndarray) -> None:
         n = len(ids)
-        seen = np.bincount(self.joint * 3 + flag, minlength=3456).reshape(1152, 3)
-        for k, (counts, part) in enumerate(zip(self.flags, self.parts, strict=True)):
-            self.score[k] += (self.single[k][part] * seen).sum()
-            np.add.at(counts, part, seen)
-            big = counts.sum(1) > _LIMIT_FLAG
-            if big.any():
-                counts[big] = (counts[big] + 1) >> 1
-        self.weight = 1 + self.score * 61 // self.score.sum()
-        if self.score.sum() > 1 << 28:
-            self.score = 1 + (self.score >> 1)
-        self.count0 += _STEP_0 * np.bincount(literals, minlength=len(self.count0))
-        if self.count0.sum() > _LIMIT_0:
-            self.count0 = (self.count0 + 1) >> 1
+        self.seen += np.bincount(self.joint * 3 + flag, minlength=3456)
+        self.literals.append(literals)
         for nxt, sure, c, p, s in ((self.next1, self.sure1, self.c1, self.p1, self.s1), (self.next2, self.sure2, self.c2, self.p2, self.s2)):
             right = p == ids
             nxt[c] = np.where(right | (s > 0), p, ids)
             sure[c] = np.where(right, np.minimum(s + 1, 7), s >> 1)
         self.history[:n] = self.history[:n] % 3 * 3 + flag
         self.before[:n], self.last[:n] = self.last[:n], ids
+        self.step += 1
+        if self.step < EVERY or self.step % EVERY == 0:
+            self.add_up()
+
+    def add_up(self) -> None:
+        """Add what was seen since the last time to the counts."""
+        seen = self.seen.reshape(8, 8, 2, 9, 3)
+        sums = (seen.sum((1, 3)).reshape(16, 3), seen.sum((0, 3)).reshape(16, 3), seen.sum((0, 1, 2)))
+        for k, (counts, new, single) in enumerate(zip(self.flags, sums, self.single, strict=True)):
+            self.score[k] += (single * new).sum()
+            counts += new
+            while (big := counts.sum(1) > _LIMIT_FLAG).any():
+                counts[big] = (counts[big] + 1) >> 1
+        self.weight = 1 + self.score * 61 // self.score.sum()
+        while self.score.sum() > 1 << 28:
+            self.score = 1 + (self.score >> 1)
+        self.count0 += _STEP_0 * np.bincount(np.concatenate(self.literals), minlength=len(self.count0))
+        while self.count0.sum() > _LIMIT_0:
+            self.count0 = (self.count0 + 1) >> 1
+        self.seen[:] = 0
+        self.literals = []
         self.refresh()
 
 
