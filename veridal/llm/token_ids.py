@@ -21,8 +21,8 @@ from veridal.llm.shingles import LONG, byte_hashes
 
 _ODD_SPACE = re.compile("[\x85\xa0  -     　]")
 _GROUP = 1 << 20
-_SLOT_BITS = 20
-_WIDTH = 10
+_SLOT_BITS = 21
+_WIDTH = 8
 _SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
