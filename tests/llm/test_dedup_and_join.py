@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.conftest import LOWER, words
@@ -242,6 +243,20 @@ def test_exact_groups(corners, documents, slots):
         assert all(r.doc_id == r.keep_id for r in rows if r.kept)
 
 
+def test_one_row_repeated_many_times_is_spread(spark):
+    many = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same").alias("text")).repartition(8)
+    others = spark.createDataFrame([(1, "the SAME"), (None, "the same"), (2, "x"), (2, "X"), (None, "y")], "doc_id long, text string")
+    for df in (many.unionByName(others), many.select(F.lit(None).cast("long").alias("doc_id"), "text").unionByName(others)):
+        groups_ = exact_dedup.exact_groups(df)
+        assert groups_.filter("kept").count() == 3 and groups_.count() == 200_005
+        assert groups_.filter("group_size = 200002").count() == 200_002
+        shuffled = groups_.filter(F.col("group_size") == 2).agg(F.count("*")).first()[0]
+        assert shuffled == 2
+        plan = groups_._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window") and "heavy" in plan
+        assert exact_dedup.drop_copies(df).count() == 3
+
+
 def test_exact_dedup_keeps_columns_and_one_row_each(clashing, nothing):
     out = exact_dedup.drop_copies(clashing, slots=2)
     assert out.columns == clashing.columns

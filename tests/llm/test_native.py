@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -73,7 +74,22 @@ def test_quality_rules_equal_brute_force(spark, sf_dir, documents, labels):
         assert r.kept == (not r.base_failed and r.ratio >= quality_rules.THRESHOLD)
 
 
-def test_quality_rules_corners(corners, nothing, labels):
+def test_quality_rules_tell_labelled_documents_apart(spark, sf_dir):
+    for folder in (sf_dir, sf_dir.replace("sf0.001", "sf0.01")):
+        docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+        rows = quality_rules.judge_labelled(docs, labels).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()
+        kept = {r[0]: r[1] for r in rows}
+        assert kept[1] > 0.98 and kept.get(0, 0) < 0.02, (folder, kept)
+
+
+def test_only_labelled_texts_move(spark, documents, labels):
+    table = documents.select(F.col("doc_id").alias("id"), "text")
+    good = {r.doc_id for r in labels.filter("quality = 1 AND toxic = 0").collect()}
+    texts = quality_rules.labelled_texts(table, labels)
+    assert Counter(r.text for r in texts.collect()) == Counter(r.text for r in table.collect() if r.id in good)
+
+
+def test_quality_rules_corners(corners, clashing, nothing, labels):
     rows = quality_rules.judge_labelled(corners, labels.filter("false")).collect()
     assert len(rows) == corners.count()
     texts = defaultdict(set)
@@ -81,6 +97,9 @@ def test_quality_rules_corners(corners, nothing, labels):
         texts[r.doc_id].add(base_counts(r.text))
     assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in texts[r.doc_id] and r.ratio == 0 for r in rows)
     assert quality_rules.judge_labelled(nothing, labels).count() == 0
+    assert sorted(map(str, quality_rules.judge_labelled(clashing, labels.filter("false")).collect())) == sorted(map(str, rows))
+    kept = quality_rules.keep_clean(clashing, labels.filter("false"))
+    assert kept.columns == clashing.columns and kept.count() == sum(r.kept for r in rows)
 
 
 # --- URL filters ---
@@ -105,7 +124,7 @@ def rule_for(host, path):
 def keys(url):
     for at in range(1, len(url) + 1):
         for k in range(min(at - 1, url_filter.ORDER) + 1):
-            yield at, k, hash64(f"\x01{k}" + url[at - 1 - k : at - 1]) % url_filter.BUCKETS, hash64(f"\x02{k}" + url[at - 1 - k : at]) % url_filter.BUCKETS
+            yield at, k, ("context", k, url[at - 1 - k : at - 1]), ("gram", k, url[at - 1 - k : at])
 
 
 def log_likelihood(url, counts):
@@ -117,14 +136,19 @@ def log_likelihood(url, counts):
     return total
 
 
+def held_out(url):
+    return hash64(url) % url_filter.HELD_OUT_OF == 0
+
+
 def url_verdicts(urls):
     counts = {"allow": Counter(), "block": Counter()}
     rules = [rule_for(*split_url(u)) for u in urls]
     for u, r in zip(urls, rules, strict=True):
-        for _, _, context, gram in keys(u) if r and u else ():
+        for _, _, context, gram in keys(u) if r and u and not held_out(u) else ():
             counts[r[0]].update((context, gram))
     score = [(log_likelihood(u, counts["allow"]) - log_likelihood(u, counts["block"])) / len(u) if u else None for u in urls]
-    by = {v: [s for s, r in zip(score, rules, strict=True) if r and r[0] == v and s is not None] for v in counts}
+    decided = [(s, r[0], held_out(u)) for u, s, r in zip(urls, score, rules, strict=True) if r and s is not None]
+    by = {v: [s for s, x, h in decided if x == v and h] or [s for s, x, _ in decided if x == v] for v in counts}
     if not all(by.values()):
         return rules, score, None
     mean = {v: sum(x) / len(x) for v, x in by.items()}
@@ -160,7 +184,7 @@ def test_url_scores_come_from_exact_counts(spark, monkeypatch, frequent):
     seen = {"allow": Counter(), "block": Counter()}
     orders = [[(k, u[at - 1 - k : at]) for at in range(1, len(u) + 1) for k in range(min(at - 1, url_filter.ORDER) + 1)] for u in urls]
     for u, o in zip(urls, orders, strict=True):
-        if (rule := rule_for(*split_url(u))) is not None:
+        if (rule := rule_for(*split_url(u))) is not None and not held_out(u):
             seen[rule[0]].update(x for k, g in o for x in ((k, g), (k, g[:-1], "context")))
 
     def log_of(o, counts):
@@ -179,11 +203,25 @@ def test_url_scores_come_from_exact_counts(spark, monkeypatch, frequent):
         assert got[i] == pytest.approx((log_of(o, seen["allow"]) - log_of(o, seen["block"])) / len(u), abs=1e-9)
 
 
+def test_long_and_repeated_urls(spark):
+    long = "http://a.net/" + "abcdé" * 40_000
+    urls = [long, "http://b.org/es/1", "http://c.net/de/2", long, "http://b.org/es/1"]
+    begun = time.perf_counter()
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    assert time.perf_counter() - begun < 60
+    by_url = defaultdict(set)
+    for r in rows:
+        by_url[urls[r.page_id]].add((r.host, r.rule, r.verdict, r.score))
+    assert len(rows) == len(urls) and all(len(x) == 1 for x in by_url.values())
+
+
 def test_url_filter_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.org/es/", "x"), (None, None, "y")], "page_id long, url string, blocked_id string")
     out = url_filter.drop_rejected(pages, RULES)
     assert out.columns == pages.columns and [r.blocked_id for r in out.collect()] == ["y"]
     assert url_filter.filter_urls(pages.filter("false"), RULES).count() == 0
+    names = ["id", "row", "host", "path", "rule", "verdict", "held_out", "window", "n", "score", "threshold"]
+    assert sorted(map(str, url_filter.filter_urls(pages.withColumns({c: F.lit(c) for c in names}), RULES).collect())) == sorted(map(str, url_filter.filter_urls(pages, RULES).collect()))
 
 
 # --- mixing ---

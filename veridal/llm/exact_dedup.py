@@ -3,49 +3,39 @@
 A Misra-Gries summary of each partition finds the digests that may be frequent;
 the summaries add up in a shuffle of at most ``slots`` rows a partition, and at
 most ``slots`` digests can hold more than a ``slots``-th part of all rows. Those
-are counted exactly (verified), and their winners are broadcast, so that copies
-in a large group leave where they are read. All other digests, and the winners,
-go through an ordinary shuffle, where no group can hold more than about a
-``slots``-th part of the rows.
+are counted exactly (verified), and their winners are broadcast, so that the rows
+of a large group are decided where they are read, also if all have one id. All
+other digests go through an ordinary shuffle, where no group can hold more than
+about a ``slots``-th part of the rows.
 
 Defined results: null text counts as empty; rows with equal text and equal (or
 null) ids are copies like any others, and exactly one row of a group stays; a
-null id is less than any other; an empty table gives an empty table; further
-columns pass through, whatever their names.
+null id is less than any other; a text of any length is hashed whole; an empty
+table gives an empty table; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridal.llm.store import arrow_map, cut, in_slices
+from veridal.llm.store import arrow_map, ascii_lower, cut
 
 SLOTS = 1024
 
 
-def text_digest(text: bytes) -> bytes:
+def digest_of(text: Column) -> Column:
     """SHA-256 of the text's UTF-8 bytes with A-Z lower-cased."""
-    return hashlib.sha256(text.lower()).digest()
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
 def digests(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(id, digest)`` of every row; only these leave the Python worker."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, "text"):
-            raw = pc.fill_null(part.column("text").cast(pa.binary()), b"")
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([text_digest(t) for t in raw.to_pylist()], pa.binary())], names=["id", "digest"]
-            )
-
-    kind = docs.select(id_col).dtypes[0][1]
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, digest binary")
+    """``(id, digest, row)`` of every row; ``row`` is another number for each."""
+    return docs.select(F.col(id_col).alias("id"), digest_of(F.col(text)).alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
 def misra_gries(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
@@ -69,7 +59,7 @@ def misra_gries(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.Re
 
 
 def winners(table: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``(digest, win, group_size)`` of every digest on more than a ``slots``-th of the rows.
+    """``(heavy, win, win_row, group_size)`` of every digest on more than a ``slots``-th of the rows.
 
     At most ``slots`` rows come out, whatever the input: counters never exceed
     the true counts, and the true counts add up to the number of rows.
@@ -78,52 +68,40 @@ def winners(table: DataFrame, slots: int = SLOTS) -> DataFrame:
     found = cut(found)
     rows = F.broadcast(found.filter(F.col("digest").isNull()).select(F.col("n").alias("rows")))
     maybe = found.filter(F.col("digest").isNotNull()).join(rows, F.col("n") * (slots + 1) > F.col("rows")).select("digest")
-    return (
+    best = (
         table.join(F.broadcast(maybe), "digest", "left_semi")
         .groupBy("digest")
-        .agg(F.max("id").alias("win"), F.count("*").alias("group_size"))
+        .agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
     )
-
-
-def mark(table: DataFrame, heavy: DataFrame) -> DataFrame:
-    """``table`` (with ``id`` and ``digest``) with ``keep_id``, ``group_size`` and ``kept``."""
-    seen = table.join(F.broadcast(heavy.withColumnRenamed("digest", "heavy_digest")), F.col("digest") == F.col("heavy_digest"), "left")
-    copy = F.col("heavy_digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("win"))
-    names = [F.col(f"`{c}`") for c in table.columns]
-    gone = seen.filter(copy).select(*names, F.col("win").alias("keep_id"), "group_size", F.lit(False).alias("kept"))
-    group = Window.partitionBy("digest")
-    rest = (
-        seen.filter(~copy)
-        .withColumn("place", F.row_number().over(group.orderBy(F.col("id").desc_nulls_last())))
-        .select(
-            *names,
-            F.max("id").over(group).alias("keep_id"),
-            F.coalesce("group_size", F.count("*").over(group)).alias("group_size"),
-            (F.col("place") == 1).alias("kept"),
-        )
-    )
-    return gone.unionByName(rest)
+    return best.select(F.col("digest").alias("heavy"), F.col("best.id").alias("win"), F.col("best.row").alias("win_row"), "group_size")
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     table = cut(digests(docs, text, id_col))
-    out = mark(table, winners(table, slots))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    seen = table.join(F.broadcast(winners(table, slots)), F.col("digest") == F.col("heavy"), "left")
+    heavy = seen.filter("heavy IS NOT NULL").select("id", "digest", F.col("win").alias("keep_id"), "group_size", (F.col("row") == F.col("win_row")).alias("kept"))
+    group = Window.partitionBy("digest")
+    rest = (
+        seen.filter("heavy IS NULL")
+        .withColumn("place", F.row_number().over(group.orderBy(F.col("id").desc_nulls_last(), F.col("row").desc())))
+        .select("id", "digest", F.max("id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"), (F.col("place") == 1).alias("kept"))
+    )
+    return heavy.unionByName(rest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """``docs`` without the copies: of equal texts the row with the largest id stays.
 
-    Copies of a heavy text are removed before the shuffle, which carries the rows
-    of all other texts once.
+    Copies of a heavy text go where they are read, but for rows with the winner's
+    id; of these, one a partition is shuffled. The rows of all other texts are
+    shuffled once.
     """
-    table = cut(digests(docs, text, id_col))
-    heavy = winners(table, slots)
-    packed = docs.select(
-        F.col(id_col).alias("id"),
-        F.unhex(F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)).alias("digest"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    )
-    return mark(packed, heavy).filter("kept").select("row.*")
+    heavy = winners(cut(digests(docs, text, id_col)), slots)
+    packed = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text)).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    seen = packed.join(F.broadcast(heavy.drop("win_row")), F.col("digest") == F.col("heavy"), "left")
+    best = seen.filter(F.col("heavy").isNotNull() & F.col("id").eqNullSafe(F.col("win"))).groupBy("digest").agg(F.first("row").alias("row")).select("row")
+    place = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last()))
+    rest = seen.filter("heavy IS NULL").withColumn("place", place).filter("place = 1").select("row")
+    return best.unionByName(rest).select("row.*")

@@ -14,7 +14,9 @@ rows and whole texts.
 Defined results: null counts as empty; an empty text is one blank line and gets
 that line's marginal; without labels of both kinds every score is the labels'
 smoothed share of good ones; labels that contradict each other for an id are not
-used; rows with equal ids are scored one by one; further columns pass.
+used; rows with equal ids are scored one by one, and of these the text of the least
+hash is learnt from; ids of any type are compared as text; texts of any length are
+scored whole; an empty table gives an empty table; further columns pass.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
         sums = np.concatenate([[0], np.cumsum(kind == k)])
         return sums[ends] - sums[starts]
 
-    hashes, at = word_hashes(joined)
+    hashes, at, _ = word_hashes(joined)
     first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
     n_words = last - first
     line_of = np.repeat(np.arange(len(starts)), n_words)
@@ -188,8 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     """Fit on a bounded sample of labelled rows; only their features reach the driver."""
     one = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     ids = one.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents).select(F.col("doc_id").alias("labelled"), F.col("high").alias("quality"))
-    some = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("labelled")).filter(f"coalesce(octet_length(text), 0) <= {most_bytes}").dropDuplicates(["id"])
-    rows = arrow_map(some.select("id", "text", "quality"), _featured, "id long, quality int, lines long, x binary").orderBy("id").toArrow()
+    some = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id").cast("string") == F.col("labelled").cast("string")).filter(f"coalesce(octet_length(text), 0) <= {most_bytes}")
+    # Of rows with one id the text of the least hash, wherever they lie.
+    some = some.groupBy(F.col("labelled").cast("string").alias("key")).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"), F.first("quality").alias("quality")).select("key", "one.text", "quality")
+    rows = arrow_map(some, _featured, "key string, quality int, lines long, x binary").orderBy("key").toArrow()
     lines = rows.column("lines").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f8").reshape(-1, FEATURES)
     return fit(x, lines, rows.column("quality").to_numpy() == 1)
@@ -201,8 +205,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(lines)
         parts = [x[a:b].astype("<f8").tobytes() for a, b in zip(ends - lines, ends, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [some.column("id").cast(pa.int64()), some.column("quality").cast(pa.int32()), pa.array(lines), pa.array(parts, pa.binary())],
-            names=["id", "quality", "lines", "x"],
+            [some.column("key"), some.column("quality").cast(pa.int32()), pa.array(lines), pa.array(parts, pa.binary())],
+            names=["key", "quality", "lines", "x"],
         )
 
 

@@ -7,8 +7,10 @@ that keep all proportions, and a document stays if a number that its id fixes is
 below its cell's probability. As the factor of a cell grows while its share
 shrinks, one rare cell can leave next to nothing of the others. ``least_rate``
 bounds that: if fewer of all tokens would be expected to stay, the cells of the
-largest factors stay whole, and one scale for all others makes it that share. Everything is DataFrame functions; only cells, not
-documents, are shuffled for raking.
+largest factors stay whole, and one scale for all others makes it that share.
+Everything is DataFrame functions; only cells, not documents, are shuffled for
+raking. Probabilities are rounded to ``PLACES`` places, but never to 0, so that
+every cell keeps its chance.
 
 Targets default to tempered shares: a category with share ``s`` of all tokens
 gets a share proportional to ``s ** temper``. A mapping of shares replaces them
@@ -16,7 +18,8 @@ for the categories it names.
 
 Defined results: a null category is a category of its own; a document without
 words counts one token, so that it has a chance to stay; rows with equal ids
-in one cell share their fate; an empty table gives an empty table; further columns pass.
+in one cell share their fate; a draw equal to the probability does not stay; long
+texts count whole; an empty table gives an empty table; further columns pass.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from veridal.llm.store import WORD_GAP, cut
 
 ROUNDS = 8
-#: The share of all tokens that the pipeline keeps at least, as expected.
+PLACES = 9
+#: The share of all tokens that the query and the pipeline keep at least, as expected.
 LEAST_RATE = 1 / 3
 TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.9}
 #: Fixed words for the sampling number, so that it differs from other hashes of ids.
@@ -111,7 +115,7 @@ def mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins
         shares = target_shares(cells, name, TEMPER[name], (targets or {}).get(margin)).withColumnRenamed(name, "category")
         cells = cells.join(shares, cells[name].eqNullSafe(shares["category"])).drop("category")
     cells = cut(rake(cells, names, rounds).select(*names, "tokens", (F.col("weight") / F.col("tokens")).alias("factor")))
-    probability = F.least(F.round(F.col("factor") / F.col("scale"), 6), F.lit(1.0))
+    probability = F.least(F.greatest(F.round(F.col("factor") / F.col("scale"), PLACES), F.lit(10.0**-PLACES)), F.lit(1.0))
     cells = cells.join(F.broadcast(scale_of(cells, least_rate))).select(*(F.col(n).alias(f"cell_{n}") for n in names), probability.alias("probability"))
     same = [table[n].eqNullSafe(cells[f"cell_{n}"]) for n in names]
     return table.join(cells, same[0] & same[1] & same[2]).select(
@@ -131,7 +135,7 @@ def sample_mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return rows.join(left_out, same[0] & same[1] & same[2] & same[3], "left_anti").select("row.*")
 
 
-def oracle_sql(rounds: int = ROUNDS) -> str:
+def oracle_sql(rounds: int = ROUNDS, least_rate: float = LEAST_RATE) -> str:
     """The mixture over ``documents`` as DuckDB SQL."""
     names = ("source", "lang", "topic")
     steps = []
@@ -159,8 +163,14 @@ def oracle_sql(rounds: int = ROUNDS) -> str:
         {shares},
         w0 AS (SELECT cells.*, target_source, target_lang, target_topic, tokens AS weight FROM cells {joins}),
         {", ".join(steps)},
-        f AS (SELECT source, lang, topic, weight / tokens AS factor FROM w{rounds * 3}),
-        p AS (SELECT source, lang, topic, round(factor / (SELECT max(factor) FROM f), 6) AS probability FROM f)
+        f AS (SELECT source, lang, topic, tokens, weight / tokens AS factor FROM w{rounds * 3}),
+        steps AS (
+            SELECT factor, coalesce(sum(tokens) OVER (ORDER BY factor DESC, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
+                   sum(factor * tokens) OVER (ORDER BY factor DESC, tokens ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass, sum(tokens) OVER () * {least_rate!r} AS wanted
+            FROM f
+        ), enough AS (SELECT * FROM steps WHERE whole + mass / factor >= wanted ORDER BY factor DESC, whole DESC, mass DESC LIMIT 1),
+        scale AS (SELECT coalesce(least((SELECT max(factor) FROM f), (SELECT mass / (wanted - whole) FROM enough)), (SELECT min(factor) FROM f)) AS scale),
+        p AS (SELECT source, lang, topic, least(greatest(round(factor / scale, {PLACES}), 1e-{PLACES}), 1.0) AS probability FROM f, scale)
         SELECT doc_id, docs.source, docs.lang, docs.topic, tokens, probability, draw, draw < probability AS sampled
         FROM docs JOIN p ON docs.source IS NOT DISTINCT FROM p.source AND docs.lang IS NOT DISTINCT FROM p.lang AND docs.topic = p.topic
     """

@@ -3,16 +3,24 @@
 Words and word pairs are hashed to ``BUCKETS`` buckets. Two multinomials are
 counted over whole tables: the raw corpus (every document) and the trusted target
 (documents that a label marks good and not toxic). A document's ratio is the mean
-of ``log(target / raw)`` over its words and pairs, with ``PRIOR`` counts at the
-corpus's own proportions; one at or above the threshold is kept. The two tables of counts have ``BUCKETS`` rows whatever the corpus, so
-each document is scored where it is read; only counts are shuffled.
+over its words and pairs of ``log((target + PRIOR) / (raw * share + PRIOR))``, where
+``share`` is the target's part of all counts; ``PRIOR`` draws buckets of few counts
+towards 0. One at or above the threshold is kept. ``THRESHOLD`` lies below 0, the
+ratio of a text that is as frequent in both: labelled good documents are above it
+and labelled bad ones below it at two sizes (a test holds this).
+
+The two tables of counts have ``BUCKETS`` rows whatever the corpus, so each document
+is scored where it is read. Counts are shuffled, and the texts of labelled documents,
+which a Bloom filter of fixed size finds in the scan.
 
 The mean needs no fitting and is the same for every copy of a text. Windows of
 three words are compared by a 64-bit hash.
 
 Defined results: null text has no words; it fails the base rules and is not kept;
 where no document is trusted every ratio is 0; rows with equal ids are judged one
-by one; further columns pass.
+by one; repeated rows count each time; texts of any length count whole; an empty
+table gives an empty table; further columns are not read, whatever their names,
+and pass through ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -24,7 +32,9 @@ from pyspark.sql import functions as F
 
 from veridal.llm.store import cut, words
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
+#: Bits of the filter of labelled ids.
+BLOOM_BITS = 1 << 22
 THRESHOLD = -0.08
 PRIOR = 4.0
 LEAST_WORDS = 50
@@ -90,12 +100,17 @@ def bucketed(w: Column) -> Column:
     return F.concat(one, two)
 
 
-def ratio_table(docs: DataFrame, text: str, trusted: Column) -> DataFrame:
-    """One row: an array of ``BUCKETS`` values of ``log(target / raw)``."""
-    split = docs.select(words(F.col(text)).alias("w"), F.coalesce(trusted, F.lit(False)).alias("t"))
-    sums = split.select("t", F.explode(bucketed(F.col("w"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("target"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(F.broadcast(cut(sums)), "bucket", "left").na.fill(0, ["raw", "target"])  # BUCKETS rows
+def bucket_counts(texts: DataFrame, name: str) -> DataFrame:
+    """``(bucket, <name>)``: occurrences in column ``text``; at most ``BUCKETS`` rows."""
+    each = texts.select(F.explode(bucketed(words(F.col("text")))).alias("bucket"))
+    return each.groupBy("bucket").agg(F.count("*").alias(name))
+
+
+def ratio_table(raw: DataFrame, target: DataFrame) -> DataFrame:
+    """One row: an array of ``BUCKETS`` values of ``log(target / raw)``, of columns ``text``."""
+    sums = cut(bucket_counts(raw, "raw").join(bucket_counts(target, "target"), "bucket", "left"))
+    every = raw.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    full = every.join(sums, "bucket", "left").na.fill(0, ["raw", "target"])  # BUCKETS rows
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "raw", "target")))
     row = full.agg(ordered.alias("all"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # Shrunk towards 0 where a bucket has few counts, which a document outside the target would pay for.
@@ -105,26 +120,51 @@ def ratio_table(docs: DataFrame, text: str, trusted: Column) -> DataFrame:
     return cut(row.select(F.when(F.col("target") > 0, log_ratio).otherwise(none).alias("ratios_")))
 
 
-def judge(docs: DataFrame, trusted: Column, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, base counts, ``base_failed``, ``ratio``, ``kept``."""
+def judged(docs: DataFrame, ratios: DataFrame, threshold: float) -> DataFrame:
+    """``docs`` (with ``text``) with the base counts, ``base_failed``, ``ratio`` and ``kept``; ``ratios`` has one row."""
     if not math.isfinite(threshold):
         raise ValueError("the threshold must be a number")
-    ratios = ratio_table(docs, text, trusted)
-    table = with_counts(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
     # One row of BUCKETS numbers.
-    table = table.withColumn("buckets_", bucketed(F.col("words_"))).join(F.broadcast(ratios))
+    table = with_counts(docs, "text").withColumn("buckets_", bucketed(F.col("words_"))).join(F.broadcast(ratios))
     total = F.aggregate("buckets_", F.lit(0.0), lambda a, b: a + F.get(F.col("ratios_"), b))
     table = table.withColumn("ratio", F.when(F.size("buckets_") > 0, total / F.size("buckets_")).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
-    return table.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio",
-    )
-
-
-def judge_labelled(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``judge`` with the documents that ``labels`` marks good and not toxic as trusted target."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).distinct()
-    # Labels grow with the documents, so they are never broadcast, however few they are.
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    return judge(marked.withColumn("is_good", F.col("good_id").isNotNull()), F.col("is_good"), threshold=threshold)
+    out = table.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
+    return out.drop("words_", "buckets_", "ratios_")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text`` of the ``docs`` (``id``, ``text``) that ``labels`` marks good and not toxic.
+
+    Ids grow with the documents and are joined. A filter of ``BLOOM_BITS`` bits,
+    which is broadcast, keeps most other texts out of the shuffle as long as the
+    labels are few enough for it.
+    """
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).filter("good_id IS NOT NULL").distinct()
+    place = F.pmod(F.xxhash64("good_id"), F.lit(BLOOM_BITS))
+    bits = good.select(F.floor(place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(good_id), {BLOOM_BITS}) % 64 AS int))").alias("bit"))
+    bits = bits.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # at most BLOOM_BITS / 64 rows
+    every = docs.sparkSession.range(BLOOM_BITS // 64).select(F.col("id").cast("int").alias("w"))
+    held = every.join(bits, "w", "left").na.fill(0, ["bits"]).agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("bits_"))
+    held = cut(held.select(F.transform("bits_", lambda x: x["bits"]).alias("bits_")))
+    at = F.pmod(F.xxhash64(F.col("id").cast(good.dtypes[0][1])), F.lit(BLOOM_BITS))
+    maybe = docs.withColumn("at_", at).join(F.broadcast(held)).filter("(shiftright(get(bits_, cast(floor(at_ / 64) AS int)), cast(at_ % 64 AS int)) & 1L) = 1")
+    return maybe.select("id", "text").join(good.hint("merge"), F.col("id") == F.col("good_id"), "left_semi").select("text")
+
+
+def judge_labelled(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: id, base counts, ``base_failed``, ``ratio``, ``kept``.
+
+    The trusted target are the documents that ``labels`` marks good and not toxic.
+    """
+    table = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    out = judged(table, ratio_table(table, labelled_texts(table, labels)), threshold)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"]
+    return out.select(F.col("id").alias(id_col), *names)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    table = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return judged(rows, ratio_table(table, labelled_texts(table, labels)), threshold).filter("kept").select("row.*")

@@ -21,7 +21,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(read_table(spark, sf_dir, "documents"))
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), least_rate=mixing.LEAST_RATE)
 
 
 #: Fixed values: (verdict, host, path) of the rules.

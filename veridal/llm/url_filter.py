@@ -4,8 +4,10 @@ URLs that a rule decides train two smoothed variable-order Markov models, one of
 accepted and one of rejected URLs. Orders 0 to ``ORDER`` are blended from the
 shortest context up: ``P_k = (n(context, c) + PULL * P_(k-1)) / (n(context) +
 PULL)``. A URL's score is the difference of the two log likelihoods over its
-length; the threshold lies where accepted and rejected training URLs are equally
-many of their standard deviations away.
+length. A part of the decided URLs, one in ``HELD_OUT_OF`` by a hash, trains no
+model but calibrates the threshold, which lies where accepted and rejected ones
+are equally many of their standard deviations away; a verdict that none of these
+has takes the training URLs' figures.
 
 Counts are exact at every size: what a character adds depends on its window, the
 character and the ``ORDER`` before it, so windows are counted once, and all
@@ -15,13 +17,15 @@ theirs in a shuffle, where none is frequent enough to be a hot key.
 
 Defined results: a null URL or one without ``://`` has empty host and path;
 without a rule that fits, an empty or null URL is allowed, and so is every URL
-when one of the models has no training URL; longer rules win over shorter ones,
-and of two equally long ones the longer host; an empty table gives none.
+when one of the models has no decided URL; longer rules win over shorter ones,
+and of two equally long ones the longer host; repeated rows are judged one by one
+and count each time; a URL of any length takes time in proportion; an empty table
+gives none; columns besides id and URL are not read, so none can clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +33,7 @@ from pyspark.sql import functions as F
 from veridal.llm.store import ascii_lower, cut, own_name
 
 ORDER = 4
-#: Counts are held by contexts and characters themselves, which share as little as whole 64-bit hashes do.
-BUCKETS = 1 << 64
+HELD_OUT_OF = 8
 FREQUENT = 1 << 14
 PULL = 2.0
 ALPHABET = 256
@@ -62,14 +65,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def windows_of(url: Column) -> Column:
-    """For each character, itself after the ``ORDER`` characters before it, or as many as there are."""
-    places = F.when(F.length(url) > 0, F.sequence(F.lit(1), F.length(url))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda at: F.substring(url, F.greatest(at - ORDER, F.lit(1)), F.least(at, F.lit(ORDER + 1))))
+    """For each character, itself after the ``ORDER`` characters before it, or as many as there are.
+
+    The URL is split once, into an array that its places look up.
+    """
+
+    def each(letters: Column) -> Column:
+        return F.transform(letters, lambda c, at: F.concat(*(F.coalesce(F.get(letters, at - k), F.lit("")) for k in range(ORDER, 0, -1)), c))
+
+    letters = F.when(F.length(url) > 0, F.split(url, "")).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(letters), each), F.lit(0))
 
 
 def window_counts(urls: DataFrame) -> DataFrame:
-    """``(window, allow, block, n)`` of every window of ``urls`` (``url``, ``verdict``): counts by verdict, and of all."""
-    each = urls.select("verdict", F.explode(windows_of(F.col("url"))).alias("window"))
+    """``(window, allow, block, n)`` of every window of ``urls``: counts by verdict of those that train (``verdict``, ``held_out``), and of all."""
+    each = urls.select(F.when(~F.col("held_out"), F.col("verdict")).alias("verdict"), F.explode(windows_of(F.col("url"))).alias("window"))
     return each.groupBy("window").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"), F.count("*").alias("n"))
 
 
@@ -108,10 +118,16 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", id_co
     table = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"))
     table = table.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     table = table.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    table = cut(table.select(F.monotonically_increasing_id().alias("row"), "id", "url", "host", "path", "found.rule", "found.verdict"))
+    held_out = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT_OF)) == 0
+    table = cut(table.select(F.monotonically_increasing_id().alias("row"), "id", "url", "host", "path", "found.rule", "found.verdict", held_out.alias("held_out")))
     table = cut(scored(table, cut(window_values(cut(window_counts(table))))))
     known = table.filter(F.col("verdict").isNotNull() & (F.length("url") > 0))
-    stats = known.groupBy().agg(*[f(F.when(F.col("verdict") == v, F.col("score"))).alias(f"{n}_{v}") for v in ("allow", "block") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+
+    def figure(f: Callable[[Column], Column], verdict: str) -> Column:
+        mine = F.col("verdict") == verdict
+        return F.coalesce(f(F.when(mine & F.col("held_out"), F.col("score"))), f(F.when(mine, F.col("score"))))
+
+    stats = known.groupBy().agg(*[figure(f, v).alias(f"{n}_{v}") for v in ("allow", "block") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     a, b = F.col("sd_allow") + F.lit(1e-6), F.col("sd_block") + F.lit(1e-6)
     threshold = cut(stats.select(((F.col("mean_allow") * b + F.col("mean_block") * a) / (a + b)).alias("threshold")))
     judged = table.join(F.broadcast(threshold))
