@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Statuses that a request is repeated for.
 RETRYABLE_STATUSES = (408, 409, 429, 500, 502, 503, 504)
@@ -93,3 +95,26 @@ def box_crop(left: Column, top: Column, right: Column, bottom: Column, width: Co
     for v in four:
         finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     return F.when(finite & (right > left) & (bottom > top), F.struct(x0.alias("left"), y0.alias("top"), x1.alias("right"), y1.alias("bottom")))
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded half to even by the number's exact binary value, as Python rounds.
+
+    SQL rounds the shortest decimal text instead: 2.675 would give 2.68 for 2.67.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def rounded(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: None if a is None or a != a else round(a, digits))
+
+    return rounded(x.cast("double"))
+
+
+def elapsed_ms(begun: Column, ended: Column) -> Column:
+    """Milliseconds between two timestamps, two places."""
+    return F.round((F.unix_micros(ended) - F.unix_micros(begun)) / 1000, 2)
+
+
+def utc_text(ts: Column) -> Column:
+    """A timestamp as ISO text in UTC, whole seconds."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -41,7 +41,7 @@ def unescape_named(x: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def unescape_all(x: pd.Series) -> pd.Series:
     """Unescape every HTML entity, twice; for text whose entities are not known beforehand."""
-    return x.map(lambda t: None if t is None else html.unescape(html.unescape(t)))
+    return x.map(lambda t: t if t is None or "&" not in t else html.unescape(html.unescape(t)))
 
 
 def repair_mojibake(x: Column) -> Column:
@@ -50,9 +50,13 @@ def repair_mojibake(x: Column) -> Column:
     return F.when(x.rlike("[ÂÃ][\u0080-¿]") & ~x.rlike("[^\u0000-ÿ]"), fixed).otherwise(x)
 
 
-def canonical_text(x: Column) -> Column:
-    """Unescape twice, trim, underscores to blanks, drop ASCII punctuation, lower, one blank between words."""
-    x = trim_u(unescape_named(unescape_named(x)))
+def canonical_text(x: Column, every_entity: bool = False) -> Column:
+    """Unescape twice, trim, underscores to blanks, drop ASCII punctuation, lower, one blank between words.
+
+    ``NAMED_ENTITIES`` are unescaped in the plan; ``every_entity`` takes all of
+    HTML's, in Arrow batches.
+    """
+    x = trim_u(unescape_all(x) if every_entity else unescape_named(unescape_named(x)))
     x = F.regexp_replace(F.replace(x, F.lit("_"), F.lit(" ")), r"\p{Punct}", "")
     return trim_u(F.regexp_replace(F.lower(x), r"(?U)\s+", " "))
 
@@ -60,7 +64,7 @@ def canonical_text(x: Column) -> Column:
 def humanize(code: Column) -> Column:
     """``sports_jersey`` -> ``Sports jersey``; only the first letter is raised."""
     spaced = trim_u(F.replace(code, F.lit("_"), F.lit(" ")))
-    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substr(spaced, F.lit(2)))
 
 
 def class_label(attribute: Column, code: Column, labels: Mapping[str, str], patterns: Mapping[str, str], exempt: Mapping[str, set[str]]) -> Column:
@@ -72,12 +76,12 @@ def class_label(attribute: Column, code: Column, labels: Mapping[str, str], patt
     for c, label in labels.items():
         own = F.when(code == c, F.lit(label)).otherwise(own)
     plain = F.coalesce(own, humanize(code))
-    lowered = F.concat(F.lower(F.substring(plain, 1, 1)), F.substring(plain, 2, 1_000_000))
+    lowered = F.concat(F.lower(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2)))
     out = plain
     for a, pattern in patterns.items():
         before, _, after = pattern.partition("{label}")
         text = F.lower(F.concat(F.lit(before), lowered, F.lit(after)))
-        raised = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+        raised = F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
         free = code.isin(*exempt[a]) if exempt.get(a) else F.lit(False)
         out = F.when((attribute == a) & ~free, raised).otherwise(out)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,25 @@ from veridal.functions import scores
 MOST_QUERIES = 10_000
 
 
-def top_matches(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", most_queries: int = MOST_QUERIES) -> DataFrame:
-    """The ``k`` best items of each query; ties go to the lesser item id.
-
-    A stated set of queries meets all items where these are read: the queries are
-    checked against ``most_queries`` as the plan runs, and each task keeps ``k``
-    items a query before the shuffle.
-    """
-    packed = queries.limit(most_queries + 1).agg(F.collect_list(F.struct(query_id, F.col(vector).alias("q"))).alias("queries"))
+def _of_block(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vector: str, most_queries: int) -> DataFrame:
+    """``top_matches`` of at most ``most_queries`` queries."""
+    packed = queries.agg(F.collect_list(F.struct(query_id, F.col(vector).alias("q"))).alias("queries"))
     checked = F.when(F.size("queries") > most_queries, F.raise_error(F.lit("too many queries"))).otherwise(F.col("queries"))
     one = F.broadcast(packed.select(checked.alias("queries")))
     pairs = items.join(one).select(item_id, vector, F.explode("queries").alias("e")).select(F.col(f"e.{query_id}").alias(query_id), item_id, scores.dot(F.col("e.q"), F.col(vector)).alias("score"))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def top_matches(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", most_queries: int = MOST_QUERIES) -> DataFrame:
+    """The ``k`` best items of each query; ties go to the lesser item id.
+
+    A stated set of queries meets all items where these are read, in blocks of at
+    most ``most_queries`` that a hash of the id deals out; each task keeps ``k``
+    items a query before the shuffle.
+    """
+    n = queries.count()
+    blocks = 1 if n <= most_queries else -(-4 * n // (3 * most_queries))
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    found = [_of_block(queries.filter(block == b), items, k, query_id, item_id, vector, most_queries) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)

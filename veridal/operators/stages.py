@@ -1,7 +1,9 @@
 """Stage workflows over an injected model.
 
 A stage renders a prompt, calls ``model(prompts) -> texts`` once an Arrow batch,
-validates, and leaves ``{value, error}`` for every row, so a row is never lost.
+validates, and leaves ``{value, error}`` for every row, so a row is never lost. If
+a call for many rows raises, each row is called for by itself, so that one bad row
+costs no other.
 Model calls are not repeatable, so each stage's result is written to the shared
 checkpoint folder before the next stage reads it.
 """
@@ -19,6 +21,9 @@ from veridal.functions.text import trim_u
 
 Model = Callable[[list[str]], list[str]]
 
+#: Used only where the session names no folder and runs in local mode.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -31,6 +36,30 @@ class Stage:
     attempts: int = 2
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read from the shared checkpoint folder from then on."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if found is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or LOCAL_CHECKPOINTS)
+    return df.checkpoint()
+
+
+def _answers(model: Model, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """An answer or an error for each prompt."""
+    try:
+        answers = model(prompts)
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        return [(a, None) for a in answers]
+    except Exception as e:  # noqa: BLE001 - a failing model call becomes the row's error
+        if len(prompts) == 1:
+            return [(None, str(e) or type(e).__name__)]
+        return [x for p in prompts for x in _answers(model, [p])]
+
+
 def call(df: DataFrame, stage: Stage) -> DataFrame:
     """``df`` with ``<name>`` (text or null) and ``error`` kept from before or set here."""
     name, model, valid, attempts = stage.name, stage.model, stage.valid, stage.attempts
@@ -42,14 +71,9 @@ def call(df: DataFrame, stage: Stage) -> DataFrame:
             for _ in range(attempts):
                 if not open_rows:
                     break
-                try:
-                    answers = model([f["prompt_"].iloc[i] for i in open_rows])
-                except Exception as e:  # noqa: BLE001 - a failing model call becomes the row's error
-                    for i in open_rows:
-                        error[i] = f"{name}: {e}"
-                    continue
-                for i, a in zip(open_rows, answers, strict=True):
-                    value[i], error[i] = (a, None) if valid(a) else (None, f"{name}: invalid answer")
+                for i, (a, e) in zip(open_rows, _answers(model, [f["prompt_"].iloc[i] for i in open_rows]), strict=True):
+                    good = e is None and valid(a)
+                    value[i], error[i] = (a, None) if good else (None, f"{name}: {e or 'invalid answer'}")
                 open_rows = [i for i in open_rows if value[i] is None]
             f = f.drop(columns="prompt_")
             f[name], f["error"] = value, error
@@ -60,7 +84,7 @@ def call(df: DataFrame, stage: Stage) -> DataFrame:
     schema = rows.drop("prompt_").withColumn(name, F.lit(None).cast("string")).schema
     schema = [f for f in schema if f.name not in ("error", name)] + [f for f in schema if f.name in ("error", name)]
     ordered = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInPandas(lambda it: (f[[s.name for s in schema]] for f in run(it)), ordered).checkpoint()
+    return settled(rows.mapInPandas(lambda it: (f[[s.name for s in schema]] for f in run(it)), ordered))
 
 
 def flow(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:

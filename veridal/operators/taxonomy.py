@@ -78,6 +78,49 @@ def taxonomy_violations(compiled: DataFrame, attributes: int, logits: int) -> Da
     return rows.unionByName(totals.select(F.lit("*").alias("name"), F.array(F.lit("totals")).alias("violations")))
 
 
+def document_violations(document: DataFrame, schema_version: str, model_version: str, attributes: int = 21, logits: int = 200) -> DataFrame:
+    """What is wrong with a taxonomy document: versions, threshold, then each attribute; ``(name, violations)``.
+
+    ``document`` has one row: ``schema_version``, ``model_version``,
+    ``multi_threshold`` and ``attributes`` (name, kind, start, stop, classes).
+    """
+    head = F.array_compact(
+        F.array(
+            F.when(~F.col("schema_version").eqNullSafe(F.lit(schema_version)), F.lit("schema_version")),
+            F.when(~F.col("model_version").eqNullSafe(F.lit(model_version)), F.lit("model_version")),
+            F.when(~F.coalesce((F.col("multi_threshold") > 0) & (F.col("multi_threshold") < 1), F.lit(False)), F.lit("multi_threshold")),
+            F.when(F.exists("attributes", lambda a: ~a["kind"].isin("single", "multi")), F.lit("kind")),
+            F.when(F.exists("attributes", lambda a: F.size(a["classes"]) != a["stop"] - a["start"]), F.lit("size")),
+        )
+    )
+    rows = document.select(F.lit("*").alias("name"), head.alias("violations")).filter(F.size("violations") > 0)
+    flat = document.select(F.posexplode("attributes").alias("position", "a")).select("position", "a.*")
+    return rows.unionByName(taxonomy_violations(flat, attributes, logits))
+
+
+def prediction_map(decoded: Column, s: Slice, codes: Sequence[str], labels: Sequence[str], tier: str, label: str) -> Column:
+    """One attribute's prediction as a struct for machines: codes, labels and rounded scores of what was decoded."""
+    code, name = F.array(*[F.lit(c) for c in codes]), F.array(*[F.lit(x) for x in labels])
+    common = [F.lit(s.name).alias("attribute"), F.lit(label).alias("attribute_label"), F.lit(s.kind).alias("type"), F.lit(tier).alias("display_tier")]
+    if s.kind == "single":
+        at, p = decoded["class_index"], decoded["confidence"]
+        return F.struct(*common, F.array(F.get(code, at)).alias("codes"), F.array(F.get(name, at)).alias("labels"), F.array(F.bround(p, 6)).alias("scores"))
+    return F.struct(
+        *common, F.transform(decoded, lambda c: F.get(code, c["class_index"])).alias("codes"), F.transform(decoded, lambda c: F.get(name, c["class_index"])).alias("labels"),
+        F.transform(decoded, lambda c: F.bround(c["probability"], 6)).alias("scores"),
+    )
+
+
+def predictions(parts: Mapping[str, Column]) -> Column:
+    """``{attribute: prediction}`` in the taxonomy's order."""
+    return F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), p.alias("value")) for n, p in parts.items()]))
+
+
+def label_map(found: Column) -> Column:
+    """``{attribute label: class labels}`` of ``predictions``, for people."""
+    return F.map_from_entries(F.transform(F.map_values(found), lambda p: F.struct(p["attribute_label"], p["labels"])))
+
+
 def part_of(vector: Column, s: Slice) -> Column:
     return F.transform(F.slice(vector, s.start + 1, s.size), lambda v: v.cast("double"))
 

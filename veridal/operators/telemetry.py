@@ -3,36 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridal.operators.stats import nearest_rank
-
 TOKENS = ("input_tokens", "output_tokens", "total_tokens")
 
 
+def ranked_values(values: DataFrame, groups: Sequence[str], value: str, n: str, points: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of ``value``, of which each row stands for ``n``, by group.
+
+    Equal values are one row, so a group is as large as its distinct values.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum(n).alias("n_"))
+    group = Window.partitionBy(*groups)
+    upto = F.sum("n_").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto_", upto).withColumn("all_", F.sum("n_").over(group))
+    return placed.groupBy(*groups).agg(*[F.min(F.when(F.col("upto_") >= F.ceil(F.col("all_") * F.lit(p)), F.col(value))).alias(c) for c, p in points.items()])
+
+
 def benchmark_summary(events: DataFrame, cases: DataFrame) -> DataFrame:
-    """Measures by method and stage, and by method with stage ``ALL``; one pass over events.
+    """Measures by method and stage, and by method with stage ``ALL``.
 
-    ``cases`` (``method``, ``status``) is counted by method; stages repeat those
-    counts. Token totals cover requests with usage and are 0 without any.
-    Calls are pairs of sample and call id, nulls included.
+    Events are first summed by method, stage and latency; everything but the
+    distinct calls comes from that, and ``ALL`` from the stages. ``cases``
+    (``method``, ``status``) is counted by method; stages repeat those counts. Token
+    totals cover requests with usage and are 0 without any. Calls are pairs of
+    sample and call id, nulls included.
     """
     used = F.coalesce(F.col("usage_available"), F.lit(False))
     totals = [F.coalesce(F.sum(F.when(used, F.col(t).cast("bigint"))), F.lit(0)).alias(t) for t in TOKENS]
-    sums = events.groupingSets([["method"], ["method", "stage"]], "method", "stage").agg(
-        F.grouping("stage").alias("all_stages"), F.count_distinct(F.struct("sample_id", "logical_call_id")).alias("logical_model_calls"),
-        F.count("*").alias("actual_http_requests"), F.count_if(F.coalesce("http_attempt", F.lit(1)) > 1).alias("http_retry_requests"),
-        (F.count_if(used) * 100 / F.count("*")).alias("usage_coverage"), *totals,
-        nearest_rank("latency_ms", 0.5).alias("p50_latency_ms"), nearest_rank("latency_ms", 0.95).alias("p95_latency_ms"),
-    )
+    counts = ["actual_http_requests", "http_retry_requests", "with_usage", *TOKENS]
+    by_value = events.groupBy("method", "stage", "latency_ms").agg(
+        F.count("*").alias("actual_http_requests"), F.count_if(F.coalesce("http_attempt", F.lit(1)) > 1).alias("http_retry_requests"), F.count_if(used).alias("with_usage"), *totals
+    )
+    # A stage's null is a stage; ALL is told by a flag.
+    once = by_value.withColumn("all_stages", F.lit(False)).unionByName(by_value.withColumn("stage", F.lit(None).cast(dict(by_value.dtypes)["stage"])).withColumn("all_stages", F.lit(True)))
+    keys = ["method", "stage", "all_stages"]
+    sums = once.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+    ranks = ranked_values(once, keys, "latency_ms", "actual_http_requests", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
+    calls = events.select("method", "stage", "sample_id", "logical_call_id").distinct()
+    whole = calls.drop("stage").distinct().withColumn("stage", F.lit(None).cast(dict(calls.dtypes)["stage"]))
+    calls = calls.withColumn("all_stages", F.lit(False)).unionByName(whole.withColumn("all_stages", F.lit(True))).groupBy(*keys).agg(F.count("*").alias("logical_model_calls"))
     by_case = cases.groupBy("method").agg(F.count("*").alias("submitted_cases"), F.count_if(F.col("status") == "success").alias("successful_cases"))
-    out = sums.join(by_case, "method", "left").na.fill(0, ["submitted_cases", "successful_cases"])
+    out = sums
+    for other, on in ((ranks, keys), (calls, keys), (by_case, ["method"])):
+        named = other.select(*[F.col(k).alias(f"{k}_") for k in on], *[c for c in other.columns if c not in on])
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in on]
+        out = out.join(named, reduce(lambda a, b: a & b, same), "left").drop(*[f"{k}_" for k in on])
+    out = out.na.fill(0, ["submitted_cases", "successful_cases"])
     return out.select(
-        "method", F.when(F.col("all_stages") == 1, "ALL").otherwise(F.col("stage")).alias("stage"), "submitted_cases", "successful_cases",
+        "method", F.when(F.col("all_stages"), "ALL").otherwise(F.col("stage")).alias("stage"), "submitted_cases", "successful_cases",
         (F.col("submitted_cases") - F.col("successful_cases")).alias("error_cases"), "logical_model_calls", "actual_http_requests", "http_retry_requests",
-        F.try_divide("actual_http_requests", "successful_cases").alias("requests_per_successful_case"), "usage_coverage", *TOKENS, "p50_latency_ms", "p95_latency_ms",
+        F.try_divide("actual_http_requests", "successful_cases").alias("requests_per_successful_case"), (F.col("with_usage") * 100 / F.col("actual_http_requests")).alias("usage_coverage"),
+        *TOKENS, "p50_latency_ms", "p95_latency_ms",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,12 +86,20 @@ def caption_length(caption: Column, most: int = 500) -> Column:
     return violations(caption=F.length(trim_u(caption)).between(1, most))
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda i: i[name]
+
+
 def issues(items: Column, most: int = 6, limits: Mapping[str, int] | None = None) -> Column:
     """At most so many; every field not blank and not too long after trimming."""
     limits = limits or {"target": 64, "issue": 180, "suggested_correction": 180}
+
+    def within(length: int) -> Callable[[Column], Column]:
+        return lambda v: F.length(trim_u(v)).between(1, length)
+
     rules = {"count": F.size(items) <= most}
     for name, length in limits.items():
-        rules[name] = F.forall(items, lambda i, name=name, length=length: F.length(trim_u(i[name])).between(1, length))
+        rules[name] = F.forall(F.transform(items, _field(name)), within(length))
     return violations(**rules)
 
 
@@ -136,3 +144,40 @@ def override(text: Column, methods: Sequence[str], fields: Sequence[str]) -> Col
 def logits(x: Column, size: int) -> Column:
     finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     return violations(size=F.size(x) == size, finite=finite)
+
+
+def draft_annotation(text: Column, singles: Mapping[str, Sequence[str]], multis: Mapping[str, Sequence[str]], most: int = 500) -> Column:
+    """A draft: exactly caption and attributes, the caption's length, and the attributes' own check."""
+    caption = F.get_json_object(text, "$.caption")
+    inner = annotation(F.get_json_object(text, "$.attributes"), singles, multis)
+    own = violations(
+        keys=jsons.has_exact_keys(text, ["caption", "attributes"]),
+        caption=(jsons.kind_at(text, "$.caption") == "STRING") & F.length(trim_u(caption)).between(1, most),
+    )
+    return F.concat(own, F.transform(inner, lambda v: F.concat(F.lit("attributes."), v)))
+
+
+def text_answer(text: Column, key: str, most: int = 500) -> Column:
+    """An object with one text (a caption, a translation) of 1 to ``most`` characters when trimmed."""
+    value = F.get_json_object(text, f"$.{key}")
+    return violations(keys=jsons.has_exact_keys(text, [key]), **{key: (jsons.kind_at(text, f"$.{key}") == "STRING") & F.length(trim_u(value)).between(1, most)})
+
+
+def question_list(text: Column, most: int = 30) -> Column:
+    """Question objects with exactly an id and a question, ids of their own."""
+    items = F.from_json(F.get_json_object(text, "$.questions"), "array<string>")
+    ids = F.transform(items, lambda q: F.get_json_object(q, "$.id"))
+    return violations(
+        keys=jsons.has_exact_keys(text, ["questions"]), count=F.size(items).between(1, most),
+        items=F.forall(items, lambda q: jsons.has_exact_keys(q, ["id", "question"]) & (F.length(trim_u(F.get_json_object(q, "$.question"))) > 0) & (F.length(trim_u(F.get_json_object(q, "$.id"))) > 0)),
+        ids=F.size(F.array_distinct(ids)) == F.size(items),
+    )
+
+
+def string_list(items: Column) -> Column:
+    """No blank text in a list."""
+    return violations(items=F.forall(items, lambda s: F.length(trim_u(s)) > 0))
+
+
+def stripped(items: Column) -> Column:
+    return F.transform(items, trim_u)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridal.functions import cells, jsons, scores, text
-from veridal.operators import joins, latest, overlay, similarity, stats, taxonomy, validate
+from veridal.operators import joins, latest, overlay, ranks, similarity, stats, taxonomy, validate
 from veridal.plans.registry import query, table
 
 
@@ -16,10 +16,10 @@ def required_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.required_join(table(spark, sf_dir, "orders"), customers, ["o_custkey"]).select("o_orderkey", "c_mktsegment")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def semi_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return joins.required_semi(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"), table(spark, sf_dir, "labels"), ["doc_id"])
+    """Labels, each of which must belong to a document; fails where one does not."""
+    return joins.required_semi(table(spark, sf_dir, "labels").select("doc_id", "quality"), table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -91,9 +91,12 @@ def row_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks(spark, sf_dir).select("doc_id", stats.row_summary(F.map_values("checks")).alias("s")).select("doc_id", "s.*")
 
 
-@query("SELECT count(*) AS rows, count(*) AS valid FROM documents")
+@query("SELECT event_type, count(*) AS rows, count(*) FILTER ((value >= 40) = (event_id % 3 > 0)) AS valid FROM events GROUP BY event_type")
 def tri_state_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(validate.tri_state_map(F.col("checks"))).alias("valid"))
+    """Events as checks that mention something from a value of 40 and have a verdict for two ids of three."""
+    check = F.struct((F.col("value") >= 40).alias("mentioned"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 2 == 0).alias("is_correct"))
+    rows = table(spark, sf_dir, "events").withColumn("checks", F.create_map(F.lit("only"), check))
+    return rows.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_if(validate.tri_state_map(F.col("checks"))).alias("valid"))
 
 
 def shipping_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,10 +356,9 @@ def box_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey::VARCHAR))::INT AS as_text, (row_number() OVER (ORDER BY c_custkey))::INT AS as_number FROM customer")
 def sort_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ids = table(spark, sf_dir, "customer").select("c_custkey")
-    return ids.select("c_custkey", F.row_number().over(Window.orderBy(F.col("c_custkey").cast("string"))).alias("as_text"), F.row_number().over(Window.orderBy("c_custkey")).alias("as_number"))
+    ids = ranks.global_rank(table(spark, sf_dir, "customer").select("c_custkey"), [F.col("c_custkey").cast("string")], "as_text")
+    out = ranks.global_rank(ids, [F.col("c_custkey")], "as_number")
+    return out.select("c_custkey", F.col("as_text").cast("int").alias("as_text"), F.col("as_number").cast("int").alias("as_number"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, octet_length(encode(text))::INT AS bytes FROM documents")

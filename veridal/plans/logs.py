@@ -197,4 +197,6 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS rows, (sum(count(*)) OVER ())::BIGINT AS all_rows FROM events GROUP BY event_type")
 def total_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.count("*").alias("rows")).join(F.broadcast(events.agg(F.count("*").alias("all_rows"))))
+    rolled = events.rollup("event_type").agg(F.count("*").alias("rows"), F.grouping("event_type").alias("whole"))
+    one = rolled.filter("whole = 1").select(F.col("rows").alias("all_rows"))
+    return rolled.filter("whole = 0").select("event_type", "rows").join(F.broadcast(one))

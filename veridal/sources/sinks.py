@@ -71,7 +71,9 @@ def write_small_csv(df: DataFrame, path: str, most_rows: int = 100_000, bom: boo
 
 
 def markdown_table(df: DataFrame, most_rows: int = 1000) -> str:
-    """A small frame as a Markdown table."""
-    rows = blanks_for_nulls(df).limit(most_rows).collect()
+    """A small frame as a Markdown table; more rows than the bound are an error."""
+    rows = blanks_for_nulls(df).limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows for one table")
     lines = [df.columns, ["---"] * len(df.columns), *rows]
     return "\n".join("| " + " | ".join(str(x).replace("|", "\\|") for x in line) + " |" for line in lines)
