@@ -75,6 +75,8 @@ def test_join_equals_brute_force_on_near_copies(spark, seed, monkeypatch):
     rows = near_copies(seed)
     monkeypatch.setattr(jaccard_join, "SALT_ROWS", [50_000, 1, 3][seed])
     monkeypatch.setattr(jaccard_join, "choose_boundary", lambda *_: [0, 20, 1000][seed])
+    monkeypatch.setattr(jaccard_join, "MOST_KEYS", [1 << 20, 0, 3][seed])
+    rows += rows[:5] + [(None, rows[0][1])] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert groups(df) == brute_groups(rows)
 
@@ -167,6 +169,25 @@ def test_shingle_counts(text):
     assert len(shingle_sets([b"left alone", text.encode(), None, b""])[1]) == want
 
 
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 1 << 63, rng.integers(1, 600)).astype(np.uint64)) for _ in "ab")
+        b = np.unique(np.concatenate([b[: rng.integers(0, 50)], a[: rng.integers(0, len(a) + 1)]]))
+        differ = len(np.setxor1d(a, b))
+        x, y = (np.frombuffer(jaccard_join.signature(s), np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= differ
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(0, jaccard_join.BLOCK - 1), st.integers(1, 255), max_size=30), st.booleans())
+def test_sketch_blocks_round_trip(counts, full):
+    block = np.full(jaccard_join.BLOCK, 3 if full else 0, np.uint8)
+    for k, n in counts.items():
+        block[k] = n
+    assert (jaccard_join._unpacked(jaccard_join._packed(block)) == block).all()
+
+
 def test_first_common_key_bounds_the_overlap():
     rng = np.random.default_rng(0)
     for _ in range(200):

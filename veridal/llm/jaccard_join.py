@@ -30,6 +30,9 @@ the triangle inequality, of two sets of a list
   long as the pairs that are left outnumber the rows; then those pairs, cut by
   the bound of their places in the lists, are compared as they are.
 
+Lists of two sets go before that if the sets' signatures (numbers of tokens in
+``BINS`` bins of the hash) differ by more than linked sets' can.
+
 Every candidate is compared on its whole set; none is dropped. Lists of
 frequent keys are cut by the set's hash when they are scanned.
 
@@ -55,21 +58,21 @@ from pyspark.sql import functions as F
 
 from veridal.llm.components import components
 from veridal.llm.shingles import mix, set_id, shingle_sets
-from veridal.llm.store import Scratch, arrow_map, cut, in_slices, sum_blocks
+from veridal.llm.store import Scratch, arrow_map, cut, in_slices
 
 PERCENT = 80
 #: Similarity to the pivot below which a set is far: twice the distance of a link.
 NEAR = 2 * PERCENT - 100
 SKETCH_BITS = 22
 BLOCK = 1 << 16
-BLOOM_BITS = 24
-#: Share of bits up to which a Bloom filter is used; beyond, keys are joined.
-BLOOM_LOAD = 0.2
+#: Keys up to which they are broadcast (8 bytes each).
+MOST_KEYS = 1 << 20
 SALT_ROWS = 50_000
 #: Rounds of new pivots, and the pairs a row that a list may leave without one.
 ROUNDS = 6
 PAIRS_A_ROW = 4
 LEVELS = 4
+BINS = 128
 _LIGHT = np.uint64(0xD1B54A32D192ED03)
 _SEEN_AT_MOST = 200_000
 LINKED, AT_NEAR, FAR = 0, 1, 2
@@ -93,10 +96,32 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Numbers of tokens by bin, 255 at most: two sets' differ by no more than the sets do."""
+    return np.minimum(np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _packed(block: np.ndarray) -> bytes:
+    """Counts as they are, or their places and values if few are not 0."""
+    places = np.flatnonzero(block)
+    if len(places) * 4 > len(block):
+        return block.tobytes()
+    return places.astype("<u2").tobytes() + block[places].tobytes()
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    if len(held) == BLOCK:
+        return np.frombuffer(held, np.uint8).astype(np.int64)
+    n = len(held) // 3
+    out = np.zeros(BLOCK, np.int64)
+    out[np.frombuffer(held, "<u2", n)] = np.frombuffer(held, np.uint8, n, 2 * n)
+    return out
+
+
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Rows ``(key, id, sid, n)`` of documents, and rows ``(block, counts)`` of the sketch."""
+    """Rows ``(key, id, sid, n, sig)`` of documents, and rows ``(block, counts)`` of the sketch."""
     kind = dict(docs.dtypes)["id"]
-    names = ["key", "id", "sid", "n", "block", "counts"]
+    names = ["key", "id", "sid", "n", "sig", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -105,15 +130,17 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             id_type = some.schema.field("id").type
             np.add.at(sketch, _bucket(np.concatenate(sets)), 1)
             sids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
             rest = (pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
-            yield pa.RecordBatch.from_arrays([some.column("key"), some.column("id"), sids, pa.array([len(s) for s in sets], pa.int64()), *rest], names=names)
+            yield pa.RecordBatch.from_arrays([some.column("key"), some.column("id"), sids, pa.array([len(s) for s in sets], pa.int64()), sigs, *rest], names=names)
         if id_type is not None:
             small = np.minimum(sketch, 255).astype(np.uint8)  # the order needs no more of one task
-            blocks = [small[i : i + BLOCK].tobytes() for i in range(0, len(small), BLOCK)]
-            n, nothing = len(blocks), pa.nulls(len(blocks), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, pa.nulls(n, id_type), nothing, nothing, pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=names)
+            blocks = [(k, _packed(small[i : i + BLOCK])) for k, i in enumerate(range(0, len(small), BLOCK))]
+            n, nothing, none = len(blocks), pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.binary())
+            counts = (pa.array([k for k, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary()))
+            yield pa.RecordBatch.from_arrays([nothing, pa.nulls(n, id_type), nothing, nothing, none, *counts], names=names)
 
-    return arrow_map(docs, run, f"key long, id {kind}, sid long, n long, block int, counts binary")
+    return arrow_map(docs, run, f"key long, id {kind}, sid long, n long, sig binary, block int, counts binary")
 
 
 def _sketch_of(first: DataFrame) -> tuple[np.ndarray, float, float]:
@@ -124,15 +151,17 @@ def _sketch_of(first: DataFrame) -> tuple[np.ndarray, float, float]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, held in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                counts = np.frombuffer(held, "<i8").astype(np.float64)
-                levels = np.floor(LEVELS * np.log2(counts + 1)).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "levels": [levels], "n": [counts.sum()], "second": [float((counts**2).sum())]})
+                sums[block] = sums.get(block, 0) + _unpacked(held)
+        for block, counts in sums.items():
+            levels = np.floor(LEVELS * np.log2(counts + 1.0)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "levels": [levels], "n": [float(counts.sum())], "second": [float((counts.astype(float) ** 2).sum())]})
 
-    total = sum_blocks(first.filter("block IS NOT NULL").select("block", "counts"), "<u1", "<i8")
+    total = arrow_map(first.filter("block IS NOT NULL").select("block", "counts").repartition("block"), run, "block int, levels binary, n double, second double")
     levels, n, second = np.zeros(1 << SKETCH_BITS, np.uint8), 0.0, 0.0
-    for row in arrow_map(total, run, "block int, levels binary, n double, second double").collect():  # 2 ** SKETCH_BITS / BLOCK rows
+    for row in total.collect():  # 2 ** SKETCH_BITS / BLOCK rows
         levels[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["levels"], np.uint8)
         n, second = n + row["n"], second + row["second"]
     return levels, n, second
@@ -283,6 +312,26 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(waiting, first, shown(waiting, first, True)[0])
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``(a, b)`` whose signatures ``sa`` and ``sb`` differ in no more than sets of ``na`` and ``nb`` tokens may that link."""
+    for some in batches:
+        x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("sa", "sb"))
+        sizes = some.column("na").to_numpy() + some.column("nb").to_numpy()
+        fit = np.abs(x - y).sum(1, dtype=np.int64) * (100 + PERCENT) <= sizes * (100 - PERCENT)
+        yield some.select(["a", "b"]).filter(pa.array(fit))
+
+
+def _fit_lists(lists: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of lists of two sets or more, with their ``length``, but for pairs that signatures rule out."""
+    held = lists.groupBy("token").agg(F.count("*").alias("length"), F.min("sid").alias("a"), F.max("sid").alias("b"))
+    held = scratch.keep(held.filter("length > 1"))
+    left, right = (named.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    pairs = held.filter("length = 2").select("a", "b").distinct().join(left, "a").join(right, "b")
+    fit = scratch.keep(arrow_map(pairs, _may_link, "a long, b long"))
+    good = held.filter("length > 2").unionByName(held.filter("length = 2").join(fit, ["a", "b"], "left_semi")).select("token", "length")
+    return scratch.keep(lists.join(scratch.keep(good), "token"))
+
+
 def _with_pivot(rows: DataFrame, scratch: Scratch, able: str = "true") -> DataFrame:
     """``rows`` of lists with the set of most ``rank`` of those in their list that are ``able`` to be the pivot.
 
@@ -292,50 +341,39 @@ def _with_pivot(rows: DataFrame, scratch: Scratch, able: str = "true") -> DataFr
     return rows.join(scratch.keep(pivots.select("token", F.col("best.sid").alias("pivot"))), "token").select("token", "sid", "n", "bound", "rank", "pivot")
 
 
-def _bloom(keys: DataFrame) -> Broadcast[np.ndarray] | None:
-    """A Bloom filter of fixed size over ``key``, broadcast as an array; None if it would let too many others pass."""
-    place = F.pmod(F.col("key"), F.lit(1 << BLOOM_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {1 << BLOOM_BITS}) % 32 as int))")
-    words = keys.select(F.shiftright(place, 5).cast("int").alias("w"), bit.alias("bit"))
-    out = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
-    rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # at most 2^19 rows
-    for b in rows.toArrow().to_batches():
-        out[b.column("w").to_numpy()] = b.column("bits").to_numpy().astype(np.uint32)
-    if int(np.bitwise_count(out).sum()) > BLOOM_LOAD * (1 << BLOOM_BITS):
-        return None
-    return keys.sparkSession.sparkContext.broadcast(out)
-
-
 def _listed_sets(docs: DataFrame, lists: DataFrame, named: DataFrame, levels: Broadcast[np.ndarray], scratch: Scratch) -> DataFrame:
     """``(sid, tokens)`` of the sets in ``lists``, tokens in order, from one document of each.
 
-    ``named`` has ``sid`` and the ``key`` of that document. A Bloom filter keeps
-    other texts from leaving the pass if there are few enough keys for it; else
-    keys and texts are joined.
+    ``named`` has ``sid`` and the ``key`` of that document. Up to ``MOST_KEYS`` keys
+    are broadcast, so that no other text leaves the pass; more are joined with the
+    texts.
     """
-    sids = lists.select("sid").distinct()
-    keys = named.join(sids, "sid", "left_semi").select("key")
-    bloom = _bloom(keys)
-    if bloom is None:
+    keys = scratch.keep(named.join(lists.select("sid").distinct(), "sid", "left_semi").select("key"))
+    few = keys.count() <= MOST_KEYS
+    if few:
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
+    else:
         docs = docs.join(keys, "key", "left_semi").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for some in in_slices(batches, "text"):
-            if bloom is not None:
-                place = some.column("key").to_numpy() & ((1 << BLOOM_BITS) - 1)
-                some = some.filter(pa.array((bloom.value[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+            if few:
+                wanted, held = sent.value, some.column("key").to_numpy()
+                at = np.minimum(np.searchsorted(wanted, held), max(len(wanted) - 1, 0))
+                some = some.filter(pa.array(wanted[at] == held if len(wanted) else np.zeros(len(held), bool)))
             found = [s for s in shingle_sets(some.column("text").cast(pa.binary()).to_pylist()) if len(s)]
             if found:
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_in_order(s, level) for s in found]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), tokens], names=["sid", "tokens"])
 
-    sets = arrow_map(docs.select("key", "text"), run, "sid long, tokens array<bigint>").join(sids, "sid", "left_semi")
-    out = scratch.keep(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), large=True)  # repeated rows share a key
-    if bloom is not None:
-        bloom.destroy()
-    return out
+    sets = scratch.keep(arrow_map(docs.select("key", "text"), run, "sid long, tokens array<bigint>"), large=True)
+    if few:
+        sent.destroy()
+    size = sets.agg(F.count("*").alias("rows"), F.count_distinct("sid").alias("sets")).first()
+    # Rows that are equal in id and text share a key.
+    return sets if size["rows"] == size["sets"] else scratch.keep(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), large=True)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -395,19 +433,18 @@ def _by_places(rows: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between sets that make the same components as all links do."""
     levels, n, second = _sketch_of(first)
-    named = scratch.keep(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n")))
+    named = scratch.keep(first.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.first("sig").alias("sig")))
     binned = F.expr("cast(CASE WHEN n < 512 THEN n ELSE floor(exp2(floor(log2(n) * 16) / 16)) END AS long)".replace("exp2(", "power(2, "))
     sizes = {r["size"]: r["c"] for r in named.groupBy(binned.alias("size")).agg(F.count("*").alias("c")).collect()}  # 512 sizes, and 16 for each doubling
     boundary = choose_boundary(sizes, list_length(n, second))
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     entries = _entries(docs, sent, boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
     lists = scratch.keep(arrow_map(entries, _scan_lists, "token long, sid long, n int, bound int"), large=True)
-    sets = _listed_sets(docs, lists, named, sent, scratch)
+    rows = _fit_lists(lists, named, scratch)
+    sets = _listed_sets(docs, rows, named, sent, scratch)
     sent.destroy()
 
     # A set that shares many of its keys with many others is central.
-    held = scratch.keep(lists.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"))
-    rows = lists.join(held, "token")
     ranks = rows.groupBy("sid").agg((F.sum(F.log2("length")) / F.first("n")).alias("rank"))
     rows = _with_pivot(scratch.keep(rows.select("token", "sid", "n", "bound").join(ranks, "sid")), scratch)
     stars = None

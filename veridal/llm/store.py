@@ -103,7 +103,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches``, cut so that a slice holds about ``most_bytes`` of ``text``."""
     for batch in batches:
         if not batch.num_rows:
