@@ -11,7 +11,7 @@ country code), so that it learns shape and context rather than the rules.
 
 A fifth of the spans is held out. ``train`` measures how many of these, changed and
 rewritten like the others, the tagger finds in their places; under ``LEAST_RECALL``
-it fits again from another start, three times in all, and the best fit stays, with
+it fits once more from another start, and the better fit stays, with
 a warning if that is still under.
 
 A whole text is covered by windows of ``WINDOW`` characters that overlap by
@@ -44,9 +44,9 @@ from veridal.llm.store import arrow_map, cut, in_slices
 
 WINDOW, OVERLAP = 256, 48
 TRAIN_WINDOW = 128
-SAMPLE, SPANS_EACH, WINDOWS = 20_000, 300, 1536
-LEAST_RECALL, FITS, HELD_OUT_OF = 0.8, 3, 5
-ROUNDS, BATCH, RATE, SEED = 12, 96, 0.03, 7
+SAMPLE, SPANS_EACH, WINDOWS = 20_000, 300, 1024
+LEAST_RECALL, FITS, HELD_OUT_OF = 0.8, 2, 5
+ROUNDS, BATCH, RATE, SEED = 10, 64, 0.03, 7
 _LANES = 1024
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
