@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from veridal.llm.store import cut, words
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 #: Bits of the filter of labelled ids.
-BLOOM_BITS = 1 << 22
+BLOOM_BITS = 1 << 20
 THRESHOLD = -0.08
 PRIOR = 4.0
 LEAST_WORDS = 50
@@ -102,7 +102,8 @@ def bucketed(w: Column) -> Column:
 
 def bucket_counts(texts: DataFrame, name: str) -> DataFrame:
     """``(bucket, <name>)``: occurrences in column ``text``; at most ``BUCKETS`` rows."""
-    each = texts.select(F.explode(bucketed(words(F.col("text")))).alias("bucket"))
+    split = texts.select(words(F.col("text")).alias("w"))  # once a text, not once a word
+    each = split.select(F.explode(bucketed(F.col("w"))).alias("bucket"))
     return each.groupBy("bucket").agg(F.count("*").alias(name))
 
 
@@ -111,13 +112,12 @@ def ratio_table(raw: DataFrame, target: DataFrame) -> DataFrame:
     sums = cut(bucket_counts(raw, "raw").join(bucket_counts(target, "target"), "bucket", "left"))
     every = raw.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(sums, "bucket", "left").na.fill(0, ["raw", "target"])  # BUCKETS rows
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "raw", "target")))
+    ordered = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target")))
     row = full.agg(ordered.alias("all"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # Shrunk towards 0 where a bucket has few counts, which a document outside the target would pay for.
     share = F.col("target") / F.col("raw")
-    log_ratio = F.transform("all", lambda x: F.log((x["target"] + PRIOR) / (x["raw"] * share + PRIOR)))
-    none = F.array_repeat(F.lit(0.0), BUCKETS)
-    return cut(row.select(F.when(F.col("target") > 0, log_ratio).otherwise(none).alias("ratios_")))
+    log_ratio = F.transform("all", lambda x: F.when(F.col("target") > 0, F.log((x["target"] + PRIOR) / (x["raw"] * share + PRIOR))).otherwise(0.0))
+    return cut(row.select(log_ratio.alias("ratios_")))
 
 
 def judged(docs: DataFrame, ratios: DataFrame, threshold: float) -> DataFrame:
@@ -145,7 +145,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bits = good.select(F.floor(place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(good_id), {BLOOM_BITS}) % 64 AS int))").alias("bit"))
     bits = bits.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # at most BLOOM_BITS / 64 rows
     every = docs.sparkSession.range(BLOOM_BITS // 64).select(F.col("id").cast("int").alias("w"))
-    held = every.join(bits, "w", "left").na.fill(0, ["bits"]).agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("bits_"))
+    held = every.join(bits, "w", "left").na.fill(0, ["bits"]).agg(F.sort_array(F.collect_list(F.struct("w", "bits"))).alias("bits_"))
     held = cut(held.select(F.transform("bits_", lambda x: x["bits"]).alias("bits_")))
     at = F.pmod(F.xxhash64(F.col("id").cast(good.dtypes[0][1])), F.lit(BLOOM_BITS))
     maybe = docs.withColumn("at_", at).join(F.broadcast(held)).filter("(shiftright(get(bits_, cast(floor(at_ / 64) AS int)), cast(at_ % 64 AS int)) & 1L) = 1")
