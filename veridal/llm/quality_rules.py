@@ -26,6 +26,7 @@ and pass through ``keep_clean``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +51,20 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` made once a row, even where the optimiser puts its expression in place of its name."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def windows_of_three(w: Column) -> Column:
     """A hash for each place where three words start."""
-    n = F.size(w)
-    starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def hashes(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    return bound(w, hashes)
 
 
 def repeated_places(hashes: Column) -> Column:
@@ -71,9 +81,12 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     some = F.size(F.array_distinct("windows_")) < F.size("windows_")
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
     out = out.withColumn("sorted_", F.when(some, repeated_places(F.col("windows_"))).otherwise(empty))
-    same = lambda x, i: x["h"].eqNullSafe(F.get(F.col("sorted_"), i)["h"])
-    places = F.filter("sorted_", lambda x, i: same(x, i + 1) | F.when(i > 0, same(x, i - 1)).otherwise(False))
-    out = out.withColumn("places_", F.sort_array(F.transform(places, lambda x: x["i"])))
+
+    def repeats(pairs: Column) -> Column:
+        same = lambda x, i: x["h"].eqNullSafe(F.get(pairs, i)["h"])
+        return F.filter(pairs, lambda x, i: same(x, i + 1) | F.when(i > 0, same(x, i - 1)).otherwise(False))
+
+    out = out.withColumn("places_", F.sort_array(F.transform(bound(F.col("sorted_"), repeats), lambda x: x["i"])))
     covered = F.aggregate(
         "places_",
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
@@ -93,11 +106,15 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
 
 def bucketed(w: Column) -> Column:
     """Buckets of every word and every pair of neighbours."""
-    n = F.size(w)
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    starts = F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-    two = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, two)
+
+    def both(w: Column) -> Column:
+        n = F.size(w)
+        one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+        starts = F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+        two = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(BUCKETS)).cast("int"))
+        return F.concat(one, two)
+
+    return bound(w, both)
 
 
 def bucket_counts(texts: DataFrame, name: str) -> DataFrame:
