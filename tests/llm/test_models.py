@@ -138,7 +138,8 @@ def test_lm_scores_equal_a_plain_recursion(spark, documents, monkeypatch):
     name = dict(zip(vocabulary, hmm_lm.word_hashes(" ".join(vocabulary).encode())[0].view(np.int64).tolist(), strict=True))
     symbol = {h: 1 + hmm_lm.CLASSES + i for i, h in enumerate(chosen[1].hashes.tolist())}
     assert 100 < len(symbol) <= 120
-    assert sorted(((r.doc_id, round(r.score, 4)) for r in rows), key=str) == pytest.approx(brute_scores(docs, learnt[0], {w: symbol[h] for w, h in name.items() if h in symbol}))
+    want = brute_scores(docs, learnt[0], {w: symbol[h] for w, h in name.items() if h in symbol})
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(dict(want), abs=1e-2)
 
 
 def test_lm_ties_at_the_top_leave_symbols(spark):
