@@ -430,7 +430,7 @@ def token_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT vec_id, v[1] AS gender, round(round(greatest(1 / (1 + exp(v[2] - v[1])), 1 / (1 + exp(v[1] - v[2]))), 6), 4) AS confidence, CASE WHEN v[1] >= v[2] THEN 'Woman' ELSE 'Man' END AS label
+    SELECT vec_id, v[1] AS gender, greatest(1 / (1 + exp(v[2] - v[1])), 1 / (1 + exp(v[1] - v[2]))) >= 0.61 AS sure, CASE WHEN v[1] >= v[2] THEN 'Woman' ELSE 'Man' END AS label
     FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
 """.replace("v[1] AS gender", "CASE WHEN v[1] >= v[2] THEN 'female' ELSE 'male' END AS gender"))
 def prediction_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,7 +438,7 @@ def prediction_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = taxonomy.prediction_map(taxonomy.decode_single(F.col("embedding"), s), s, ["female", "male"], ["Woman", "Man"], "strong", "Gender")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", taxonomy.predictions({"gender": found}).alias("p"))
     one = F.col("p")["gender"]
-    return rows.select("vec_id", F.get(one["codes"], F.lit(0)).alias("gender"), F.round(F.get(one["scores"], F.lit(0)), 4).alias("confidence"), F.get(taxonomy.label_map(F.col("p"))["Gender"], F.lit(0)).alias("label"))
+    return rows.select("vec_id", F.get(one["codes"], F.lit(0)).alias("gender"), (F.get(one["scores"], F.lit(0)) >= 0.61).alias("sure"), F.get(taxonomy.label_map(F.col("p"))["Gender"], F.lit(0)).alias("label"))
 
 
 # --- workflows over stub models ---
