@@ -105,13 +105,13 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
-    """``(lang, texts)``, each of about ``SHARD_BYTES`` at most, or of one text."""
+def _shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[bytes, list[bytes]]]:
+    """``(lang, texts)``, each of about ``most_bytes`` at most, or of one text."""
     waiting: dict[bytes, list[bytes]] = {}
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if size and size + len(text) > SHARD_BYTES:
+            if size and size + len(text) > most_bytes:
                 yield from waiting.items()
                 waiting, size = {}, 0
             waiting.setdefault(lang, []).append(text)
@@ -132,7 +132,7 @@ def _counted(rows: DataFrame, sketches: list) -> int:
     """How many phrases the next sketch counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(p.live.sum()) for _, p in _opened(_shards(batches), sketches))
+        n = sum(int(p.live.sum()) for _, p in _opened(_shards(batches, SHARD_BYTES), sketches))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return arrow_map(rows, run, "n long").agg(F.sum("n")).first()[0] or 0
@@ -143,7 +143,7 @@ def _sketch(rows: DataFrame, sketches: list, buckets: int, least: int) -> bytes:
     width = np.uint8 if least < 256 else np.uint32
 
     def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, phrases in _opened(_shards(batches), sketches):
+        for _, phrases in _opened(_shards(batches, SHARD_BYTES), sketches):
             touched = np.sort(bucket_of(phrases.hashes[phrases.live], buckets).astype(np.uint32))
             first = np.flatnonzero(np.concatenate([[True], touched[1:] != touched[:-1]])) if len(touched) else np.zeros(0, int)
             counts = np.minimum(np.diff(np.append(first, len(touched))), least).astype(width)
@@ -181,7 +181,7 @@ def _scanned(rows: DataFrame, sketches: list) -> DataFrame:
     """``(lang, words, phrase, n)`` of each shard's candidates; the number of all words at an empty phrase."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, texts in _shards(batches):
+        for lang, texts in _shards(batches, SHARD_BYTES):
             phrases = Phrases(written(texts), lang)
             patterns: list[bytes] = []
             sizes: list[np.ndarray] = []
@@ -193,7 +193,7 @@ def _scanned(rows: DataFrame, sketches: list) -> DataFrame:
                 patterns += [phrases.raw[a - 1 : b + 1] for a, b in spans]
                 sizes.append(np.full(len(one), phrases.size, np.int32))
                 phrases.longer(now)
-            counts = _matches(phrases.raw.decode(), patterns)
+            counts = _matches(phrases.raw.decode(), patterns, PATTERNS)
             found = [b"", *(p[1:-1] for p in patterns)]
             n = np.concatenate([[phrases.n_words], counts])
             words = np.concatenate([np.zeros(1, np.int32), *sizes])
@@ -202,11 +202,11 @@ def _scanned(rows: DataFrame, sketches: list) -> DataFrame:
     return arrow_map(rows, scan, "lang binary, words int, phrase binary, n long")
 
 
-def _matches(text: str, patterns: list[bytes]) -> np.ndarray:
+def _matches(text: str, patterns: list[bytes], most: int) -> np.ndarray:
     """How often each pattern occurs in ``text``, overlaps included."""
     counts = np.zeros(len(patterns), np.int64)
-    for first in range(0, len(patterns), PATTERNS):
-        some = patterns[first : first + PATTERNS]
+    for first in range(0, len(patterns), most):
+        some = patterns[first : first + most]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, p in enumerate(some):
             automaton.add_word(p.decode(), k)
