@@ -26,7 +26,7 @@ def test_a_failed_row_is_kept_and_skips_later_stages(spark):
 def test_observers_are_gathered_in_order(spark):
     rows = spark.createDataFrame([("1",), ("2",)], "sample_id string")
     stage = stages.Stage("observer", lambda df: F.concat("sample_id", F.lit("/"), "focus"), lambda prompts: list(prompts))
-    out = stages.fan_out(rows, stage, ["top", "shoes", "bag"], "sample_id").orderBy("sample_id").collect()
+    out = stages.fan_out(rows, stage, ["top", "shoes", "bag"]).orderBy("sample_id").collect()
     assert [r.observers for r in out] == [["1/top", "1/shoes", "1/bag"], ["2/top", "2/shoes", "2/bag"]]
 
 
@@ -34,7 +34,7 @@ def test_rounds_go_on_for_open_rows_only(spark):
     rows = spark.createDataFrame([("1",), ("2",), ("3",)], "sample_id string")
     draft = stages.Stage("draft", lambda df: F.concat("sample_id", F.lit("|"), F.coalesce("feedback", F.lit("-"))), lambda prompts: list(prompts))
     verdict = stages.Stage("verdict", lambda df: F.col("draft"), lambda prompts: ["accept" if p.startswith("1|") or (p.startswith("2|") and "fix" in p) else "reject" for p in prompts])
-    out = stages.refine(rows, "sample_id", [draft, verdict], F.col("verdict") == "accept", 3, F.lit("fix"), "rejected_after_max_attempts")
+    out = stages.refine(rows, [draft, verdict], F.col("verdict") == "accept", 3, F.lit("fix"), "rejected_after_max_attempts")
     assert {r.sample_id: (r.workflow_status, r.rounds) for r in out.collect()} == {"1": ("accepted", 1), "2": ("accepted", 2), "3": ("rejected_after_max_attempts", 3)}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veridal.functions import cells, jsons, scores, text
-from veridal.operators import joins, latest, overlay, similarity, stats, taxonomy, telemetry, validate
+from veridal.operators import joins, latest, overlay, selection, similarity, stats, taxonomy, telemetry, validate
 from veridal.sources import sinks, tables
 
 
@@ -91,8 +91,9 @@ def test_overrides_are_checked(spark):
 
 def test_percentiles_differ_for_even_numbers(spark):
     for n in (1, 2, 20, 21):
-        row = spark.range(1, n + 1).agg(F.median("id").alias("m"), stats.nearest_rank("id", 0.5).alias("r"), stats.nearest_rank("id", 0.95).alias("q")).first()
-        assert (row.m, row.r, row.q) == ((n + 1) / 2, (n + 1) // 2, -(-n * 19 // 20))
+        ranks = {"low": selection.LOW_MIDDLE, "high": selection.HIGH_MIDDLE, "r": selection.nearest(0.5), "q": selection.nearest(0.95)}
+        row = selection.at_ranks(spark.range(1, n + 1), [], "id", ranks).first()
+        assert ((row.low + row.high) / 2, row.r, row.q) == ((n + 1) / 2, (n + 1) // 2, -(-n * 19 // 20))
 
 
 def test_rates_without_denominator_are_not_zero(spark):

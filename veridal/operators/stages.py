@@ -3,15 +3,18 @@
 A stage renders a prompt, calls ``model(prompts) -> texts`` once an Arrow batch,
 validates, and leaves ``{value, error}`` for every row, so a row is never lost. If
 a call for many rows raises, each row is called for by itself, so that one bad row
-costs no other.
+costs no other. With several ``workers`` a task has that many calls of one row each
+open, takes the next row when one is done, and passes rows on as they are done.
 Model calls are not repeatable, so each stage's result is written to the shared
 checkpoint folder before the next stage reads it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,13 +30,20 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 @dataclass(frozen=True)
 class Stage:
-    """``prompt`` renders the input; ``valid`` says whether an answer is fit."""
+    """``prompt`` renders the input; ``valid`` says whether an answer is fit.
+
+    ``valid`` gets the answer and then the row's values of the columns ``beside``,
+    so that an answer can be held against what other stages have said.
+    """
 
     name: str
     prompt: Callable[[DataFrame], Column]
     model: Model
-    valid: Callable[[str], bool] = lambda text: bool(text and text.strip())
-    attempts: int = 2
+    valid: Callable[..., bool] = lambda text: bool(text and text.strip())
+    attempts: int = 1
+    beside: Sequence[str] = ()
+    refused: str = "invalid answer"
+    workers: int = 1
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -60,25 +70,77 @@ def _answers(model: Model, prompts: list[str]) -> list[tuple[str | None, str | N
         return [x for p in prompts for x in _answers(model, [p])]
 
 
+def bounded_calls(items: Iterable, work: Callable, workers: int) -> Iterator:
+    """Results as they are done; no more than ``workers`` items are open at once.
+
+    An item is taken only when a worker is free for it, so a slow consumer or slow
+    work holds the input back. A call that raises ends the iteration.
+    """
+    if workers < 1:
+        raise ValueError("there must be at least one worker")
+    waiting = iter(items)
+    with ThreadPoolExecutor(workers) as pool:
+        running = {pool.submit(work, i) for i in islice(waiting, workers)}
+        while running:
+            done, running = wait(running, return_when=FIRST_COMPLETED)
+            for d in done:
+                yield d.result()
+            running |= {pool.submit(work, i) for i in islice(waiting, workers - len(running))}
+
+
+def _judged(stage: Stage, rows: list[tuple[str, tuple]]) -> list[tuple[str | None, str | None]]:
+    """An answer or an error for each ``(prompt, values beside)``; what fails is asked again while attempts are left."""
+    out: list[tuple[str | None, str | None]] = [(None, None)] * len(rows)
+    left = list(range(len(rows)))
+    for _ in range(stage.attempts):
+        if not left:
+            break
+        for i, (a, e) in zip(left, _answers(stage.model, [rows[i][0] for i in left]), strict=True):
+            good = e is None and stage.valid(a, *rows[i][1])
+            out[i] = (a, None) if good else (None, f"{stage.name}: {e or stage.refused}")
+        left = [i for i in left if out[i][1] is not None]
+    return out
+
+
+#: Rows that a task with several workers gathers before it passes them on.
+_PASSED_ON = 64
+
+
 def call(df: DataFrame, stage: Stage) -> DataFrame:
     """``df`` with ``<name>`` (text or null) and ``error`` kept from before or set here."""
-    name, model, valid, attempts = stage.name, stage.model, stage.valid, stage.attempts
+    name = stage.name
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            value, error = [None] * len(f), list(f["error"])
-            open_rows = [i for i, e in enumerate(error) if e is None]
-            for _ in range(attempts):
-                if not open_rows:
-                    break
-                for i, (a, e) in zip(open_rows, _answers(model, [f["prompt_"].iloc[i] for i in open_rows]), strict=True):
-                    good = e is None and valid(a)
-                    value[i], error[i] = (a, None) if good else (None, f"{name}: {e or 'invalid answer'}")
-                open_rows = [i for i in open_rows if value[i] is None]
-            f = f.drop(columns="prompt_")
-            f[name], f["error"] = value, error
-            yield f
+    def beside(f: pd.DataFrame, i: int) -> tuple:
+        return tuple(f[c].iloc[i] for c in stage.beside)
 
+    def finished(f: pd.DataFrame, results: dict[int, tuple[str | None, str | None]]) -> pd.DataFrame:
+        out = f.iloc[list(results)].drop(columns="prompt_")
+        out[name], out["error"] = [r[0] for r in results.values()], [r[1] for r in results.values()]
+        return out
+
+    def by_frame(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            results = {i: (None, e) for i, e in enumerate(f["error"])}
+            asked = [i for i, (_, e) in results.items() if e is None]
+            results |= zip(asked, _judged(stage, [(f["prompt_"].iloc[i], beside(f, i)) for i in asked]), strict=True)
+            yield finished(f, results)
+
+    def by_worker(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(item: tuple[pd.DataFrame, int]) -> pd.DataFrame:
+            f, i = item
+            error = f["error"].iloc[i]
+            return finished(f, {i: (None, error) if error is not None else _judged(stage, [(f["prompt_"].iloc[i], beside(f, i))])[0]})
+
+        ready: list[pd.DataFrame] = []
+        for row in bounded_calls(((f, i) for f in frames for i in range(len(f))), one, stage.workers):
+            ready.append(row)
+            if len(ready) == _PASSED_ON:
+                yield pd.concat(ready)
+                ready = []
+        if ready:
+            yield pd.concat(ready)
+
+    run = by_frame if stage.workers == 1 else by_worker
     rows = df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
     rows = rows.withColumn("prompt_", stage.prompt(rows))
     schema = rows.drop("prompt_").withColumn(name, F.lit(None).cast("string")).schema
@@ -94,17 +156,21 @@ def flow(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     return df.withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("error"))
 
 
-def fan_out(df: DataFrame, stage: Stage, focuses: Sequence[str], key: str) -> DataFrame:
-    """The stage once per focus, answers gathered in the focuses' order."""
-    wide = df.withColumn("focus", F.explode(F.array(*[F.lit(f) for f in focuses]))).withColumn("focus_place", F.array_position(F.array(*[F.lit(f) for f in focuses]), F.col("focus")))
+def fan_out(df: DataFrame, stage: Stage, focuses: Sequence[str]) -> DataFrame:
+    """The stage once per focus, answers gathered in the focuses' order.
+
+    Rows are numbered for it, so every row comes back once, whatever its ids are.
+    """
+    numbered = settled(df.withColumn("row_", F.monotonically_increasing_id()))
+    asked = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(f).alias("focus")) for k, f in enumerate(focuses)])
+    wide = numbered.withColumn("asked_", F.explode(asked)).withColumn("focus", F.col("asked_.focus")).withColumn("place_", F.col("asked_.place")).drop("asked_")
     done = call(wide, stage)
-    answers = F.transform(F.array_sort(F.collect_list(F.struct("focus_place", stage.name))), lambda x: x[stage.name])
-    first_error = F.min("error")
-    gathered = done.groupBy(key).agg(answers.alias(f"{stage.name}s"), first_error.alias("error"))
-    return df.join(gathered, key)
+    answers = F.transform(F.array_sort(F.collect_list(F.struct("place_", stage.name))), lambda x: x[stage.name])
+    gathered = done.groupBy("row_").agg(answers.alias(f"{stage.name}s"), F.min("error").alias("error"))
+    return numbered.drop("error").join(gathered, "row_").drop("row_")
 
 
-def refine(df: DataFrame, key: str, round_stages: Sequence[Stage], accepted: Column, most_rounds: int, feedback: Column, exhausted: str) -> DataFrame:
+def refine(df: DataFrame, round_stages: Sequence[Stage], accepted: Column, most_rounds: int, feedback: Column, exhausted: str) -> DataFrame:
     """Rounds of stages over the rows that no round has accepted yet.
 
     A row leaves with ``workflow_status`` *accepted*, with ``exhausted`` and its last
@@ -137,9 +203,3 @@ def prediction_rows(df: DataFrame, method: str, model_id: str, prompt_version: s
         "sample_id", F.lit(method).alias("method"), F.lit(model_id).alias("model_id"), F.lit(prompt_version).alias("prompt_version"), "status",
         F.when(ok, trim_u(caption)).alias("caption"), F.when(ok, attributes).alias("attributes"), F.when(~ok, F.struct(code.alias("code"), F.col("error").alias("message"))).alias("error"),
     )
-
-
-def judge_rows(tasks: DataFrame, judge_model: str, caption_stage: Stage, attribute_stage: Stage) -> DataFrame:
-    """Two isolated calls a task: one sees the image and caption, one the caption and golden labels."""
-    done = flow(tasks, [caption_stage, attribute_stage])
-    return done.withColumn("evaluation_schema_version", F.lit("3")).withColumn("judge_model", F.lit(judge_model))

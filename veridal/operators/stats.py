@@ -13,25 +13,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridal.functions.text import NO_RATE
+from veridal.operators import selection
 
 
 def verdict_counts(x: Column, prefix: str = "") -> list[Column]:
     return [F.count_if(x).alias(f"{prefix}true"), F.count_if(~x).alias(f"{prefix}false"), F.count_if(x.isNull()).alias(f"{prefix}null")]
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The element at place ceil(n p) of the sorted values."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
-
-
 def method_summary(rows: DataFrame, group: str, ok: Column, verdict: Column, latency: str) -> DataFrame:
     """Totals, verdicts of successes, and latencies (errors' too) per group."""
     hit = F.when(ok, verdict)
-    return rows.groupBy(group).agg(
+    sums = rows.groupBy(group).agg(
         F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("errors"),
         F.count_if(hit).alias("n_true"), F.count_if(~hit).alias("n_false"), F.count_if(ok & verdict.isNull()).alias("n_null"),
-        F.avg(latency).alias("latency_mean"), F.median(latency).alias("latency_p50"), nearest_rank(latency, 0.95).alias("latency_p95"),
+        F.avg(latency).alias("latency_mean"),
     )
+    ranks = {"low_middle": selection.LOW_MIDDLE, "high_middle": selection.HIGH_MIDDLE, "latency_p95": selection.nearest(0.95)}
+    out = selection.with_ranks(sums, selection.at_ranks(rows, [group], latency, ranks), [group])
+    return out.withColumn("latency_p50", (F.col("low_middle") + F.col("high_middle")) / 2).drop("low_middle", "high_middle")
 
 
 def error_histogram(rows: DataFrame, group: str, failed: Column, code: Column) -> DataFrame:

@@ -5,22 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKENS = ("input_tokens", "output_tokens", "total_tokens")
-
-
-def ranked_values(values: DataFrame, groups: Sequence[str], value: str, n: str, points: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of ``value``, of which each row stands for ``n``, by group.
+from veridal.operators import selection
 
-    Equal values are one row, so a group is as large as its distinct values.
-    """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum(n).alias("n_"))
-    group = Window.partitionBy(*groups)
-    upto = F.sum("n_").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("upto_", upto).withColumn("all_", F.sum("n_").over(group))
-    return placed.groupBy(*groups).agg(*[F.min(F.when(F.col("upto_") >= F.ceil(F.col("all_") * F.lit(p)), F.col(value))).alias(c) for c, p in points.items()])
+TOKENS = ("input_tokens", "output_tokens", "total_tokens")
 
 
 def benchmark_summary(events: DataFrame, cases: DataFrame) -> DataFrame:
@@ -42,7 +32,7 @@ def benchmark_summary(events: DataFrame, cases: DataFrame) -> DataFrame:
     once = by_value.withColumn("all_stages", F.lit(False)).unionByName(by_value.withColumn("stage", F.lit(None).cast(dict(by_value.dtypes)["stage"])).withColumn("all_stages", F.lit(True)))
     keys = ["method", "stage", "all_stages"]
     sums = once.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
-    ranks = ranked_values(once, keys, "latency_ms", "actual_http_requests", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
+    ranks = selection.at_ranks(once, keys, "latency_ms", {"p50_latency_ms": selection.nearest(0.5), "p95_latency_ms": selection.nearest(0.95)}, "actual_http_requests")
     calls = events.select("method", "stage", "sample_id", "logical_call_id").distinct()
     whole = calls.drop("stage").distinct().withColumn("stage", F.lit(None).cast(dict(calls.dtypes)["stage"]))
     calls = calls.withColumn("all_stages", F.lit(False)).unionByName(whole.withColumn("all_stages", F.lit(True))).groupBy(*keys).agg(F.count("*").alias("logical_model_calls"))

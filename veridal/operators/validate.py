@@ -65,18 +65,25 @@ def caption_verdict(text: Column, most_note: int = 400) -> Column:
     )
 
 
-def attribute_check(text: Column) -> Column:
-    """One field's check: a mention has a boolean verdict, anything else an explicit null."""
+def attribute_check(text: Column, most_note: int = 400) -> Column:
+    """One field's check: a mention has a boolean verdict, anything else an explicit null; the note is not too long."""
     mentioned = F.get_json_object(text, "$.mentioned") == "true"
     kind = jsons.kind_at(text, "$.is_correct")
     return violations(
         keys=jsons.has_exact_keys(text, ["mentioned", "is_correct", "note"]),
         mentioned=jsons.is_boolean_at(text, "$.mentioned"),
         verdict=F.when(mentioned, kind == "BOOLEAN").otherwise(kind == "VOID"),
-        note=jsons.kind_at(text, "$.note") == "STRING",
+        note=(jsons.kind_at(text, "$.note") == "STRING") & (F.length(F.get_json_object(text, "$.note")) <= most_note),
     )
 
 
+def attribute_checks(text: Column, names: Sequence[str], most_note: int = 400) -> Column:
+    """The checks of all fields, of exactly these names: ``keys``, or the fields whose own check fails."""
+    keys = violations(keys=jsons.has_exact_keys(text, list(names)))
+    bad = [F.when(F.size(attribute_check(F.get_json_object(text, f"$.{n}"), most_note)) > 0, F.lit(n)) for n in names]
+    return F.concat(keys, F.array_compact(F.array(*bad)))
+
+
 def tri_state_map(checks: Column) -> Column:
     """Whether every entry of a map is a mention with verdict, or neither."""
     return F.forall(F.map_values(checks), lambda c: c["mentioned"] == c["is_correct"].isNotNull())
@@ -117,8 +124,8 @@ def questions(items: Column) -> Column:
 
 
 def answers(items: Column, question_ids: Column) -> Column:
-    """The answers' ids are the questions' ids, as sets."""
-    ids = F.array_sort(F.array_distinct(F.transform(items, lambda a: a["id"])))
+    """The answers' question ids are the questions' ids, as sets."""
+    ids = F.array_sort(F.array_distinct(F.transform(items, lambda a: a["question_id"])))
     return violations(ids=ids == F.array_sort(F.array_distinct(question_ids)))
 
 
@@ -163,17 +170,45 @@ def text_answer(text: Column, key: str, most: int = 500) -> Column:
     return violations(keys=jsons.has_exact_keys(text, [key]), **{key: (jsons.kind_at(text, f"$.{key}") == "STRING") & F.length(trim_u(value)).between(1, most)})
 
 
-def question_list(text: Column, most: int = 30) -> Column:
-    """Question objects with exactly an id and a question, ids of their own."""
-    items = F.from_json(F.get_json_object(text, "$.questions"), "array<string>")
-    ids = F.transform(items, lambda q: F.get_json_object(q, "$.id"))
+def _items(text: Column, key: str) -> Column:
+    """The members of a list in a JSON object, each as JSON text; null where there is none."""
+    inner = F.get_json_object(text, f"$.{key}")
+    return F.when(jsons.kind_at(text, f"$.{key}").startswith("ARRAY"), F.from_json(inner, "array<string>"))
+
+
+def _said(item: Column, key: str) -> Column:
+    """Whether an object says something not blank under ``key``."""
+    return (jsons.kind_at(item, f"$.{key}") == "STRING") & (F.length(trim_u(F.get_json_object(item, f"$.{key}"))) > 0)
+
+
+def _every(items: Column, holds: Callable[[Column], Column]) -> Column:
+    return F.forall(items, lambda x: F.coalesce(holds(x), F.lit(False)))
+
+
+def question_ids(text: Column) -> Column:
+    return F.transform(_items(text, "questions"), lambda q: F.get_json_object(q, "$.id"))
+
+
+def question_list(text: Column) -> Column:
+    """Some question objects of exactly an id, a target and a question, none blank, ids of their own."""
+    items, ids = _items(text, "questions"), question_ids(text)
     return violations(
-        keys=jsons.has_exact_keys(text, ["questions"]), count=F.size(items).between(1, most),
-        items=F.forall(items, lambda q: jsons.has_exact_keys(q, ["id", "question"]) & (F.length(trim_u(F.get_json_object(q, "$.question"))) > 0) & (F.length(trim_u(F.get_json_object(q, "$.id"))) > 0)),
+        count=F.size(items) > 0,
+        items=_every(items, lambda q: jsons.has_exact_keys(q, ["id", "target", "question"]) & _said(q, "id") & _said(q, "target") & _said(q, "question")),
         ids=F.size(F.array_distinct(ids)) == F.size(items),
     )
 
 
+def answer_list(text: Column, asked: Column) -> Column:
+    """Answers of exactly four keys, with evidence and a boolean, to all of the ids ``asked`` and to no other."""
+    items = _items(text, "answers")
+    ids = F.transform(items, lambda a: F.get_json_object(a, "$.question_id"))
+    return violations(
+        items=_every(items, lambda a: jsons.has_exact_keys(a, ["question_id", "answer", "evidence", "determinable"]) & (jsons.kind_at(a, "$.question_id") == "STRING") & _said(a, "answer") & _said(a, "evidence") & jsons.is_boolean_at(a, "$.determinable")),
+        ids=F.array_sort(F.array_distinct(ids)) == F.array_sort(F.array_distinct(asked)),
+    )
+
+
 def string_list(items: Column) -> Column:
     """No blank text in a list."""
     return violations(items=F.forall(items, lambda s: F.length(trim_u(s)) > 0))

@@ -98,24 +98,43 @@ def is_verdict(text: str) -> bool:
     return value is not None and value["decision"] in ("accept", "reject") and _strings(value["reasons"]) and len(value["reasons"]) <= MOST_ISSUES and all(_text(r, 180) for r in value["reasons"])
 
 
+def _member(text: str | None, key: str) -> object:
+    """A member of the JSON object that a text is; other members are let pass."""
+    try:
+        value = json.loads(text or "")
+    except ValueError:
+        return None
+    return value.get(key) if isinstance(value, dict) else None
+
+
+def _all_texts(item: object, keys: set[str]) -> bool:
+    """An object of exactly these keys, none of them blank."""
+    return isinstance(item, dict) and set(item) == keys and all(isinstance(v, str) and v.strip() for v in item.values())
+
+
 def is_questions(text: str) -> bool:
-    value = _object(text, {"questions"})
-    if value is None or not isinstance(value["questions"], list) or not value["questions"]:
+    """Some questions, each with an id of its own and a target."""
+    found = _member(text, "questions")
+    if not isinstance(found, list) or not found or not all(_all_texts(q, {"id", "target", "question"}) for q in found):
         return False
-    fit = all(isinstance(q, dict) and set(q) == {"id", "question"} and _text(q["id"], 64) and _text(q["question"], 300) for q in value["questions"])
-    return fit and len({q["id"] for q in value["questions"]}) == len(value["questions"])
+    return len({q["id"] for q in found}) == len(found)
 
 
-def is_answers(text: str) -> bool:
-    value = _object(text, {"answers"})
-    if value is None or not isinstance(value["answers"], list):
+def is_answers(text: str, questions: str) -> bool:
+    """Answers with evidence to all of the questions and to no other."""
+    found, asked = _member(text, "answers"), _member(questions, "questions")
+    if not isinstance(found, list) or not isinstance(asked, list):
         return False
-    return all(isinstance(a, dict) and set(a) == {"id", "answer"} and _text(a["id"], 64) and _text(a["answer"], 300) for a in value["answers"])
+    for a in found:
+        if not isinstance(a, dict) or not isinstance(a.get("determinable"), bool) or not isinstance(a.get("question_id"), str):
+            return False
+        if not _all_texts({k: v for k, v in a.items() if k not in ("determinable", "question_id")}, {"answer", "evidence"}):
+            return False
+    return {a["question_id"] for a in found} == {q["id"] for q in asked}
 
 
 def is_comparison(text: str) -> bool:
-    value = _object(text, {"decision", "corrections"})
-    return value is not None and value["decision"] in ("accept", "refine") and _strings(value["corrections"])
+    return _member(text, "decision") in ("accept", "refine") and _strings(_member(text, "corrections"))
 
 
 def rendered(template: str, columns: Sequence[str]) -> Callable[[DataFrame], Column]:
@@ -131,8 +150,8 @@ def rendered(template: str, columns: Sequence[str]) -> Callable[[DataFrame], Col
     return prompt
 
 
-def _stage(name: str, models: Mapping[str, Model], prompts: Mapping[str, str], columns: Sequence[str], valid: Callable[[str], bool], attempts: int) -> Stage:
-    return Stage(name, rendered(prompts.get(name, f"{name}: " + " ".join("{" + c + "}" for c in columns)), columns), models[name], valid, attempts)
+def _stage(name: str, models: Mapping[str, Model], prompts: Mapping[str, str], columns: Sequence[str], valid: Callable[..., bool], attempts: int, **more: object) -> Stage:
+    return Stage(name, rendered(prompts.get(name, f"{name}: " + " ".join("{" + c + "}" for c in columns)), columns), models[name], valid, attempts, **more)
 
 
 def _translation(models: Mapping[str, Model], prompts: Mapping[str, str], attempts: int) -> Stage:
@@ -151,7 +170,7 @@ def _finished(df: DataFrame, *keep: str) -> DataFrame:
     return out.select("sample_id", "status", *[F.when(ok, F.col(c)).alias(c) for c in names], "error")
 
 
-def direct_annotation(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 2) -> DataFrame:
+def direct_annotation(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 1) -> DataFrame:
     """One call annotates, another translates the caption."""
     prompts = prompts or {}
     done = call(samples, _stage("annotation", models, prompts, ["sample_id", "image"], is_annotation(contract), attempts))
@@ -159,7 +178,7 @@ def direct_annotation(samples: DataFrame, models: Mapping[str, Model], contract:
     return _finished(call(done, _translation(models, prompts, attempts)))
 
 
-def facts_then_caption(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 2) -> DataFrame:
+def facts_then_caption(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 1) -> DataFrame:
     """Free analysis, structured facts from it, a caption from the facts alone, its translation."""
     prompts = prompts or {}
     stages = [
@@ -172,10 +191,10 @@ def facts_then_caption(samples: DataFrame, models: Mapping[str, Model], contract
     return _finished(call(done, _translation(models, prompts, attempts)))
 
 
-def consensus_annotation(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 2, focuses: Sequence[str] = OBSERVER_FOCUSES) -> DataFrame:
+def consensus_annotation(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 1, focuses: Sequence[str] = OBSERVER_FOCUSES) -> DataFrame:
     """Observers with a focus each, one consensus of their attributes, a caption of it, its translation."""
     prompts = prompts or {}
-    seen = fan_out(samples, _stage("observer", models, prompts, ["sample_id", "image", "focus"], is_annotation(contract), attempts), focuses, "sample_id")
+    seen = fan_out(samples, _stage("observer", models, prompts, ["sample_id", "image", "focus"], is_annotation(contract), attempts), focuses)
     seen = seen.withColumn("candidates", F.array_join("observers", "\n"))
     done = call(seen, _stage("consensus", models, prompts, ["image", "candidates"], is_consensus(contract), attempts)).withColumn("attributes", _part("consensus", "$.attributes"))
     done = call(done, _stage("caption_json", {"caption_json": models["caption"]}, {"caption_json": prompts.get("caption", "caption: {attributes}")}, ["attributes"], is_caption, attempts))
@@ -186,7 +205,7 @@ def consensus_annotation(samples: DataFrame, models: Mapping[str, Model], contra
 _ISSUES = "array<struct<target:string,issue:string,suggested_correction:string>>"
 
 
-def critic_verifier(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 2, rounds: int = 3) -> DataFrame:
+def critic_verifier(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 1, rounds: int = 3) -> DataFrame:
     """Draft, critic and verifier in rounds; issues and reasons go back to the next draft.
 
     After the last round the last draft stays, marked as rejected, with its notes.
@@ -200,28 +219,30 @@ def critic_verifier(samples: DataFrame, models: Mapping[str, Model], contract: C
         _stage("verifier", models, prompts, ["image", "generator", "critic"], is_verdict, attempts),
     ]
     issues, reasons = F.from_json(_part("critic", "$.issues"), _ISSUES), F.from_json(_part("verifier", "$.reasons"), "array<string>")
-    done = refine(samples, "sample_id", stages, _part("verifier", "$.decision") == "accept", rounds, jsons.compact_json(feedback_of(issues, reasons)), REJECTED)
+    done = refine(samples, stages, _part("verifier", "$.decision") == "accept", rounds, jsons.compact_json(feedback_of(issues, reasons)), REJECTED)
     notes = F.concat(F.transform(issues, lambda i: i["issue"]), F.transform(reasons, lambda r: F.trim(r)))
     return _refined(done, "generator", notes, models, prompts, attempts)
 
 
 def question_refinement(samples: DataFrame, models: Mapping[str, Model], contract: Contract, prompts: Mapping[str, str] | None = None, attempts: int = 2, refinements: int = 2) -> DataFrame:
-    """Draft, questions about it, answers from the image, comparison; corrections go back to the next draft."""
+    """Draft, questions about it, answers from the image, comparison; corrections go back to the next draft.
+
+    Answers are held against the questions of their own round, and an answer that
+    does not fit is asked for once more there (``attempts``), the translation not.
+    """
     prompts = prompts or {}
     if refinements < 0:
         raise ValueError("the number of refinements cannot be negative")
+    asked = {"beside": ["verification_questions"], "refused": "incomplete image answers"}
     stages = [
-        _stage("draft", models, prompts, ["sample_id", "image", "feedback"], is_annotation(contract), attempts),
-        _stage("questions", models, prompts, ["draft"], is_questions, attempts),
-        _stage("answers", models, prompts, ["image", "questions"], is_answers, attempts),
-        _stage("comparison", models, prompts, ["draft", "answers"], is_comparison, attempts),
+        _stage("draft_annotation", models, prompts, ["sample_id", "image", "feedback"], is_annotation(contract), attempts, refused="invalid draft"),
+        _stage("verification_questions", models, prompts, ["draft_annotation"], is_questions, attempts, refused="invalid verification questions"),
+        _stage("image_answers", models, prompts, ["image", "verification_questions"], is_answers, attempts, **asked),
+        _stage("comparison", models, prompts, ["draft_annotation", "image_answers"], is_comparison, attempts, refused="invalid comparison"),
     ]
     corrections = F.from_json(_part("comparison", "$.corrections"), "array<string>")
-    done = refine(samples, "sample_id", stages, _part("comparison", "$.decision") == "accept", refinements + 1, jsons.compact_json(corrections), LIMIT)
-    ids = lambda c, path: F.array_sort(F.array_distinct(F.transform(F.from_json(_part(c, path), "array<struct<id:string>>"), lambda x: x["id"])))
-    lacking = F.col("error").isNull() & ~ids("questions", "$.questions").eqNullSafe(ids("answers", "$.answers"))
-    done = done.withColumn("error", F.when(lacking, "answers: incomplete").otherwise(F.col("error")))
-    return _refined(done, "draft", corrections, models, prompts, attempts)
+    done = refine(samples, stages, _part("comparison", "$.decision") == "accept", refinements + 1, jsons.compact_json(corrections), LIMIT)
+    return _refined(done, "draft_annotation", corrections, models, prompts, 1)
 
 
 def _refined(done: DataFrame, draft: str, notes: Column, models: Mapping[str, Model], prompts: Mapping[str, str], attempts: int) -> DataFrame:
@@ -231,7 +252,7 @@ def _refined(done: DataFrame, draft: str, notes: Column, models: Mapping[str, Mo
     return _finished(call(done, _translation(models, prompts, attempts)), "workflow_status", "workflow_notes")
 
 
-def judge(tasks: DataFrame, models: Mapping[str, Model], caption_valid: Callable[[str], bool], attributes_valid: Callable[[str], bool], judge_model: str, versions: Mapping[str, str], prompts: Mapping[str, str] | None = None, attempts: int = 2) -> DataFrame:
+def judge(tasks: DataFrame, models: Mapping[str, Model], caption_valid: Callable[[str], bool], attributes_valid: Callable[[str], bool], judge_model: str, versions: Mapping[str, str], prompts: Mapping[str, str] | None = None, attempts: int = 1) -> DataFrame:
     """Two isolated calls a task: image and caption, then caption and golden labels; with the five counters."""
     prompts = prompts or {}
     done = flow(tasks, [

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridal.functions import cells, scores, text
-from veridal.operators import filters, joins, overlay, ranks, stats, taxonomy, validate, workflows
+from veridal.operators import filters, joins, overlay, ranks, stats, taxonomy, transport, validate, workflows
 from veridal.plans.registry import query, table
+from veridal.sources import tables
 
 
 def _names(found: Column) -> Column:
@@ -31,13 +32,19 @@ def _caption() -> Column:
     return F.when(key % 7 == 0, "  ").when(key % 11 == 0, F.repeat(F.lit("x"), 501)).otherwise(F.col("p_name"))
 
 
-@query(f"SELECT p_partkey, {_flags(keys='p_partkey % 5 <> 0', caption=f'length(trim({_CAPTION})) BETWEEN 1 AND 500')} AS own, CASE WHEN p_partkey % 5 <> 0 AND p_size > 40 THEN 'attributes.size' ELSE '' END AS inner_ FROM part".replace("inner_", "attributes"))
+@query(f"""
+    SELECT p_partkey, {_flags(keys='p_partkey % 5 <> 0', caption=f'length(trim({_CAPTION})) BETWEEN 1 AND 500')} AS own,
+           CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN p_size > 40 THEN 'attributes.size' END, CASE WHEN p_partkey % 13 = 0 OR p_brand LIKE '%1' THEN 'attributes.tags' END) END AS attributes
+    FROM part
+""")
 def draft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts with a key too many, a caption of no or too great a length, or a size outside its domain."""
-    attributes = F.to_json(F.struct(F.col("p_size").cast("string").alias("size")))
-    plain = F.concat(F.lit('{"caption": '), F.to_json(F.struct(_caption().alias("c"))).substr(F.lit(6), F.lit(10_000)))
+    """Drafts with a key too many, a caption of no or too great a length, a size or tag outside its domain, or a tag twice."""
+    brands = [f"Brand#{k}" for k in range(100) if k % 10 != 1]
+    tags = F.when(F.col("p_partkey") % 13 == 0, F.array("p_brand", "p_brand")).otherwise(F.array("p_brand"))
+    attributes = F.to_json(F.struct(F.col("p_size").cast("string").alias("size"), tags.alias("tags")))
+    plain = F.concat(F.lit('{"caption": '), F.substr(F.to_json(F.struct(_caption().alias("c"))), F.lit(6)))
     draft = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(', "attributes": '), attributes, F.when(F.col("p_partkey") % 5 == 0, ', "more": 1}').otherwise("}"))
-    found = validate.draft_annotation(draft, {"size": [str(k) for k in range(41)]}, {})
+    found = validate.draft_annotation(draft, {"size": [str(k) for k in range(41)]}, {"tags": brands})
     inner = F.filter(found, lambda v: v.startswith("attributes."))
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, _names(inner)).otherwise("").alias("attributes"), _names(F.array_except(found, inner)).alias("own"))
 
@@ -64,17 +71,23 @@ def verifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT conv_id, count(*) AS n, count(DISTINCT turn // 3) AS ids FROM conversations GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN n <> ids THEN 'ids' ELSE '' END AS questions, CASE WHEN ids <> (n + 1) // 2 THEN 'ids' ELSE '' END AS answers FROM t WHERE n <= 1000
-""".replace("count(DISTINCT turn // 3)", "count(DISTINCT rn // 3)").replace("FROM conversations GROUP BY conv_id)", "FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS rn FROM conversations) GROUP BY conv_id)").replace("ids <> (n + 1) // 2", "(n + 1) // 2 <> ids"))
+    SELECT conv_id, concat_ws(',', CASE WHEN n % 4 = 0 THEN 'count' END, CASE WHEN conv_id % 3 = 0 AND n % 4 >= 2 THEN 'ids' END, CASE WHEN conv_id % 5 = 0 AND n % 4 > 0 THEN 'items' END) AS questions,
+           concat_ws(',', CASE WHEN conv_id % 4 = 0 AND n % 4 > 0 AND NOT (conv_id % 3 = 0 AND n % 4 = 2) THEN 'ids' END, CASE WHEN conv_id % 7 = 0 AND n % 4 > (conv_id % 4 = 0)::INT THEN 'items' END) AS answers
+    FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+""")
 def question_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of a conversation, numbered by three turns each; answers, by two."""
-    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
-    place = F.sequence(F.lit(0), F.col("n") - 1)
-    questions = F.transform(place, lambda i: F.struct(F.floor(i / 3).cast("string").alias("id")))
-    answers = F.transform(place, lambda i: F.struct(F.floor(i / 2).cast("string").alias("id")))
-    ids = F.transform(questions, lambda q: q["id"])
-    return n.filter("n <= 1000").select("conv_id", _names(validate.questions(questions)).alias("questions"), _names(validate.answers(answers, ids)).alias("answers"))
+    """Up to three questions a conversation, some repeated, some without a target; answers that leave one out or say ``yes`` for a boolean."""
+    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.count("*") % 4).cast("int").alias("n"))
+    c, places = F.col("conv_id"), F.array(F.lit(0), F.lit(1), F.lit(2))
+    name = lambda i: F.when(c % 3 == 0, F.floor(i / 2)).otherwise(i).cast("string")
+    target = F.when(c % 5 == 0, " ").otherwise("bag")
+    questions = F.transform(F.filter(places, lambda i: i < F.col("n")), lambda i: F.struct(name(i).alias("id"), target.alias("target"), F.lit("which?").alias("question")))
+    said = F.when(c % 7 == 0, F.lit('"yes"')).otherwise("true")
+    answer = lambda i: F.concat(F.lit('{"question_id": "'), name(i), F.lit('", "answer": "a", "evidence": "b", "determinable": '), said, F.lit("}"))
+    answers = F.transform(F.filter(places, lambda i: i < F.col("n") - (c % 4 == 0).cast("int")), answer)
+    asked = F.to_json(F.struct(questions.alias("questions")))
+    told = F.concat(F.lit('{"answers": ['), F.array_join(answers, ", "), F.lit("]}"))
+    return n.select("conv_id", _names(validate.question_list(asked)).alias("questions"), _names(validate.answer_list(told, validate.question_ids(asked))).alias("answers"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {_flags(decision='l_returnflag IN (' + repr('A') + ', ' + repr('R') + ')', notes='l_linenumber < 4')} AS violations FROM lineitem")
@@ -533,13 +546,16 @@ def _size_caption(prompts: list[str]) -> list[str]:
 
 
 @query(f"""
-    SELECT s_suppkey::VARCHAR AS sample_id, CASE WHEN {_BAD} THEN 'error' ELSE 'success' END AS status, CASE WHEN NOT ({_BAD}) THEN '#' || (s_suppkey % 2 = 0)::INT END AS caption,
+    SELECT CASE s_suppkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'same' ELSE s_suppkey::VARCHAR END AS sample_id, CASE WHEN {_BAD} THEN 'error' ELSE 'success' END AS status, CASE WHEN NOT ({_BAD}) THEN '#' || (s_suppkey % 2 = 0)::INT END AS caption,
            CASE WHEN NOT ({_BAD}) THEN 'ban dich ' || (s_suppkey % 2 = 0)::INT END AS caption_vi, CASE WHEN s_suppkey % 7 = 0 THEN 'observer: no answer' WHEN s_suppkey % 11 = 0 THEN 'observer: invalid answer' END AS error FROM supplier
 """)
 def consensus_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also of rows without an id and of rows that share one."""
     models = {"observer": _observer, "consensus": _consensus, "caption": _size_caption, "translation": _translator}
     prompts = {"observer": "{focus} {image}", "consensus": "{image}|{candidates}"}
-    return workflows.consensus_annotation(_samples(spark, sf_dir), models, CONTRACT, prompts, focuses=("top", "shoes", "bag")).select(*_SHOWN)
+    key = F.col("sample_id").cast("long") % 10
+    samples = _samples(spark, sf_dir).withColumn("sample_id", F.when(key == 1, "same").when(key != 0, F.col("sample_id")))
+    return workflows.consensus_annotation(samples, models, CONTRACT, prompts, focuses=("top", "shoes", "bag")).select(*_SHOWN)
 
 
 def _critic(prompts: list[str]) -> list[str]:
@@ -580,21 +596,36 @@ def critic_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asker(prompts: list[str]) -> list[str]:
-    return [json.dumps({"questions": [{"id": "q1", "question": "how great?"}, {"id": "q2", "question": "which bag?"}]}) for _ in prompts]
+    return [json.dumps({"questions": [{"id": "q1", "target": "size", "question": "how great?"}, {"id": "q2", "target": "bags", "question": "which bag?"}]}) for _ in prompts]
+
+
+#: What this process has been asked, so that an agent can answer better when asked again.
+_ASKED: set[str] = set()
 
 
 def _answerer(prompts: list[str]) -> list[str]:
-    return [json.dumps({"answers": [{"id": "q2", "answer": "none"}, {"id": "q1", "answer": "too great"}]}) for _ in prompts]
+    """Leaves an answer out: always for numbers divisible by 5, when first asked for 1 modulo 5."""
+    out = []
+    for p in prompts:
+        n = int(p.split("#")[1].split()[0])
+        answers = [{"question_id": q, "answer": "too great", "evidence": "seen", "determinable": q == "q1"} for q in ("q2", "q1")]
+        out.append(json.dumps({"answers": answers[: 1 if n % 5 == 0 or n % 5 == 1 and p not in _ASKED else 2]}))
+        _ASKED.add(p)
+    return out
 
 
 def _comparer(prompts: list[str]) -> list[str]:
     return [json.dumps({"decision": "accept" if n % 3 == 0 or n % 3 == 1 and "again" in p else "refine", "corrections": ["too great"]}) for p, n in ((p, int(p.split("#")[1].split('"')[0])) for p in prompts)]
 
 
-@query(_ROUNDS.format(bad=_BAD, late="refine_limit_reached", notes="too great"))
+@query(f"""
+    SELECT *, CASE WHEN sample_id::INT % 7 = 0 THEN 'draft_annotation: no answer' WHEN sample_id::INT % 11 = 0 THEN 'draft_annotation: invalid draft' WHEN sample_id::INT % 5 = 0 THEN 'image_answers: incomplete image answers' END AS error
+    FROM ({_ROUNDS.format(bad=_BAD + " OR s_suppkey % 5 = 0", late="refine_limit_reached", notes="too great")})
+""")
 def question_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = {"draft": _generator, "questions": _asker, "answers": _answerer, "comparison": _comparer, "translation": _translator}
-    return _round_columns(workflows.question_refinement(_samples(spark, sf_dir), models, CONTRACT, {"draft": "{feedback} {image}"}))
+    models = {"draft_annotation": _generator, "verification_questions": _asker, "image_answers": _answerer, "comparison": _comparer, "translation": _translator}
+    out = workflows.question_refinement(_samples(spark, sf_dir), models, CONTRACT, {"draft_annotation": "{feedback} {image}"})
+    return out.select("sample_id", "status", "caption", "workflow_status", F.array_join("workflow_notes", "|").alias("notes"), "error")
 
 
 def _caption_judge(prompts: list[str]) -> list[str]:
@@ -614,3 +645,64 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = {"caption_evaluation": "{caption}", "attribute_evaluation": "{golden_attributes} {caption}"}
     out = workflows.judge(tasks, {"caption_evaluation": _caption_judge, "attribute_evaluation": _attribute_judge}, lambda t: bool(t.strip()), lambda t: "size" in t, "stub", {"caption": "1"}, prompts)
     return out.select("sample_id", "status", F.col("caption_attribute_summary.mentioned").alias("mentioned"), F.col("caption_attribute_summary.correct").alias("correct"), F.col("error.code").alias("code"))
+
+
+# --- transport over a scripted service ---
+
+
+class _Script:
+    """A service whose replies a prompt spells: one digit a request, as ``call_outcomes`` says."""
+
+    def __init__(self) -> None:
+        self.asked: dict[str, int] = {}
+
+    def __call__(self, url: str, headers: object, body: dict) -> transport.Reply:
+        if url.endswith("/oauth/token"):
+            return transport.Reply(200, json.dumps({"access_token": "t", "expires_in": 3600}))
+        prompt = body["messages"][0]["content"][0]["text"]
+        at = self.asked.get(prompt, 0)
+        digit = prompt.split("#")[1][at]
+        self.asked[prompt] = at + 1
+        if digit in "03" or at == 2:
+            del self.asked[prompt]
+        status = {"1": 429, "2": 401, "3": 400}.get(digit, 200)
+        content = '{"fine": true}' if digit == "0" else "no object"
+        return transport.Reply(status, json.dumps({"choices": [{"message": {"content": content}}], "usage": {"total_tokens": 7}}), {"Retry-After": "1"})
+
+
+def _scripted_session() -> transport.Session:
+    service = transport.Service("http://service", "stub")
+    return transport.session_of(service, lambda s: transport.Session(s, _Script(), sleep=lambda seconds: None, clock=lambda: 0.0))
+
+
+@query("""
+    SELECT event_id, n AS requests, CASE last WHEN 0 THEN NULL WHEN 4 THEN 'response' ELSE 'api' END AS code, (7 * n)::BIGINT AS tokens,
+           array_to_string(list_transform([a, b, c][1:n], lambda d: ['success', 'http_429', 'http_401', 'http_400', 'invalid_structured_json'][d + 1]), ',') AS outcomes
+    FROM (SELECT *, CASE n WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS last
+          FROM (SELECT *, CASE WHEN a IN (0, 3) THEN 1 WHEN b IN (0, 3) THEN 2 ELSE 3 END AS n FROM (SELECT event_id, event_id % 5 AS a, event_id // 5 % 5 AS b, event_id // 25 % 5 AS c FROM events)))
+""")
+def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call an event, whose replies its number spells: 0 an answer, 1 to 3 a status of 429, 401 or 400, 4 no object."""
+    events = table(spark, sf_dir, "events").select("event_id")
+    digit = lambda k: F.pmod(F.floor(F.col("event_id") / 5**k), F.lit(5)).cast("string")
+    prompt = F.concat(F.col("event_id").cast("string"), F.lit("#"), digit(0), digit(1), digit(2))
+    done = transport.completions(events, prompt, _scripted_session, "stub", {})
+    outcomes = F.transform("requests", lambda r: F.coalesce(r["retry_reason"], r["outcome"]))
+    tokens = F.aggregate("requests", F.lit(0).cast("bigint"), lambda n, r: n + r["total_tokens"])
+    return done.select("event_id", F.size("requests").alias("requests"), F.col("error.code").alias("code"), tokens.alias("tokens"), F.array_join(outcomes, ",").alias("outcomes"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand || '/' || p_type WHEN 1 THEN '../' || p_brand WHEN 2 THEN '/' || p_type WHEN 3 THEN '.' WHEN 4 THEN '//' || p_brand ELSE '../../' || p_type END AS resolved,
+           p_partkey % 6 IN (0, 3) AS below
+    FROM part
+""")
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with segments that lead nowhere, back, or out of their root."""
+    brand, maker, key = F.col("p_brand"), F.col("p_type"), F.col("p_partkey") % 6
+    forms = [
+        F.concat(F.lit("./"), brand, F.lit("//x/.././"), maker, F.lit("/")), F.concat(maker, F.lit("/../../"), brand), F.concat(F.lit("/../"), brand, F.lit("/../"), maker),
+        F.concat(brand, F.lit("/./../")), F.concat(F.lit("//"), brand, F.lit("/.")), F.concat(F.lit(".././"), brand, F.lit("/../../"), maker),
+    ]
+    path = F.coalesce(*[F.when(key == k, form) for k, form in enumerate(forms)])
+    return table(spark, sf_dir, "part").select("p_partkey", tables.resolved_path(path).alias("resolved"), tables.stays_below(path, "/data/root").alias("below"))

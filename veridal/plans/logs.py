@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridal.operators import joins, latest, stats, telemetry
+from veridal.operators import joins, latest, selection, stats, telemetry
 from veridal.plans.registry import query, table
 
 #: An event's verdict stands for a judge's: high values hold, middling ones do not, low ones are undecided.
@@ -188,10 +188,11 @@ def distinct_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
            quantile_disc(o_totalprice, 0.95) AS p95_rank, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1
 """)
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        stats.nearest_rank("o_totalprice", 0.5).alias("p50_rank"), F.round(F.median("o_totalprice"), 6).alias("p50_median"),
-        stats.nearest_rank("o_totalprice", 0.95).alias("p95_rank"), F.round(F.avg("o_totalprice"), 4).alias("mean"),
-    )
+    orders = table(spark, sf_dir, "orders")
+    ranks = {"p50_rank": selection.nearest(0.5), "low": selection.LOW_MIDDLE, "high": selection.HIGH_MIDDLE, "p95_rank": selection.nearest(0.95)}
+    means = orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    out = selection.with_ranks(means, selection.at_ranks(orders, ["o_orderpriority"], "o_totalprice", ranks), ["o_orderpriority"])
+    return out.select("o_orderpriority", "p50_rank", F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50_median"), "p95_rank", "mean")
 
 
 @query("SELECT event_type, count(*) AS rows, (sum(count(*)) OVER ())::BIGINT AS all_rows FROM events GROUP BY event_type")

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridal.functions import jsons
@@ -19,6 +19,34 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.select(jsons.compact_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
+def append_commit(df: DataFrame, path: str, run: str) -> bool:
+    """Append line-JSON as the commit ``run``; whether it was written now.
+
+    A commit's rows count once its folder has Spark's ``_SUCCESS``, which comes
+    after all tasks have committed theirs. A commit that is there is not written
+    again, and what a killed attempt has left is replaced, so a run that is started
+    again appends each row once.
+    """
+    if run in committed_runs(df.sparkSession, path):
+        return False
+    df.select(jsons.compact_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/{run}")
+    return True
+
+
+def committed_runs(spark: SparkSession, path: str) -> list[str]:
+    """The names of the commits below ``path``, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "*/_SUCCESS"))
+    return sorted(s.getPath().getParent().getName() for s in done or [])
+
+
+def read_commits(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all commits below ``path``; of attempts that were not committed, none."""
+    found = [f"{path}/{run}" for run in committed_runs(spark, path)]
+    return spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
+
+
 def write_new(df: DataFrame, path: str) -> None:
     """Write Parquet; fails if there is anything."""
     df.write.mode("errorifexists").parquet(path)

@@ -80,6 +80,33 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: st
     return reader.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def resolved_path(path: F.Column) -> F.Column:
+    """A path without ``.``, empty and ``..`` segments, as far as they can go; a path of nothing is ``.``.
+
+    A fold over the segments keeps a stack: ``..`` takes the last one off unless
+    that is itself ``..``, and goes nowhere from the root. Two slashes at the
+    start, and not three, stay two.
+    """
+    rooted = path.startswith("/")
+    empty = F.array().cast("array<string>")
+
+    def step(stack: F.Column, segment: F.Column) -> F.Column:
+        last = F.try_element_at(stack, F.lit(-1))
+        back = F.when(last.isNull() & rooted, stack).when(last.isNull() | (last == ".."), F.array_append(stack, "..")).otherwise(F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))))
+        return F.when(segment.isin("", "."), stack).when(segment == "..", back).otherwise(F.array_append(stack, segment))
+
+    inner = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+    start = F.when(path.startswith("//") & ~path.startswith("///"), "//").when(rooted, "/").otherwise("")
+    return F.coalesce(F.nullif(F.concat(start, inner), F.lit("")), F.when(path.isNotNull(), "."))
+
+
+def stays_below(path: F.Column, root: str) -> F.Column:
+    """Whether a path, taken from ``root`` if it is relative, leads to ``root`` or below it."""
+    base = root.rstrip("/")
+    whole = resolved_path(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base + "/"), path)))
+    return (whole == (base or "/")) | whole.startswith(base + "/")
+
+
 def safe_relative_path(path: F.Column) -> F.Column:
     """Whether a path stays below its root."""
     return ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..") & ~path.contains("\\") & (path != "")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_a_batch: int = 100) -> DataFrame:
@@ -35,42 +37,64 @@ def session_counts(df: DataFrame, ts: str, keys: Sequence[str], gap: str, late:
     return df.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("events")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-class _Admission(StatefulProcessor):
-    """When each request of a key may start, so that no window holds more than ``cap``.
+#: Requests that wait for the watermark, and the last start times, as two packed arrays of longs.
+_ADMISSION_STATE = "waiting binary, starts binary"
 
-    The state is the last ``cap`` start times; a request waits until the oldest of
-    them is a whole window old.
-    """
 
-    def __init__(self, cap: int, window_micros: int):
-        self.cap, self.window = cap, window_micros
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.starts = handle.getListState("starts", T.StructType([T.StructField("at", T.LongType())]))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        recent = [r[0] for r in self.starts.get()] if self.starts.exists() else []
-        for f in rows:
-            f = f.sort_values(["asked", "request_id"])
-            begun = []
-            for asked in f["asked"]:
-                at = max(int(asked), recent[-1] if recent else 0)
-                if len(recent) >= self.cap:
-                    at = max(at, recent[-self.cap] + self.window)
-                recent = [*recent, at][-self.cap :]
-                begun.append(at)
-            yield pd.DataFrame({"key": [key[0]] * len(f), "request_id": f["request_id"], "asked": f["asked"], "starts": begun})
-        self.starts.put([(r,) for r in recent])
-
-    def close(self) -> None:
-        pass
-
-
-def admission_plan(requests: DataFrame, cap: int, seconds: int = 60) -> DataFrame:
-    """``key``, ``request_id``, ``asked``, ``starts`` (microseconds): requests wait, none is dropped."""
-    return requests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Admission(cap, seconds * 1_000_000),
-        outputStructType="key string, request_id long, asked long, starts long",
-        outputMode="Append",
-        timeMode="None",
+def admitted(requests: np.ndarray, starts: np.ndarray, cap: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start times of sorted ``requests``, and the last ``cap`` of all starts.
+
+    A request starts when it is asked, but not before the one before it, and not
+    before the start ``cap`` places earlier is a whole window old.
+    """
+    begun = [*starts.tolist()]
+    first = len(begun)
+    for asked in requests.tolist():
+        at = max(asked, begun[-1]) if begun else asked
+        if len(begun) >= cap:
+            at = max(at, begun[-cap] + window)
+        begun.append(at)
+    return np.array(begun[first:], np.int64), np.array(begun[-cap:], np.int64)
+
+
+def admission_plan(requests: DataFrame, asked: str, cap: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """``key``, ``request_id``, ``asked``, ``starts`` (both in microseconds) of a stream of requests with ``key`` and ``request_id``.
+
+    A key starts at most ``cap`` requests in any ``seconds``; requests wait, none is
+    turned away. They are admitted in the order of ``asked`` and ``request_id``,
+    whatever chunks and micro-batches they come in: a request is kept until the
+    watermark has passed it (a timer wakes the key), as earlier ones may still
+    come. Requests later than ``late`` are left out, as by any watermark. The state
+    of a key is its requests of the last ``late`` and ``cap`` start times.
+    """
+    if cap < 1:
+        raise ValueError("at least one request must be let through")
+    window = seconds * 1_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, starts = (np.frombuffer(b, np.int64) for b in state.get) if state.exists else (np.zeros(0, np.int64),) * 2
+        waiting = waiting.reshape(-1, 2)
+        if not state.hasTimedOut:
+            waiting = np.concatenate([waiting, *(f[["asked_us", "request_id"]].to_numpy(np.int64) for f in frames)])
+            waiting = waiting[np.lexsort((waiting[:, 1], waiting[:, 0]))]
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = int(np.searchsorted(waiting[:, 0], passed))
+        begun, starts = admitted(waiting[:ready, 0], starts, cap, window)
+        yield pd.DataFrame({"key": [key[0]] * ready, "request_id": waiting[:ready, 1], "asked": waiting[:ready, 0], "starts": begun})
+        state.update((waiting[ready:].tobytes(), starts.tobytes()))
+        if ready < len(waiting):
+            state.setTimeoutTimestamp(int(waiting[ready, 0]) // 1000 + 1)
+
+    rows = requests.select("key", "request_id", F.col(asked).alias("at_"), F.unix_micros(asked).alias("asked_us")).withWatermark("at_", late)
+    return rows.groupBy("key").applyInPandasWithState(
+        step, "key string, request_id long, asked long, starts long", _ADMISSION_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def durable_append(df: DataFrame, path: str, checkpoint: str, form: str = "json") -> StreamingQuery:
+    """Append a stream's rows to files below ``path``, each row once, whatever is killed and started again.
+
+    A batch's files count when its commit is in the folder's log, which
+    ``spark.read`` follows; ``checkpoint`` says where to go on.
+    """
+    return df.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
