@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+import string
 from collections.abc import Mapping
 
 import pandas as pd
@@ -38,25 +40,67 @@ def unescape_named(x: Column) -> Column:
     return x
 
 
+#: The byte that a character stands for where text was read as Windows-1252 or Latin-1: the 27 special
+#: characters of Windows-1252 for bytes from 0x80 on, else the character's own number.
+_BYTE_OF = {bytes([k]).decode("cp1252", "replace"): k for k in range(0x80, 0xA0)} | {chr(k): k for k in range(0x80, 0x100)}
+_BYTE_OF.pop("\ufffd", None)
+_MANGLED = re.compile("[" + re.escape("".join(_BYTE_OF)) + "]{2,}")
+#: UTF-8 of one character beyond ASCII.
+_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+
+
+def _unmangled_run(found: re.Match) -> str:
+    """A run of characters, with those that are the bytes of one character put together."""
+    run = found.group()
+    raw, out, at = bytes(_BYTE_OF[c] for c in run), [], 0
+    for m in _SEQUENCE.finditer(raw):
+        out += [run[at : m.start()], m.group().decode()]
+        at = m.end()
+    return "".join(out) + run[at:]
+
+
+def unmangled(text: str) -> str:
+    """Text without UTF-8 that was read as Windows-1252 or Latin-1, however often.
+
+    Each round puts sequences together that are UTF-8 of one character; both code
+    pages may be mixed in one text and one sequence. Every round that changes
+    something leaves fewer characters, so rounds end.
+    """
+    while (better := _MANGLED.sub(_unmangled_run, text)) != text:
+        text = better
+    return text
+
+
 @F.pandas_udf(T.StringType())
-def unescape_all(x: pd.Series) -> pd.Series:
-    """Unescape every HTML entity, twice; for text whose entities are not known beforehand."""
-    return x.map(lambda t: t if t is None or "&" not in t else html.unescape(html.unescape(t)))
+def repair_mojibake(x: pd.Series) -> pd.Series:
+    """``unmangled`` of each text, in Arrow batches."""
+    return x.map(lambda t: t if t is None or t.isascii() else unmangled(t))
+
+
+_PUNCTUATION = str.maketrans("", "", string.punctuation)
 
 
-def repair_mojibake(x: Column) -> Column:
-    """Undo one UTF-8-read-as-Latin-1 round where the result is valid; else the text stays."""
-    fixed = F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")
-    return F.when(x.rlike("[ÂÃ][\u0080-¿]") & ~x.rlike("[^\u0000-ÿ]"), fixed).otherwise(x)
+def canonical_str(text: str) -> str:
+    """The canonical form of one text, for use inside tasks: every entity is unescaped, twice, after mangled characters are mended."""
+    plain = html.unescape(html.unescape(unmangled(text))).strip().replace("_", " ")
+    return " ".join(plain.translate(_PUNCTUATION).lower().split())
+
+
+@F.pandas_udf(T.StringType())
+def canonical_all(x: pd.Series) -> pd.Series:
+    """``canonical_str`` of each text, in Arrow batches."""
+    return x.map(lambda t: t if t is None else canonical_str(t))
 
 
 def canonical_text(x: Column, every_entity: bool = False) -> Column:
     """Unescape twice, trim, underscores to blanks, drop ASCII punctuation, lower, one blank between words.
 
     ``NAMED_ENTITIES`` are unescaped in the plan; ``every_entity`` takes all of
-    HTML's, in Arrow batches.
+    HTML's and mends mangled characters first, in Arrow batches.
     """
-    x = trim_u(unescape_all(x) if every_entity else unescape_named(unescape_named(x)))
+    if every_entity:
+        return canonical_all(x)
+    x = trim_u(unescape_named(unescape_named(x)))
     x = F.regexp_replace(F.replace(x, F.lit("_"), F.lit(" ")), r"\p{Punct}", "")
     return trim_u(F.regexp_replace(F.lower(x), r"(?U)\s+", " "))
 

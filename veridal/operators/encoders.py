@@ -8,18 +8,23 @@ and is asked for when they are called.
 from __future__ import annotations
 
 import io
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veridal.functions.text import canonical_str
+
 #: Fixed values of the image tower: size, and mean and deviation of a channel.
 HEIGHT, WIDTH, MEAN, DEVIATION = 384, 128, 0.5, 0.5
 #: Fixed values of the text tower: ids a text, its end and its filling.
 CONTEXT, END_ID, PAD_ID = 64, 1, 0
 BATCH = 16
-MOST_JPEG_BYTES, LEAST_QUALITY, LEAST_SIDE = 60_000, 30, 64
+#: Fixed values of images that are sent: bytes, qualities, and the longer side.
+MOST_JPEG_BYTES, FIRST_QUALITY, LEAST_QUALITY, MOST_SIDE, LEAST_SIDE = 60_000, 88, 50, 1280, 224
 
 Session = Callable[[np.ndarray], np.ndarray]
 
@@ -28,21 +33,31 @@ class EncoderError(ValueError):
     """Input or output that an encoder refuses."""
 
 
+#: Channels that an array of pixels may have, and which of them become red, green and blue.
+_CHANNELS = {1: [0, 0, 0], 3: [0, 1, 2], 4: [0, 1, 2]}
+#: How far floating pixels may leave 0..1 by rounding.
+_SLACK = 1e-6
+
+
 def as_rgb(array: np.ndarray) -> np.ndarray:
-    """An array of pixels as height x width x 3 bytes: grey is repeated, an alpha channel is dropped, floats must lie in 0..1."""
-    if array.ndim == 2:
-        array = array[:, :, None]
-    if array.ndim != 3 or array.shape[2] not in (1, 3, 4) or 0 in array.shape:
+    """Pixels as height x width x 3 bytes.
+
+    Taken are grey (also without a channel axis), colour, and colour with alpha,
+    which is dropped, as bytes or as floats. Floats mean 0..1: any that lies
+    outside or is not a number is refused, as it tells another scale.
+    """
+    deep = np.atleast_3d(array) if array.ndim == 2 else array
+    picked = _CHANNELS.get(deep.shape[-1]) if deep.ndim == 3 else None
+    if picked is None or not deep.size:
         raise EncoderError(f"not an image: shape {array.shape}")
-    array = np.repeat(array, 3, axis=2) if array.shape[2] == 1 else array[:, :, :3]
-    if array.dtype == np.uint8:
-        return np.ascontiguousarray(array)
-    if not np.issubdtype(array.dtype, np.floating):
+    rgb = deep[..., picked]
+    if rgb.dtype.kind == "f":
+        if not (rgb.min() >= -_SLACK and rgb.max() <= 1 + _SLACK):
+            raise EncoderError("floating pixels must lie in 0..1")
+        rgb = np.rint(rgb.clip(0, 1) * 255).astype(np.uint8)
+    if rgb.dtype != np.uint8:
         raise EncoderError(f"not an image: {array.dtype}")
-    finite = array[np.isfinite(array)]
-    if finite.size and (finite.min() < -1e-6 or finite.max() > 1 + 1e-6):
-        raise EncoderError("floating pixels must lie in 0..1")
-    return np.rint(np.clip(np.nan_to_num(array), 0, 1) * 255).astype(np.uint8)
+    return np.ascontiguousarray(rgb)
 
 
 def tower_input(rgb: np.ndarray) -> np.ndarray:
@@ -63,32 +78,51 @@ def pixels(data: bytes, box: Sequence[int] | None = None) -> np.ndarray:
     return tower_input(np.asarray(image.resize((WIDTH, HEIGHT), Image.Resampling.BICUBIC)))
 
 
-def fit_image(encode: Callable[[int, int], bytes], quality: int, side: int, most_bytes: int = MOST_JPEG_BYTES) -> bytes:
-    """The first of ``encode(quality, side)`` that is small enough: quality goes down first, then the side."""
-    while True:
-        for q in range(quality, LEAST_QUALITY - 1, -10):
-            data = encode(q, side)
-            if len(data) <= most_bytes:
-                return data
-        if side <= LEAST_SIDE:
+def fit_image(encode: Callable[[int, tuple[int, int]], bytes], size: tuple[int, int], most_bytes: int = MOST_JPEG_BYTES) -> bytes:
+    """The first of ``encode(quality, (width, height))`` that is small enough.
+
+    The longer side starts at ``MOST_SIDE`` at most. Quality goes down to
+    ``LEAST_QUALITY`` first and stays there; then both sides shrink by a fifth as
+    long as the longer one is over ``LEAST_SIDE``.
+    """
+    scale = min(1.0, MOST_SIDE / max(size))
+    width, height = (max(1, round(v * scale)) for v in size)
+    quality = FIRST_QUALITY
+    while len(data := encode(quality, (width, height))) > most_bytes:
+        if quality > LEAST_QUALITY:
+            quality -= 10
+        elif max(width, height) > LEAST_SIDE:
+            width, height = max(1, width * 4 // 5), max(1, height * 4 // 5)
+        else:
             raise EncoderError(f"the image does not fit {most_bytes} bytes")
-        side = max(LEAST_SIDE, side * 4 // 5)
+    return data
 
 
-def token_rows(texts: Sequence[str], tokenizer: object, context: int = CONTEXT, end_id: int = END_ID, pad_id: int = PAD_ID) -> np.ndarray:
-    """Ids of canonical texts, cut and filled to ``context``; each must hold the end id. An empty text is refused."""
+def token_rows(texts: Sequence[str], tokenizer: object, context: int = CONTEXT, end_id: int = END_ID, pad_id: int = PAD_ID, canonical: Callable[[str], str] = canonical_str) -> np.ndarray:
+    """Ids of the canonical texts, as the tokenizer cuts and fills them.
+
+    Refused are: no texts, what is no text, a text of which nothing is left when
+    canonical, ids of another number than ``context``, and ids without ``end_id``,
+    which tells that the tokenizer is another one or has cut the end off.
+    """
     if not texts:
         raise EncoderError("no texts")
-    out = np.full((len(texts), context), pad_id, np.int64)
+    known = {"<pad>": pad_id, "<eos>": end_id}
+    if hasattr(tokenizer, "token_to_id") and {t: tokenizer.token_to_id(t) for t in known} != known:
+        raise EncoderError("the tokenizer has other special ids")
+    out = np.empty((len(texts), context), np.int64)
     for row, text in zip(out, texts, strict=True):
-        if not isinstance(text, str) or not text.strip():
-            raise EncoderError("an empty text cannot be encoded")
-        ids = list(tokenizer.encode(text).ids)
+        if not isinstance(text, str):
+            raise EncoderError(f"not a text: {type(text).__name__}")
+        plain = canonical(text)
+        if not plain:
+            raise EncoderError(f"{text!r} is empty when canonical")
+        ids = list(tokenizer.encode(plain).ids)
+        if len(ids) != context:
+            raise EncoderError(f"the tokenizer gave {len(ids)} ids, not {context}")
         if end_id not in ids:
-            ids = [*ids[: context - 1], end_id]
-        row[: min(len(ids), context)] = ids[:context]
-        if end_id not in row:
-            raise EncoderError("the text's end is cut off")
+            raise EncoderError(f"the ids of {text!r} have no end")
+        row[:] = ids
     return out
 
 
@@ -122,29 +156,47 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / sizes
 
 
+def _taken(values: Iterator[tuple[list, int, object]], most: int) -> Iterator[list[tuple[list, int, object]]]:
+    while some := list(islice(values, most)):
+        yield some
+
+
 def encode(df: DataFrame, column: str, prepare: Callable[[Sequence[object]], np.ndarray], session: Callable[[], Session], batch: int = BATCH, name: str = "vector") -> DataFrame:
     """``df`` with ``name``, the unit vector of ``column``, null for null.
 
-    ``session`` runs once a task; ``batch`` rows go through the model at a time.
+    ``session`` runs once a task, and not for a task without values. ``batch`` rows
+    go through the model at a time, also across the Arrow batches they come in;
+    only a task's last call may have fewer.
     """
+    if batch < 1:
+        raise EncoderError("a batch has one row at least")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` array<float>"
     names = [c for c in df.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[tuple[pa.RecordBatch, list]] = deque()
+
+        def values() -> Iterator[tuple[list, int, object]]:
+            for b in batches:
+                out: list[list[float] | None] = [None] * b.num_rows
+                held.append((b, out))
+                yield from ((out, i, v) for i, v in enumerate(b.column(column).to_pylist()) if v is not None)
+
+        def whole(b: pa.RecordBatch, out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.float32()))], names=[*names, name])
+
         model: Session | None = None
-        for b in batches:
+        for some in _taken(values(), batch):
             model = model or session()
-            values = b.column(column).to_pylist()
-            there = [i for i, v in enumerate(values) if v is not None]
-            out: list[list[float] | None] = [None] * len(values)
-            for at in range(0, len(there), batch):
-                some = there[at : at + batch]
-                vectors = unit_rows(model(prepare([values[i] for i in some])))
-                if len(vectors) != len(some):
-                    raise EncoderError(f"{len(vectors)} vectors for {len(some)} rows")
-                for i, v in zip(some, vectors.tolist(), strict=True):
-                    out[i] = v
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.float32()))], names=[*names, name])
+            vectors = unit_rows(model(prepare([v for *_, v in some])))
+            if len(vectors) != len(some):
+                raise EncoderError(f"{len(vectors)} vectors for {len(some)} rows")
+            for (out, i, _), v in zip(some, vectors.tolist(), strict=True):
+                out[i] = v
+            while held and held[0][1] is not some[-1][0]:  # nothing in these is open any more
+                yield whole(*held.popleft())
+        while held:
+            yield whole(*held.popleft())
 
     return df.mapInArrow(run, schema)
 

@@ -63,6 +63,21 @@ def class_index(compiled: DataFrame, labels: Mapping[str, str] | None = None, pa
     return flat.select((F.col("start") + F.col("class_index")).alias("logit_index"), "attribute", "class_index", "code", label.alias("label"))
 
 
+def place_of(logit_index: Column, starts: Sequence[int], names: Sequence[str], stop: int) -> Column:
+    """``struct(attribute, class_index)`` of a place of the vector, null beyond it.
+
+    ``starts`` are ascending and few, as attributes are: a binary search in them,
+    by halved steps, replaces a join with every place.
+    """
+    offsets, n = F.array(*[F.lit(s) for s in starts]), len(starts)
+    steps = [1 << k for k in range(max(1, n - 1).bit_length() - 1, -1, -1)]
+    at = F.lit(0)
+    for step in steps:
+        at = F.when(F.get(offsets, at + step) <= logit_index, at + step).otherwise(at)
+    found = F.struct(F.get(F.array(*[F.lit(x) for x in names]), at).alias("attribute"), (logit_index - F.get(offsets, at)).alias("class_index"))
+    return F.when((logit_index >= starts[0]) & (logit_index < stop), found)
+
+
 def taxonomy_violations(compiled: DataFrame, attributes: int, logits: int) -> DataFrame:
     """Attributes that do not tile the vector, repeat a class, or stand twice; and wrong totals."""
     expected = F.coalesce(F.sum(F.col("stop") - F.col("start")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

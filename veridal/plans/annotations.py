@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridal.functions import cells, jsons, scores, text
@@ -149,12 +149,43 @@ def wide_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.wide_merge(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey", "o_orderstatus", ["F", "O"], ["o_orderkey", "o_orderpriority"], "place")
 
 
-@query("""
-    SELECT position, name, kind, size, (sum(size) OVER (ORDER BY position) - size)::BIGINT AS start FROM (VALUES
-    """ + ", ".join(f"({i}, '{n}', '{k}', {s})" for i, (n, k, s, _) in enumerate(taxonomy.ATTRIBUTES)) + ") t(position, name, kind, size)")
+def brand_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as attributes, of which every third takes several values; their types are the classes."""
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("classes"))
+    ordered = brands.withColumn("position", F.row_number().over(Window.orderBy("p_brand")) - 1)  # a row a brand
+    kind = F.when(F.col("position") % 3 == 2, "multi").otherwise("single")
+    schema = ordered.select("position", F.col("p_brand").alias("name"), kind.alias("kind"), "classes")
+    return taxonomy.compile_attributes(schema, {"Brand#1": "strong", "Brand#2": "moderate", "Brand#3": "unvalidated"})
+
+
+_BRANDS = """
+    SELECT p_brand AS name, row_number() OVER (ORDER BY p_brand) - 1 AS position, count(DISTINCT p_type) AS size,
+           (sum(count(DISTINCT p_type)) OVER (ORDER BY p_brand) - count(DISTINCT p_type))::BIGINT AS start
+    FROM part GROUP BY p_brand
+"""
+
+
+@query(f"""
+    SELECT name, position::INT AS position, CASE WHEN position % 3 = 2 THEN 'multi' ELSE 'single' END AS kind, start, (start + size)::BIGINT AS stop,
+           CASE name WHEN 'Brand#1' THEN 'strong' WHEN 'Brand#2' THEN 'moderate' WHEN 'Brand#3' THEN 'unvalidated' ELSE 'hidden' END AS tier,
+           name IN ('Brand#1', 'Brand#2', 'Brand#3') AS filterable, name = 'Brand#2' AS gated
+    FROM ({_BRANDS})
+""")
 def taxonomy_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, n, k, s) for i, (n, k, s, _) in enumerate(taxonomy.ATTRIBUTES)], "position int, name string, kind string, size int")
-    return latest.prefix_offsets(rows, "position", "size")
+    return brand_taxonomy(spark, sf_dir).select("name", "position", "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "tier", "filterable", "gated")
+
+
+@query(f"""
+    WITH b AS ({_BRANDS})
+    SELECT l_orderkey, l_linenumber, name AS attribute, (l_suppkey % (SELECT sum(size) + 5 FROM b) - start)::BIGINT AS class_index
+    FROM lineitem LEFT JOIN b ON l_suppkey % (SELECT sum(size) + 5 FROM b) BETWEEN start AND start + size - 1
+""")
+def logit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attribute and class of a place for every line; some places are beyond the vector."""
+    places = brand_taxonomy(spark, sf_dir).select("name", "start", "stop").orderBy("start").collect()  # a row an attribute
+    stop = places[-1]["stop"]
+    found = taxonomy.place_of(F.col("l_suppkey") % (stop + 5), [p["start"] for p in places], [p["name"] for p in places], stop)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", found.alias("f")).select("l_orderkey", "l_linenumber", "f.attribute", F.col("f.class_index").cast("long").alias("class_index"))
 
 
 #: Attributes whose classes tile a vector of 64.
@@ -382,3 +413,31 @@ def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, upper(p_name[1]) || replace(p_name[2:], '_', ' ') AS label FROM part")
 def humanized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.humanize(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("label"))
+
+
+#: The characters of Windows-1252 for the bytes 0x80 to 0x9F; five bytes have none and stay as they are.
+_SPECIAL = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def _mangled(x: Column, special: bool) -> Column:
+    """UTF-8 read as Latin-1 or as Windows-1252."""
+    read = F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+    return F.translate(read, "".join(map(chr, range(0x80, 0xA0))), _SPECIAL) if special else read
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS latin, sha256(coalesce(text, '')) AS windows, sha256(coalesce(text, '')) AS both FROM documents")
+def mended_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, mangled in one round of either code page and in two rounds of both, mended."""
+    x = F.coalesce("text", F.lit(""))
+    forms = {"latin": _mangled(x, False), "windows": _mangled(x, True), "both": _mangled(_mangled(x, True), False)}
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.sha2(text.repair_mojibake(form).cast("binary"), 256).alias(name) for name, form in forms.items()])
+
+
+@query("""
+    SELECT page_id, trim(regexp_replace(lower(regexp_replace(replace(t, '_', ' '), '[!-/:-@\\[-`{-~]', '', 'g')), '\\s+', ' ', 'g')) AS canonical
+    FROM (SELECT page_id, 'A&B <' || page_id || '> – é_X' AS t FROM pages)
+""")
+def every_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical text where entities stand twice over, by name and number."""
+    shown = F.concat(F.lit("A&amp;amp;B &lt;"), F.col("page_id").cast("string"), F.lit("&gt; &#8211; &eacute;_X"))
+    return table(spark, sf_dir, "pages").select("page_id", text.canonical_text(shown, every_entity=True).alias("canonical"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veridal.functions import cells, scores, text
 from veridal.operators import filters, joins, overlay, ranks, stats, taxonomy, transport, validate, workflows
+from veridal.plans.annotations import brand_taxonomy
 from veridal.plans.registry import query, table
 from veridal.sources import tables
 
@@ -151,11 +152,22 @@ def string_list_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", _names(validate.string_list(items)).alias("violations"), tidy.alias("kept"))
 
 
-@query("SELECT 'b' AS name, 'repeated_class' AS violations UNION ALL SELECT 'c', 'tiling' UNION ALL SELECT '*', 'multi_threshold,schema_version' UNION ALL SELECT '*', 'totals'")
+@query("""
+    WITH b AS (SELECT row_number() OVER (ORDER BY p_brand) - 1 AS position, p_brand AS name FROM part GROUP BY p_brand)
+    SELECT '*' AS name, 'kind,multi_threshold,schema_version,size' AS violations UNION ALL SELECT '*', 'totals'
+    UNION ALL SELECT name, CASE position WHEN 3 THEN 'repeated_class' ELSE 'tiling' END FROM b WHERE position = 3 OR position >= 5
+""")
 def taxonomy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("1", "m", 1.5, [("a", "single", 0, 2, ["x", "y"]), ("b", "multi", 2, 4, ["z", "z"]), ("c", "single", 5, 6, ["w"])])]
-    schema = "schema_version string, model_version string, multi_threshold double, attributes array<struct<name:string,kind:string,start:int,stop:int,classes:array<string>>>"
-    found = taxonomy.document_violations(spark.createDataFrame(rows, schema), "2", "m", attributes=3, logits=5)
+    """A document of brands with a wrong kind, a class twice, and an attribute that starts too late, so that those behind it do not tile either."""
+    at = F.col("position")
+    classes = F.when(at == 3, F.concat(F.slice("classes", 2, 1), F.slice("classes", 2, 1 << 20))).otherwise(F.col("classes"))
+    kind = F.when(at == 1, "odd").otherwise(F.col("kind"))
+    one = F.struct("position", "name", kind.alias("kind"), (F.col("start") + (at == 5).cast("int")).alias("start"), "stop", classes.alias("classes"))
+    attributes = F.array_sort(F.collect_list(one))  # a row a brand
+    document = brand_taxonomy(spark, sf_dir).agg(attributes.alias("attributes")).select(
+        F.lit("1").alias("schema_version"), F.lit("m").alias("model_version"), F.lit(1.5).alias("multi_threshold"), F.transform("attributes", lambda a: a.dropFields("position")).alias("attributes")
+    )
+    found = taxonomy.document_violations(document, "2", "m", attributes=3, logits=5)
     return found.select("name", _names(F.col("violations")).alias("violations"))
 
 

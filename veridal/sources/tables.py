@@ -80,6 +80,27 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: st
     return reader.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def listed_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path`` and ``length`` of the files right in a folder, as the driver lists them, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, glob))
+    rows = sorted((s.getPath().toString(), s.getLen()) for s in found or [] if s.isFile())
+    return spark.createDataFrame(rows, "path string, length long")
+
+
+def read_files_or_errors(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path``, ``length``, ``sha256``, ``content``, ``error`` of the files right in a folder, by path.
+
+    The folder is listed first, without opening a file; a file of the list that
+    cannot be read then is a row with an ``error`` and no content.
+    """
+    listed = listed_files(spark, path, glob)
+    reader = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=False, ignoreMissingFiles=True, ignoreCorruptFiles=True)
+    out = listed.join(reader.load(path).select("path", "content"), "path", "left")
+    error = F.when(F.col("content").isNull(), F.concat(F.lit("cannot read "), F.col("path")))
+    return out.select("path", "length", F.sha2("content", 256).alias("sha256"), "content", error.alias("error")).orderBy("path")
+
+
 def resolved_path(path: F.Column) -> F.Column:
     """A path without ``.``, empty and ``..`` segments, as far as they can go; a path of nothing is ``.``.
 
