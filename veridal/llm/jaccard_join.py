@@ -25,7 +25,13 @@ the triangle inequality, of two sets of a list
 * two that are not far link only if they share so many tokens of their
   *differences* from the pivot as their sizes tell, at least one: a second index,
   on a prefix of the differences, finds them. Differences are short, and in a
-  group of near copies what one copy has changed is seldom what another has;
+  group of near copies what one copy has changed is seldom what another has.
+  Sets of a pivot are classed by how much they differ from it, and the prefix is
+  as long as the closest set of the other class asks for, so pages that share a
+  template and no more meet in no list;
+* what many sets near one pivot have in common (another family of near copies) is
+  a long list of that index, and is treated as a list of its own: it gets a pivot,
+  and so on, ``DEPTHS`` levels deep;
 * lists whose pivot leaves far sets get a new pivot among those, in rounds, as
   long as the pairs that are left outnumber the rows; then those pairs, cut by
   the bound of their places in the lists, are compared as they are.
@@ -76,6 +82,8 @@ BINS = 128
 _LIGHT = np.uint64(0xD1B54A32D192ED03)
 _SEEN_AT_MOST = 200_000
 LINKED, AT_NEAR, FAR = 0, 1, 2
+#: Classes of sets by their distance from the pivot; levels of lists within lists; pairs a row from which one is long.
+CLASSES, DEPTHS, LONG = 64, 4, 8
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -402,23 +410,49 @@ def _stars(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("a", "b", "na", "nb", "differ", "state", F.when(F.col("state") != FAR, F.concat("more", "less")).alias("apart"))
 
 
-def _by_differences(stars: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of sets near one pivot, not both linked to it, that their differences leave open.
+def _differences(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(p, token, own, other, a, na, differ, state, at)``: the tokens of each set's difference from its pivot ``p`` by which it may link with a set of class ``other``.
 
     If ``x`` links with ``s``, and ``s`` is not linked to the pivot ``p``, then the
     differences of both from ``p`` share at least ``(differ(x) + differ(s) -
     (n(x) + n(s)) / 9) / 2`` tokens, which is more than ``4/9 differ(x)``, and more
     than ``(differ(s) - (n(s) + n(p)) / 9) / 2``; the first token that they share
-    is then among as many fewer of each one's tokens.
+    is then among as many fewer of each one's tokens. The first bound is taken
+    with the least that any set of the other class adds to it.
     """
     p, q = 100 + PERCENT, 100 - PERCENT
-    busy = stars.filter(f"state = {AT_NEAR}").select("b").distinct()
     least = F.expr(f"CASE WHEN state = {LINKED} THEN floor({PERCENT} * differ / {p}) + 1 ELSE greatest(1, ceil(({p} * differ - {q} * (na + nb) + {2 * PERCENT}) / {2 * p})) END")
-    near = stars.filter(f"state < {FAR}").join(busy, "b", "left_semi").withColumn("least", least)
-    near = near.select("a", F.col("b").alias("p"), "na", "differ", "state", F.posexplode(F.expr("slice(apart, 1, cast(differ - least + 1 as int))")).alias("at", "token"))
-    x, y = (near.select("p", "token", *[F.col(c).alias(f"{c}{k}") for c in ("a", "na", "differ", "state", "at")]) for k in "12")
+    near = stars.filter(f"state < {FAR}").withColumn("least", least).withColumn("cost", F.expr(f"cast(differ * {p} - na * {q} AS long)"))
+    near = near.withColumn("own", F.expr(f"cast(floor({CLASSES} * differ / (na + nb)) AS int)")).withColumnRenamed("b", "p")
+    classes = near.groupBy("p", "own").agg(F.min("cost").alias("least_cost"), F.max("state").alias("most_state"))
+    classes = scratch.keep(classes.withColumnRenamed("own", "other"))
+    rows = near.join(classes, "p").filter(f"state = {AT_NEAR} OR most_state = {AT_NEAR}")
+    places = F.expr(f"cast(least(differ - least, floor(differ - (cost + least_cost) / {2 * p})) + 1 AS int)")
+    rows = rows.withColumn("places", places).filter("places > 0")
+    return rows.select("p", "own", "other", "a", "na", "differ", "state", F.posexplode(F.expr("slice(apart, 1, places)")).alias("at", "token"))
+
+
+_LIST = ["p", "token", "low", "high"]
+
+
+def _long_lists(near: DataFrame) -> DataFrame:
+    """The lists of differences, by pivot, token and both classes, that stand for many more pairs than they have rows."""
+    both = near.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    lower, open_ = F.col("own") == F.col("low"), F.col("state") == AT_NEAR
+    sums = both.groupBy(*_LIST).agg(
+        F.count("*").alias("rows"), *[F.sum((side & kind).cast("long")).alias(name) for name, side, kind in (("nl", lower, open_), ("al", lower, F.lit(True)), ("nh", ~lower, open_), ("ah", ~lower, F.lit(True)))]
+    )
+    pairs = F.when(F.col("low") == F.col("high"), F.col("nl") * F.col("al")).otherwise(F.col("nl") * F.col("ah") + F.col("nh") * F.col("al"))
+    return sums.filter(pairs > LONG * F.col("rows")).select(*_LIST)
+
+
+def _by_differences(near: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets near one pivot, not both linked to it, that their differences leave open."""
+    p, q = 100 + PERCENT, 100 - PERCENT
+    x, y = (near.select("p", "token", *[F.col(c).alias(f"{c}{k}") for c in ("own", "other", "a", "na", "differ", "state", "at")]) for k in "12")
+    y = y.withColumnsRenamed({"own2": "other1", "other2": "own1"})
     room = f"least(differ1 - at1, differ2 - at2) * {2 * p} >= (differ1 + differ2) * {p} - (na1 + na2) * {q}"
-    both = x.filter(f"state1 = {AT_NEAR}").join(y, ["p", "token"]).filter(f"(state2 = {LINKED} OR a2 < a1) AND {room}")
+    both = x.filter(f"state1 = {AT_NEAR}").join(y, ["p", "token", "own1", "other1"]).filter(f"(state2 = {LINKED} OR a2 < a1) AND {room}")
     return both.select(F.greatest("a1", "a2").alias("a"), F.least("a1", "a2").alias("b")).filter("a != b")
 
 
@@ -441,27 +475,59 @@ def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     entries = _entries(docs, sent, boundary).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
     lists = scratch.keep(arrow_map(entries, _scan_lists, "token long, sid long, n int, bound int"), large=True)
     rows = _fit_lists(lists, named, scratch)
+    scratch.free(lists)
     sets = _listed_sets(docs, rows, named, sent, scratch)
     sent.destroy()
 
+    stars, pairs = None, []
+    for depth in range(DEPTHS):
+        star, rest = _star_rounds(rows, sets, scratch)
+        stars = star if stars is None else stars.unionByName(star)
+        pairs.append(scratch.keep(_by_places(rest).distinct()))
+        near = scratch.keep(_differences(star, scratch))
+        long = scratch.keep(_long_lists(near)) if depth + 1 < DEPTHS else None
+        if long is None or long.isEmpty():
+            pairs.append(scratch.keep(_by_differences(near).distinct()))
+            scratch.free(near)
+            break
+        named = near.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        pairs.append(scratch.keep(_by_differences(named.join(long, _LIST, "left_anti")).distinct()))
+        again = named.join(long, _LIST, "left_semi").select(F.xxhash64(*_LIST).alias("token"), F.col("a").alias("sid"), F.col("na").alias("n"), F.col("na").alias("bound")).distinct()
+        rows = scratch.keep(again)
+        lengths = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("length")))
+        rows = scratch.keep(rows.join(lengths, "token"))
+        scratch.free(near)
+    open_pairs = pairs[0]
+    for more in pairs[1:]:
+        open_pairs = open_pairs.unionByName(more)
+    alike = _compared(open_pairs.distinct(), sets).filter(_within("size(more) + size(less)", "na + nb", PERCENT)).select("a", "b")
+    return scratch.keep(stars.filter(f"state = {LINKED}").select("a", "b").unionByName(alike))
+
+
+def _star_rounds(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The stars of lists, with new pivots for their far sets in rounds; and the rows of lists that have far sets after the last.
+
+    ``rows`` (token, sid, n, bound, length) is a kept table, and is freed.
+    """
     # A set that shares many of its keys with many others is central.
     ranks = rows.groupBy("sid").agg((F.sum(F.log2("length")) / F.first("n")).alias("rank"))
-    rows = _with_pivot(scratch.keep(rows.select("token", "sid", "n", "bound").join(ranks, "sid")), scratch)
-    stars = None
+    ranked = scratch.keep(rows.select("token", "sid", "n", "bound").join(ranks, "sid"))
+    scratch.free(rows)
+    rows, stars = _with_pivot(ranked, scratch), None
     for turn in range(ROUNDS):
         star = scratch.keep(_stars(rows, sets))
         stars = star if stars is None else stars.unionByName(star)
         state = star.filter(f"state != {LINKED}").select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "state")
-        rows = scratch.keep(rows.join(state, ["sid", "pivot"]).drop("pivot"))
-        far = scratch.keep(rows.groupBy("token").agg(F.sum(F.expr(f"cast(state = {FAR} as long)")).alias("far"), F.count("*").alias("all")).filter("far > 0"))
-        rows = rows.join(far, "token", "left_semi")
+        told = scratch.keep(rows.join(state, ["sid", "pivot"]).drop("pivot"))
+        scratch.free(ranked)
+        ranked = told
+        far = scratch.keep(ranked.groupBy("token").agg(F.sum(F.expr(f"cast(state = {FAR} as long)")).alias("far"), F.count("*").alias("all")).filter("far > 0"))
+        rows = ranked.join(far, "token", "left_semi")
         size = far.agg(F.sum(F.col("far") * F.col("all")).alias("pairs"), F.sum("all").alias("rows")).first()
         if (size["pairs"] or 0) <= PAIRS_A_ROW * (size["rows"] or 0) or turn == ROUNDS - 1:
             break
         rows = _with_pivot(rows, scratch, f"state = {FAR}")
-    open_pairs = scratch.keep(_by_differences(stars).unionByName(_by_places(rows)).distinct())
-    alike = _compared(open_pairs, sets).filter(_within("size(more) + size(less)", "na + nb", PERCENT)).select("a", "b")
-    return scratch.keep(stars.filter(f"state = {LINKED}").select("a", "b").unionByName(alike))
+    return stars, rows
 
 
 def _row_key(text: str, id_col: str) -> Column:

@@ -57,6 +57,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.tables = spark, new_path(spark, "scratch"), 0
+        self.kept: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -73,10 +74,20 @@ class Scratch:
         if large:
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(out)
+        table = self.spark.read.schema(df.schema).parquet(out)
+        self.kept[id(table)] = (table, out)
+        return table
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete tables that ``keep`` gave and that nothing reads any more."""
+        for table in tables:
+            self._delete(self.kept.pop(id(table))[1])
 
     def __exit__(self, *_: object) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
