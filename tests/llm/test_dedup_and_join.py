@@ -271,7 +271,7 @@ def test_groups_that_are_near_each_other_form_rows_in_proportion(spark, monkeypa
         return plain(near)
 
     monkeypatch.setattr(jaccard_join, "_by_differences", counting)
-    for n in (200, 400):
+    for n in (400, 800):
         rows = kind(n, random.Random(1))
         formed.append(0)
         assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == brute_groups(rows)

@@ -30,8 +30,8 @@ the triangle inequality, of two sets of a list
   as long as the closest set of the other class asks for, so pages that share a
   template and no more meet in no list;
 * what many sets near one pivot have in common (another family of near copies) is
-  a long list of that index, and is treated as a list of its own: it gets a pivot,
-  and so on, ``DEPTHS`` levels deep;
+  a long list of that index; the sets of a pivot's long lists are a list of their
+  own, which gets another pivot, and so on, ``DEPTHS`` levels deep;
 * lists whose pivot leaves far sets get a new pivot among those, in rounds, as
   long as the pairs that are left outnumber the rows; then those pairs, cut by
   the bound of their places in the lists, are compared as they are.
@@ -82,8 +82,9 @@ BINS = 128
 _LIGHT = np.uint64(0xD1B54A32D192ED03)
 _SEEN_AT_MOST = 200_000
 LINKED, AT_NEAR, FAR = 0, 1, 2
+_LINKED_SETS, _NEAR_SETS = -1, -2
 #: Classes of sets by their distance from the pivot; levels of lists within lists; pairs a row from which one is long.
-CLASSES, DEPTHS, LONG = 64, 4, 8
+CLASSES, DEPTHS, LONG = 32, 3, 128
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -418,15 +419,21 @@ def _differences(stars: DataFrame, scratch: Scratch) -> DataFrame:
     (n(x) + n(s)) / 9) / 2`` tokens, which is more than ``4/9 differ(x)``, and more
     than ``(differ(s) - (n(s) + n(p)) / 9) / 2``; the first token that they share
     is then among as many fewer of each one's tokens. The first bound is taken
-    with the least that any set of the other class adds to it.
+    with the least that any set of the other class adds to it. Linked sets are one
+    class, and to them near ones are, so that a set is not repeated for each class.
     """
     p, q = 100 + PERCENT, 100 - PERCENT
     least = F.expr(f"CASE WHEN state = {LINKED} THEN floor({PERCENT} * differ / {p}) + 1 ELSE greatest(1, ceil(({p} * differ - {q} * (na + nb) + {2 * PERCENT}) / {2 * p})) END")
     near = stars.filter(f"state < {FAR}").withColumn("least", least).withColumn("cost", F.expr(f"cast(differ * {p} - na * {q} AS long)"))
-    near = near.withColumn("own", F.expr(f"cast(floor({CLASSES} * differ / (na + nb)) AS int)")).withColumnRenamed("b", "p")
-    classes = near.groupBy("p", "own").agg(F.min("cost").alias("least_cost"), F.max("state").alias("most_state"))
-    classes = scratch.keep(classes.withColumnRenamed("own", "other"))
-    rows = near.join(classes, "p").filter(f"state = {AT_NEAR} OR most_state = {AT_NEAR}")
+    own = F.when(F.col("state") == LINKED, _LINKED_SETS).otherwise(F.expr(f"cast(floor({CLASSES} * differ / (na + nb)) AS int)"))
+    near = near.withColumn("own", own).withColumnRenamed("b", "p")
+    classes = near.groupBy("p", "own").agg(F.min("cost").alias("least_cost"))
+    every = classes.filter(F.col("own") != _LINKED_SETS).groupBy("p").agg(F.min("least_cost").alias("least_cost")).select("p", F.lit(_NEAR_SETS).alias("other"), "least_cost")
+    classes = scratch.keep(classes.withColumnRenamed("own", "other").unionByName(every))
+    # Linked sets meet all near ones in one list, near ones meet each other by class.
+    linked = F.col("own") == _LINKED_SETS
+    rows = near.join(classes, "p").filter(linked == (F.col("other") == _NEAR_SETS))
+    rows = rows.withColumn("own", F.when(F.col("other") == _LINKED_SETS, _NEAR_SETS).otherwise(F.col("own")))
     places = F.expr(f"cast(least(differ - least, floor(differ - (cost + least_cost) / {2 * p})) + 1 AS int)")
     rows = rows.withColumn("places", places).filter("places > 0")
     return rows.select("p", "own", "other", "a", "na", "differ", "state", F.posexplode(F.expr("slice(apart, 1, places)")).alias("at", "token"))
@@ -492,7 +499,7 @@ def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
             break
         named = near.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
         pairs.append(scratch.keep(_by_differences(named.join(long, _LIST, "left_anti")).distinct()))
-        again = named.join(long, _LIST, "left_semi").select(F.xxhash64(*_LIST).alias("token"), F.col("a").alias("sid"), F.col("na").alias("n"), F.col("na").alias("bound")).distinct()
+        again = named.join(long, _LIST, "left_semi").select(F.xxhash64("p").alias("token"), F.col("a").alias("sid"), F.col("na").alias("n"), F.col("na").alias("bound")).distinct()
         rows = scratch.keep(again)
         lengths = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("length")))
         rows = scratch.keep(rows.join(lengths, "token"))
