@@ -29,9 +29,6 @@ the triangle inequality, of two sets of a list
   Sets of a pivot are classed by how much they differ from it, and the prefix is
   as long as the closest set of the other class asks for, so pages that share a
   template and no more meet in no list;
-* what many sets near one pivot have in common (another family of near copies) is
-  a long list of that index; the sets of a pivot's long lists are a list of their
-  own, which gets another pivot, and so on, ``DEPTHS`` levels deep;
 * lists whose pivot leaves far sets get a new pivot among those, in rounds, as
   long as the pairs that are left outnumber the rows; then those pairs, cut by
   the bound of their places in the lists, are compared as they are.
@@ -83,8 +80,8 @@ _LIGHT = np.uint64(0xD1B54A32D192ED03)
 _SEEN_AT_MOST = 200_000
 LINKED, AT_NEAR, FAR = 0, 1, 2
 _LINKED_SETS, _NEAR_SETS = -1, -2
-#: Classes of sets by their distance from the pivot; levels of lists within lists; pairs a row from which one is long.
-CLASSES, DEPTHS, LONG = 32, 3, 128
+#: Classes of sets by their distance from the pivot, for a distance of all tokens.
+CLASSES = 32
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -439,20 +436,6 @@ def _differences(stars: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.select("p", "own", "other", "a", "na", "differ", "state", F.posexplode(F.expr("slice(apart, 1, places)")).alias("at", "token"))
 
 
-_LIST = ["p", "token", "low", "high"]
-
-
-def _long_lists(near: DataFrame) -> DataFrame:
-    """The lists of differences, by pivot, token and both classes, that stand for many more pairs than they have rows."""
-    both = near.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    lower, open_ = F.col("own") == F.col("low"), F.col("state") == AT_NEAR
-    sums = both.groupBy(*_LIST).agg(
-        F.count("*").alias("rows"), *[F.sum((side & kind).cast("long")).alias(name) for name, side, kind in (("nl", lower, open_), ("al", lower, F.lit(True)), ("nh", ~lower, open_), ("ah", ~lower, F.lit(True)))]
-    )
-    pairs = F.when(F.col("low") == F.col("high"), F.col("nl") * F.col("al")).otherwise(F.col("nl") * F.col("ah") + F.col("nh") * F.col("al"))
-    return sums.filter(pairs > LONG * F.col("rows")).select(*_LIST)
-
-
 def _by_differences(near: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets near one pivot, not both linked to it, that their differences leave open."""
     p, q = 100 + PERCENT, 100 - PERCENT
@@ -486,28 +469,9 @@ def _links(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     sets = _listed_sets(docs, rows, named, sent, scratch)
     sent.destroy()
 
-    stars, pairs = None, []
-    for depth in range(DEPTHS):
-        star, rest = _star_rounds(rows, sets, scratch)
-        stars = star if stars is None else stars.unionByName(star)
-        pairs.append(scratch.keep(_by_places(rest).distinct()))
-        near = scratch.keep(_differences(star, scratch))
-        long = scratch.keep(_long_lists(near)) if depth + 1 < DEPTHS else None
-        if long is None or long.isEmpty():
-            pairs.append(scratch.keep(_by_differences(near).distinct()))
-            scratch.free(near)
-            break
-        named = near.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-        pairs.append(scratch.keep(_by_differences(named.join(long, _LIST, "left_anti")).distinct()))
-        again = named.join(long, _LIST, "left_semi").select(F.xxhash64("p").alias("token"), F.col("a").alias("sid"), F.col("na").alias("n"), F.col("na").alias("bound")).distinct()
-        rows = scratch.keep(again)
-        lengths = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("length")))
-        rows = scratch.keep(rows.join(lengths, "token"))
-        scratch.free(near)
-    open_pairs = pairs[0]
-    for more in pairs[1:]:
-        open_pairs = open_pairs.unionByName(more)
-    alike = _compared(open_pairs.distinct(), sets).filter(_within("size(more) + size(less)", "na + nb", PERCENT)).select("a", "b")
+    stars, rest = _star_rounds(rows, sets, scratch)
+    open_pairs = scratch.keep(_by_differences(_differences(stars, scratch)).unionByName(_by_places(rest)).distinct())
+    alike = _compared(open_pairs, sets).filter(_within("size(more) + size(less)", "na + nb", PERCENT)).select("a", "b")
     return scratch.keep(stars.filter(f"state = {LINKED}").select("a", "b").unionByName(alike))
 
 
