@@ -142,7 +142,7 @@ def test_must_match_joins_fail_when_they_run(spark):
 def test_ties_follow_positions(spark):
     d = spark.createDataFrame([("f", "m1", 0, 30, 10), ("f", "m2", 1, 30, 10), ("f", "m3", 2, 3, 1), ("g", "m1", 0, 0, 0)], "field string, method string, position int, correct long, incorrect long")
     out = {r.field: (r.best, r.best_support, r.conclusion) for r in stats.decision(d, "field", "method", "position").collect()}
-    assert out == {"f": ("m1, m2, m3", 40, "about equal"), "g": ("", None, "no data")}
+    assert out == {"f": ("m1, m2, m3", 40, "Ba luồng gần tương đương."), "g": ("", None, "Chưa có dữ liệu để kết luận.")}
 
 
 def test_taxonomy_tiles_and_labels(spark):

@@ -5,6 +5,8 @@ Null, the empty list and ``["unknown"]`` are three different answers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,20 @@ def cell_violations(cell: Column, domain: list[str], multi: bool = True) -> Colu
 def same_answer(a: Column, b: Column) -> Column:
     """Equal as sets, null only equal to null."""
     return F.array_sort(a).eqNullSafe(F.array_sort(b))
+
+
+def tool_results(attributes: Column) -> Column:
+    """A map of label arrays as the results of an annotation tool: null has none, the empty list one without choices."""
+    given = F.filter(F.map_entries(attributes), lambda e: e["value"].isNotNull())
+    one = F.transform(given, lambda e: F.struct(e["key"].alias("from_name"), F.lit("image").alias("to_name"), F.lit("choices").alias("type"), F.struct(e["value"].alias("choices")).alias("value")))
+    return F.to_json(one)
+
+
+def tool_attributes(results: Column, fields: Sequence[str]) -> Column:
+    """The map that ``tool_results`` was made from, with all of ``fields``; the last result of a field counts, unknown ones do not."""
+    given = F.from_json(results, "array<struct<from_name: string, value: struct<choices: array<string>>>>")
+
+    def labels(name: str) -> Column:
+        return F.try_element_at(F.filter(given, lambda r: r["from_name"] == name), F.lit(-1))["value"]["choices"]
+
+    return F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("key"), labels(f).alias("value")) for f in fields]))

@@ -56,3 +56,16 @@ def response_content(payload: Column) -> Column:
 def compact_json(value: Column) -> Column:
     """Compact text of a struct or map; null fields stay."""
     return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def is_truthy(text: Column, path: str) -> Column:
+    """Whether the value at ``path`` is there and is not null, false, zero, or empty."""
+    kind, value = kind_at(text, path), F.get_json_object(text, path)
+    return (
+        F.when(kind.isNull() | (kind == "VOID"), False)
+        .when(kind == "BOOLEAN", value == "true")
+        .when(kind == "STRING", value != "")
+        .when(kind.startswith("ARRAY"), F.json_array_length(value) > 0)
+        .when(kind.startswith("OBJECT"), F.size(F.json_object_keys(value)) > 0)
+        .otherwise(value.cast("double") != 0)
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import string
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -154,14 +154,31 @@ def shown_verdict(x: Column, present: Column | None = None) -> Column:
     return tri_state(x) if present is None else F.when(present, tri_state(x)).otherwise("")
 
 
-def mention_text(mentioned: Column, correct: Column) -> Column:
+#: What a check says without a mention, with a right one, a wrong one, and one that was not judged.
+MENTION_TEXTS = ("Không nhắc (không tính lỗi)", "Có nhắc và khớp nhãn", "Có nhắc nhưng không khớp nhãn", "Dữ liệu cũ không hợp lệ; cần chấm lại")
+
+
+def mention_text(mentioned: Column, correct: Column, texts: Sequence[str] = MENTION_TEXTS) -> Column:
     """What a check of one attribute says."""
-    return (
-        F.when(~F.coalesce(mentioned, F.lit(False)), "not mentioned")
-        .when(correct, "mentioned, matches")
-        .when(~correct, "mentioned, does not match")
-        .otherwise("invalid, judge again")
-    )
+    absent, right, wrong, bad = texts
+    return F.when(~F.coalesce(mentioned, F.lit(False)), absent).when(correct, right).when(~correct, wrong).otherwise(bad)
+
+
+def json_string(x: Column) -> Column:
+    """A text as JSON, letters beyond ASCII as they are; null as ``null``. Control characters have upper-case digits."""
+    wrapped = F.to_json(F.struct(x.alias("v")))
+    return F.coalesce(F.when(x.isNotNull(), F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)), F.lit("null"))
+
+
+def json_list(x: Column) -> Column:
+    """Texts as a JSON list with a blank after each comma; null as ``null``."""
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(x, json_string), ", "), F.lit("]")), F.lit("null"))
+
+
+def sorted_json(entries: Column) -> Column:
+    """A map of JSON texts as a JSON object, its keys in the order of their code points, with blanks after commas and colons."""
+    pairs = F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat(json_string(e["key"]), F.lit(": "), F.coalesce(e["value"], F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
 def error_code(message: Column) -> Column:

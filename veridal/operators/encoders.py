@@ -11,6 +11,7 @@ import io
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,29 @@ def choose_device(available: Sequence[str], wanted: str = "auto") -> list[str]:
     return ["CUDAExecutionProvider", "CPUExecutionProvider"] if gpu and wanted != "cpu" else ["CPUExecutionProvider"]
 
 
+def onnx_session(path: str, device: str = "auto", threads: int | None = None, inputs: Mapping | None = None, outputs: Mapping | None = None) -> Session:
+    """A model file of one input, opened on a device, as a function; its names, types and sizes are checked if given."""
+    import onnxruntime
+
+    if not Path(path).is_file():
+        raise EncoderError(f"no model at {path}")
+    if threads is not None and threads < 1:
+        raise EncoderError("a session has one thread at least")
+    options = onnxruntime.SessionOptions()
+    if threads is not None:
+        options.intra_op_num_threads = threads
+    providers = choose_device(onnxruntime.get_available_providers(), device)
+    try:
+        model = onnxruntime.InferenceSession(path, sess_options=options, providers=providers)
+    except Exception as e:  # the library has many kinds
+        raise EncoderError(f"cannot load {Path(path).name}: {type(e).__name__}: {e}") from e
+    for wanted, found in ((inputs, model.get_inputs()), (outputs, model.get_outputs())):
+        if wanted is not None:
+            check_contract({f.name: (f.type, f.shape) for f in found}, wanted)
+    name = model.get_inputs()[0].name
+    return lambda array: model.run(None, {name: array})[0]
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one; a row that has none, or is not finite, is refused."""
     vectors = np.asarray(vectors, np.float32)

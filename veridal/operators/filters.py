@@ -84,9 +84,11 @@ def feedback_of(issues: Column, reasons: Column) -> Column:
 
 
 def review_form(answers: Column) -> Column:
-    """The corrections that a filled review form gives: blank answers are none, ``null`` is an explicit null."""
+    """The corrections that a filled review form gives: blank answers are none, ``null`` is an explicit null, any other word is an error."""
     filled = F.map_filter(answers, lambda _, v: blank_to_null(v).isNotNull())
-    return F.transform_values(filled, lambda _, v: F.when(F.trim(v) == "true", True).when(F.trim(v) == "false", False))
+    refused = lambda k, v: F.raise_error(F.concat(F.lit("not a verdict for "), k, F.lit(": "), v)).cast("boolean")
+    verdict = lambda v: F.when(v == "true", True).when(v == "false", False)
+    return F.transform_values(filled, lambda k, v: F.when(F.trim(v).isin("true", "false", "null"), verdict(F.trim(v))).otherwise(refused(k, v)))
 
 
 def review_priority(detail: DataFrame, groups: Mapping[str, str], field: str = "field") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridal.functions import jsons
+
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: str | Column, where: Column | None = None) -> DataFrame:
     """The last row of each key by ``order``.
@@ -53,3 +55,29 @@ def prefix_offsets(df: DataFrame, position: str, size: str, name: str = "start")
     """Running sum of the sizes before each row; for dimension tables."""
     window = Window.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.sum(size).over(window) - F.col(size))
+
+
+def _text_at(value: Column, name: str) -> Column:
+    """What stands under ``name``, as text: ``null`` for a null, ``undefined`` for nothing."""
+    path = f"$.{name}"
+    return F.coalesce(F.get_json_object(value, path), F.when(jsons.kind_at(value, path) == "VOID", "null"), F.lit("undefined"))
+
+
+def latest_reviews(lines: DataFrame, version: str = "3", methods: Sequence[str] | None = None) -> DataFrame:
+    """``method``, ``sample_id``, ``value`` of the last line of each method and sample.
+
+    ``lines`` from ``tables.read_json_lines``; one that is no object is an error,
+    one of another ``evaluation_schema_version`` is passed over. With ``methods``,
+    so are ids that are not text and methods that are not among them; without,
+    every method counts, and ids are made text, so 7 and "7" are one sample.
+    """
+    broken = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))
+    rows = lines.withColumn("value", F.when(F.col("ok"), F.col("value")).otherwise(broken))
+    value = F.col("value")
+    wanted = (jsons.kind_at(value, "$.evaluation_schema_version") == "STRING") & (F.get_json_object(value, "$.evaluation_schema_version") == version)
+    if methods is not None:
+        for name in ("method", "sample_id"):
+            wanted &= jsons.kind_at(value, f"$.{name}") == "STRING"
+        wanted &= F.get_json_object(value, "$.method").isin(*methods)
+    found = rows.filter(wanted).select("position", _text_at(value, "method").alias("method"), _text_at(value, "sample_id").alias("sample_id"), "value")
+    return keep_latest(found, ["method", "sample_id"], "position").drop("position")

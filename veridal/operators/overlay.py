@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridal.functions.text import key_of, mention_text, tri_state
+from veridal.functions.text import key_of, mention_text, shown_verdict, tri_state
 
 
 def explode_overrides(pairs: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def caption_sheet(rows: DataFrame) -> DataFrame:
     """A line per review, failures too; ``rows`` from ``with_overrides``."""
     s = F.col("caption_attribute_summary")
     return rows.select(
-        "sample_id", "filepath", "status", tri_state(F.col("caption_evaluation.is_correct")).alias("caption_correct"), F.col("caption_evaluation.needs_human_review").alias("needs_review"),
+        "sample_id", "filepath", "status", shown_verdict(F.col("caption_evaluation.is_correct"), F.col("caption_evaluation").isNotNull()).alias("caption_correct"), F.col("caption_evaluation.needs_human_review").alias("needs_review"),
         F.col("prediction.caption").alias("caption"), F.col("prediction.caption_vi").alias("caption_vi"), F.col("caption_evaluation.note").alias("note"),
         *[s[c].alias(c) for c in ("mentioned", "correct", "incorrect", "not_mentioned", "evaluated")],
         "latency_ms", F.col("error.message").alias("error"), human_caption(F.col("override_caption_correct")).alias("human_caption"),
@@ -64,7 +64,7 @@ def attribute_sheet(rows: DataFrame) -> DataFrame:
     """A line per field of each successful review."""
     flat = rows.filter("status = 'success'").select("*", F.explode("caption_attribute_evaluation").alias("field", "check"))
     return flat.select(
-        "sample_id", "filepath", F.col("prediction.caption").alias("caption"), tri_state(F.col("caption_evaluation.is_correct")).alias("caption_correct"), "field",
+        "sample_id", "filepath", F.col("prediction.caption").alias("caption"), shown_verdict(F.col("caption_evaluation.is_correct"), F.col("caption_evaluation").isNotNull()).alias("caption_correct"), "field",
         F.col("check.mentioned").alias("mentioned"), F.try_element_at("golden_attributes", "field").alias("golden"), tri_state(F.col("check.is_correct")).alias("correct"),
         mention_text(F.col("check.mentioned"), F.col("check.is_correct")).alias("reading"), F.col("check.note").alias("note"),
         human_attribute(F.col("override_attributes"), F.col("field")).alias("human_verdict"),

@@ -7,7 +7,7 @@ Long form has one row per method, sample and field with ``mentioned`` and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,11 +102,23 @@ def best_and_runner_up(rates: DataFrame, name: str, value: str, position: str) -
     return rates.withColumn("place", place).filter("place <= 2").select("place", name, value)
 
 
-def decision(detail: DataFrame, field: str, method: str, position: str) -> DataFrame:
+#: Conclusions, from the first condition that holds to the last; ``{best}`` stands for the best methods in capitals.
+DECISION_TEXTS = {
+    "none": "Chưa có dữ liệu để kết luận.",
+    "few": "Ít case được mô tả; chỉ tham khảo.",
+    "few_of_best": "{best} cao nhất nhưng ít case; chỉ tham khảo.",
+    "weak": "Cả ba còn yếu; chưa tự động gán nhãn.",
+    "equal": "Ba luồng gần tương đương.",
+    "best": "{best} tốt nhất ở thuộc tính này.",
+}
+
+
+def decision(detail: DataFrame, field: str, method: str, position: str, texts: Mapping[str, str] = DECISION_TEXTS) -> DataFrame:
     """What to conclude for each field from methods' ``correct`` and ``incorrect``.
 
     All best methods are named in order; their support is the most among them.
     """
+    said = {k: F.replace(F.lit(t), F.lit("{best}"), F.upper("best")) for k, t in texts.items()}
     support = F.col("correct") + F.col("incorrect")
     d = detail.withColumn("support", support).withColumn("rate", rate(F.col("correct"), F.col("incorrect")))
     top = F.max("rate").over(Window.partitionBy(field))
@@ -117,12 +129,12 @@ def decision(detail: DataFrame, field: str, method: str, position: str) -> DataF
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_top"), F.struct(position, method)))), lambda x: x[method]), ", ").alias("best"),
     )
     label = (
-        F.when(F.col("best_rate").isNull(), "no data")
-        .when(F.col("most_support") < 10, "too few mentions")
-        .when(F.col("best_support") < 30, F.concat("best", F.lit(" leads on few mentions")))
-        .when(F.col("best_rate") < 0.60, "all weak")
-        .when(F.col("gap") < 0.05, "about equal")
-        .otherwise(F.concat("best", F.lit(" is best")))
+        F.when(F.col("best_rate").isNull(), said["none"])
+        .when(F.col("most_support") < 10, said["few"])
+        .when(F.col("best_support") < 30, said["few_of_best"])
+        .when(F.col("best_rate") < 0.60, said["weak"])
+        .when(F.col("gap") < 0.05, said["equal"])
+        .otherwise(said["best"])
     )
     return out.select(field, "best", "best_rate", "best_support", label.alias("conclusion"))
 

@@ -71,3 +71,14 @@ def retry_rate(requests: Column, retries: Column) -> Column:
 def limiter_audit(counted: DataFrame, cap: int, name: str = "in_window") -> DataFrame:
     """Rows at which more requests than ``cap`` stand in the rolling window."""
     return counted.filter(F.col(name) > cap)
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """Inputs, successes, errors, calls and attempts of a run, and the latency of its successes, null without one."""
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    latency = F.when(ok, F.col("latency_ms"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return rows.agg(
+        F.count("*").alias("num_inputs"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("error_count"), total("model_calls"), total("http_attempts"),
+        F.when(F.count(latency) > 0, F.struct(F.avg(latency).alias("mean"), F.min(latency).alias("min"), F.max(latency).alias("max"))).alias("latency_ms_success"),
+    )

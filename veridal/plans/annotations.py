@@ -115,8 +115,9 @@ _SHIPPING = """
 
 @query(_SHIPPING + """
     SELECT field::INT AS field, best, round(best_rate, 6) AS best_rate, best_support,
-           CASE WHEN best_rate IS NULL THEN 'no data' WHEN most < 10 THEN 'too few mentions' WHEN best_support < 30 THEN best || ' leads on few mentions'
-                WHEN best_rate < 0.60 THEN 'all weak' WHEN gap < 0.05 THEN 'about equal' ELSE best || ' is best' END AS conclusion
+           CASE WHEN best_rate IS NULL THEN 'Chưa có dữ liệu để kết luận.' WHEN most < 10 THEN 'Ít case được mô tả; chỉ tham khảo.'
+                WHEN best_support < 30 THEN upper(best) || ' cao nhất nhưng ít case; chỉ tham khảo.' WHEN best_rate < 0.60 THEN 'Cả ba còn yếu; chưa tự động gán nhãn.'
+                WHEN gap < 0.05 THEN 'Ba luồng gần tương đương.' ELSE upper(best) || ' tốt nhất ở thuộc tính này.' END AS conclusion
     FROM (SELECT field, max(top) AS best_rate, max(rate) - min(rate) AS gap, max(support) AS most, max(support) FILTER (rate = top) AS best_support,
                  string_agg(method, ', ' ORDER BY method) FILTER (rate = top) AS best FROM r GROUP BY field)
 """)
@@ -288,7 +289,7 @@ def overlay_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, field, CASE WHEN v IS NULL THEN 'not mentioned' WHEN v = 1 THEN 'mentioned, matches' ELSE 'mentioned, does not match' END AS reading,
+    SELECT doc_id, field, CASE WHEN v IS NULL THEN 'Không nhắc (không tính lỗi)' WHEN v = 1 THEN 'Có nhắc và khớp nhãn' ELSE 'Có nhắc nhưng không khớp nhãn' END AS reading,
            CASE WHEN v = 1 THEN 'true' WHEN v = 0 THEN 'false' ELSE 'null' END AS verdict
     FROM (SELECT doc_id, 'quality' AS field, quality AS v FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'toxic', toxic FROM documents LEFT JOIN labels USING (doc_id))
 """)

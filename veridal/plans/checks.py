@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridal.functions import cells, scores, text
-from veridal.operators import filters, joins, overlay, ranks, stats, taxonomy, transport, validate, workflows
+from veridal.functions import cells, jsons, scores, text
+from veridal.operators import filters, joins, latest, overlay, ranks, stats, taxonomy, telemetry, transport, validate, workflows
 from veridal.plans.annotations import brand_taxonomy
 from veridal.plans.registry import query, table
 from veridal.sources import tables
@@ -205,6 +205,80 @@ def cell_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("violations", F.array_join(cells.cell_violations(F.col("cell"), ["a", "b"]), ","))
 
 
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 2 END AS types, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand,
+           (p_partkey % 3 <> 0)::INT + (p_partkey % 2 = 0)::INT AS results FROM part
+""")
+def tool_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, the empty list and labels, through the results of an annotation tool and back; -1 stands for null."""
+    k = F.col("p_partkey")
+    types = F.when(k % 3 == 1, F.array().cast("array<string>")).when(k % 3 == 2, F.array("p_type", F.concat(F.lit('"'), "p_type")))
+    out = cells.tool_results(F.create_map(F.lit("types"), types, F.lit("brand"), F.when(k % 2 == 0, F.array("p_brand"))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", out.alias("sent")).withColumn("back", cells.tool_attributes(F.col("sent"), ["brand", "types"]))
+    return rows.select("p_partkey", F.coalesce(F.size(F.col("back")["types"]), F.lit(-1)).alias("types"), F.get(F.col("back")["brand"], F.lit(0)).alias("brand"), F.json_array_length("sent").alias("results"))
+
+
+@query("""
+    SELECT event_type, count(*) FILTER (event_id % 9 IN (1, 3, 5, 7)) AS flagged FROM events GROUP BY event_type
+""")
+def truthy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts as a flag that is set: true, 0.5, a text, a list with something in it."""
+    kinds = F.array(*map(F.lit, ("false", "true", "0", "0.5", '""', '"no"', "[]", "[0]", "null")))
+    flag = F.concat(F.lit('{"flag": '), F.get(kinds, (F.col("event_id") % 9).cast("int")), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select("event_type", flag.alias("row"))
+    return rows.groupBy("event_type").agg(F.count_if(jsons.is_truthy(F.col("row"), "$.flag")).alias("flagged"))
+
+
+_LOG = """FROM (SELECT *, CASE user_id % 3 WHEN 0 THEN 'g1' WHEN 1 THEN 'g2' ELSE 'x' END AS method FROM events) WHERE event_id % 4 <> 0"""
+
+
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of reviews: every fourth of another version, every fifth with a number for an id, methods of which one is unknown."""
+    user, event = F.col("user_id"), F.col("event_id")
+    method = F.when(user % 3 == 0, "g1").when(user % 3 == 1, "g2").otherwise("x")
+    sample = F.when(event % 5 == 0, user.cast("string")).otherwise(F.concat(F.lit('"'), user.cast("string"), F.lit('"')))
+    version = F.when(event % 4 == 0, "3").otherwise('"3"')
+    line = F.concat(F.lit('{"evaluation_schema_version": '), version, F.lit(', "method": "'), method, F.lit('", "sample_id": '), sample, F.lit(', "at": '), event.cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "events").select(event.alias("position"), line.alias("value")).withColumn("ok", jsons.is_object(F.col("value")))
+
+
+@query(f"""
+    SELECT method, user_id::VARCHAR AS sample_id, max(event_id) AS at, 'any' AS reader {_LOG} GROUP BY ALL
+    UNION ALL SELECT method, user_id::VARCHAR, max(event_id), 'strict' {_LOG} AND event_id % 5 <> 0 AND method <> 'x' GROUP BY ALL
+""")
+def log_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as both readers take it: any method and ids of any type, or known methods and ids that are text."""
+    lines = _log_lines(spark, sf_dir)
+    at = F.get_json_object("value", "$.at").cast("long").alias("at")
+    read = lambda name, methods: latest.latest_reviews(lines, methods=methods).select("method", "sample_id", at, F.lit(name).alias("reader"))
+    return read("any", None).unionByName(read("strict", ["g1", "g2"]))
+
+
+@query("""
+    SELECT doc_id, '{"lang": "' || lang || '", "quality": ' || CASE quality WHEN 1 THEN '["tốt", "a\\"b"]' WHEN 0 THEN '[]' ELSE 'null' END || ', "Ärger": null, "źródło": "' || coalesce(source, '') || '"}' AS golden
+    FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NOT NULL
+""")
+def golden_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as they stand in a prompt: keys by code point, blanks after commas, letters as they are."""
+    rows = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    labels = F.when(F.col("quality") == 1, F.array(F.lit("tốt"), F.lit('a"b'))).when(F.col("quality") == 0, F.array().cast("array<string>"))
+    none = F.lit(None).cast("string")
+    entries = F.create_map(F.lit("źródło"), text.json_string(F.coalesce("source", F.lit(""))), F.lit("quality"), text.json_list(labels), F.lit("Ärger"), text.json_string(none), F.lit("lang"), text.json_string(F.col("lang")))
+    return rows.select("doc_id", text.sorted_json(entries).alias("golden"))
+
+
+@query("""
+    SELECT count(*) AS num_inputs, count(quality) AS success_count, count(*) - count(quality) AS error_count, sum((n_chars > 300)::INT)::BIGINT AS model_calls, sum(n_chars % 3)::BIGINT AS http_attempts,
+           round(avg(n_chars) FILTER (quality IS NOT NULL), 6) AS mean_ms, max(n_chars) FILTER (quality IS NOT NULL)::DOUBLE AS most_ms
+    FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    run = rows.select(F.when(F.col("quality").isNotNull(), "success").otherwise("error").alias("status"), (F.col("n_chars") > 300).cast("int").alias("model_calls"), (F.col("n_chars") % 3).alias("http_attempts"), F.col("n_chars").cast("double").alias("latency_ms"))
+    found, ms = telemetry.run_summary(run), F.col("latency_ms_success")
+    return found.select("num_inputs", "success_count", "error_count", "model_calls", "http_attempts", F.round(ms["mean"], 6).alias("mean_ms"), ms["max"].alias("most_ms"))
+
+
 # --- review rows ---
 
 
@@ -240,7 +314,7 @@ def caption_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     SELECT doc_id::VARCHAR AS sample_id, field, v = 1 AS mentioned, CASE WHEN field = 'quality' THEN 'good' END AS golden,
            CASE WHEN v <> 1 THEN 'null' WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS correct,
-           CASE WHEN v <> 1 THEN 'not mentioned' WHEN doc_id % 2 = 0 THEN 'mentioned, matches' ELSE 'mentioned, does not match' END AS reading,
+           CASE WHEN v <> 1 THEN 'Không nhắc (không tính lỗi)' WHEN doc_id % 2 = 0 THEN 'Có nhắc và khớp nhãn' ELSE 'Có nhắc nhưng không khớp nhãn' END AS reading,
            CASE WHEN field = 'quality' OR doc_id % 2 = 1 THEN '' WHEN doc_id % 4 = 0 THEN 'true' ELSE 'null' END AS human_verdict
     FROM (SELECT doc_id, 'quality' AS field, quality AS v {_REVIEWS} UNION ALL SELECT doc_id, 'toxic', toxic {_REVIEWS}) WHERE doc_id % 5 <> 0
 """)

@@ -6,10 +6,12 @@ import os
 import tempfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridal.functions import jsons
+from veridal.operators.telemetry import run_summary
 
 BOM = "﻿"
 
@@ -105,3 +107,46 @@ def markdown_table(df: DataFrame, most_rows: int = 1000) -> str:
         raise ValueError(f"more than {most_rows} rows for one table")
     lines = [df.columns, ["---"] * len(df.columns), *rows]
     return "\n".join("| " + " | ".join(str(x).replace("|", "\\|") for x in line) + " |" for line in lines)
+
+
+def write_run(rows: DataFrame, folder: str, overwrite: bool = False) -> dict:
+    """Write a run's ``predictions`` as line-JSON and then its ``summary``, which is also given back.
+
+    A folder with predictions is left alone and an error, unless ``overwrite``. An
+    old summary goes first and the new one, counted from the written rows, comes
+    last, so a run that was stopped has none.
+    """
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path(f"{folder}/predictions")) and not overwrite:
+        raise FileExistsError(f"{folder} has a run already")
+    fs.delete(path(f"{folder}/summary"), True)
+    rows.select(jsons.compact_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{folder}/predictions")
+    summary = run_summary(spark.read.schema(rows.schema).json(f"{folder}/predictions")).first()
+    spark.createDataFrame([summary], run_summary(rows).schema).coalesce(1).write.option("ignoreNullFields", False).json(f"{folder}/summary")
+    return summary.asDict(recursive=True)
+
+
+def write_npy(df: DataFrame, column: str, path: str, order: str, most_rows: int = 1_000_000) -> int:
+    """Vectors of one length as a local ``.npy`` file of float32, a line a row by ``order``; the number of rows.
+
+    Partitions pass one by one; more rows than the bound, nulls, and vectors of
+    another length are errors. Large tables of vectors belong in Parquet.
+    """
+    rows = df.select(column, order).orderBy(order).select(column)
+    n, least, most, nulls = rows.agg(F.count("*"), F.min(F.size(column)), F.max(F.size(column)), F.count_if(F.col(column).isNull())).first()
+    if n > most_rows or nulls or (n and least != most):
+        raise ValueError(f"{n} rows, {nulls} without a vector, of {least} to {most} numbers, for one file")
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    draft = target.with_name(f".{target.name}.{os.getpid()}.draft")
+    try:
+        with draft.open("wb") as f:
+            np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (n, most or 0)})
+            for row in rows.toLocalIterator():
+                f.write(np.asarray(row[0], "<f4").tobytes())
+        draft.replace(target)
+    finally:
+        draft.unlink(missing_ok=True)
+    return n
