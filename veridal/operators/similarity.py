@@ -31,7 +31,10 @@ def top_matches(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
     items a query before the shuffle.
     """
     n = queries.count()
-    blocks = 1 if n <= most_queries else -(-4 * n // (3 * most_queries))
+    blocks, fullest = 1, n
+    while fullest > most_queries and blocks < 4 * n:  # more blocks until each fits; what cannot be parted fails when it runs
+        blocks = max(2 * blocks, -(-4 * n // (3 * most_queries)))
+        fullest = queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("b")).count().agg(F.max("count")).first()[0]
     block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     found = [_of_block(queries.filter(block == b), items, k, query_id, item_id, vector, most_queries) for b in range(blocks)]
     return reduce(DataFrame.unionByName, found)

@@ -176,16 +176,20 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.repeated_keys(table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
-@query("SELECT p_partkey FROM part")
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
 def unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fails if a key stands twice."""
-    return joins.unique_by(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"])
+    """Fails if a key stands twice, as it does before the latest rows are taken."""
+    rows = latest.keep_latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+    return joins.unique_by(rows, ["o_custkey"])
 
 
-@query("SELECT DISTINCT 'v1' AS version FROM part")
+@query("SELECT DISTINCT r_name AS version FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = (SELECT max(n_regionkey) FROM nation)")
 def only_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fails if there are two."""
-    return joins.single_value(table(spark, sf_dir, "part").select(F.lit("v1").alias("version")), "version")
+    """The one region of the nations with the greatest key; fails if there are two."""
+    nations = table(spark, sf_dir, "nation")
+    last = nations.join(F.broadcast(nations.agg(F.max("n_regionkey").alias("n_regionkey"))), "n_regionkey")
+    named = joins.required_join(last.withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, sf_dir, "region"), ["r_regionkey"])
+    return joins.single_value(named.select(F.col("r_name").alias("version")), "version")
 
 
 @query("SELECT n_nationkey, n_name, 'left' AS side FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, upper(n_name) || '!', 'right' FROM nation WHERE n_regionkey = 2")
@@ -282,8 +286,8 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- review rows ---
 
 
-def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as a judge's rows; those with an id divisible by 5 failed."""
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents as a judge's rows, those with an id divisible by 5 failed, and corrections of every second one."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
     failed = F.col("doc_id") % 5 == 0
     check = lambda c: F.struct((F.col(c) == 1).alias("mentioned"), F.when(F.col(c) == 1, F.col("doc_id") % 2 == 0).alias("is_correct"), F.lit("").alias("note"))
@@ -295,7 +299,11 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("quality"), F.lit("good")).alias("golden_attributes"), F.col("n_chars").cast("double").alias("latency_ms"), F.when(failed, F.struct(F.lit("timeout").alias("message"))).alias("error"),
     )
     fixes = rows.filter("doc_id % 2 = 0").select(text.key_of(F.col("lang"), F.col("doc_id")).alias("key"), F.lit(True).alias("caption_given"), (F.col("quality") == 0).alias("caption_correct"), F.create_map(F.lit("toxic"), F.when(F.col("doc_id") % 4 == 0, True)).alias("attributes"))
-    return overlay.with_overrides(done, fixes)
+    return done, fixes
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.with_overrides(*_judged(spark, sf_dir))
 
 
 _REVIEWS = "FROM labels JOIN documents USING (doc_id)"
@@ -339,7 +347,7 @@ def unreviewed_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id::VARCHAR AS sample_id, lang AS method, doc_id % 2 = 0 AS corrected {_REVIEWS} WHERE doc_id = (SELECT min(doc_id) FROM labels)")
 def one_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = table(spark, sf_dir, "labels").agg(F.min("doc_id")).first()[0]
-    return _reviews(spark, sf_dir).filter(F.col("sample_id") == str(least)).select("sample_id", "method", F.col("override_key").isNotNull().alias("corrected"))
+    return overlay.review_of_sample(*_judged(spark, sf_dir), str(least)).select("sample_id", "method", F.col("override_key").isNotNull().alias("corrected"))
 
 
 # --- filters, unions, counts ---
@@ -522,10 +530,13 @@ def response_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", jsons.is_object(half).alias("is_object"), jsons.token_usage(body)["prompt_tokens"].alias("prompt_tokens"), jsons.response_content(body).alias("content"))
 
 
-@query("SELECT s_suppkey, s_suppkey * 7 + 30 < 1000 - 60 AS valid, s_suppkey / 64.0 AS rounded FROM supplier")
+@query("""
+    SELECT s_suppkey, s_suppkey * 7 + 30 < 1000 - 60 AS valid, printf('%.2f', s_suppkey / 8)::DOUBLE AS rounded, printf('%.2f', s_suppkey / 200)::DOUBLE AS nearest FROM supplier
+""")
 def token_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier")
-    return rows.select("s_suppkey", scores.token_is_valid(F.col("s_suppkey") * 7 + 30, F.lit(1000)).alias("valid"), scores.half_even(F.col("s_suppkey") / 64.0, 8).alias("rounded"))
+    """Eighths are exact and tie; numbers such as 2.675 look like ties and are none."""
+    rows, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    return rows.select("s_suppkey", scores.token_is_valid(key * 7 + 30, F.lit(1000)).alias("valid"), scores.half_even(key / 8, 2).alias("rounded"), scores.half_even(key / 200, 2).alias("nearest"))
 
 
 @query("""
