@@ -302,6 +302,23 @@ def test_one_row_repeated_many_times_is_spread(spark):
         assert exact_dedup.drop_copies(df).count() == 3
 
 
+def test_groups_of_the_shuffle_are_bounded_in_rows(spark, monkeypatch):
+    """Counters grow with the table, so that no digest outside the broadcast has more rows than the bound."""
+    rows = [(i, f"text {i % 50}" if i < 2000 else f"own {i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = exact_dedup.digests(docs, "text", "doc_id")
+    monkeypatch.setattr(exact_dedup, "SLOTS", 4)
+    assert exact_dedup.slots_for(table) == 4 and exact_dedup.slots_for(table, 30) == 200
+    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 150)
+    assert exact_dedup.slots_for(table, 30) == 150
+    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 1 << 17)
+    assert exact_dedup.winners(table).count() == 0
+    assert {r.group_size for r in exact_dedup.winners(table, exact_dedup.slots_for(table, 30)).collect()} == {40}
+    monkeypatch.setattr(exact_dedup.slots_for, "__defaults__", (30,))
+    got = exact_dedup.exact_groups(docs).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {i: 1950 + i % 50 if i < 2000 else i for i, _ in rows}
+
+
 def test_exact_dedup_keeps_columns_and_one_row_each(clashing, nothing):
     out = exact_dedup.drop_copies(clashing, slots=2)
     assert out.columns == clashing.columns

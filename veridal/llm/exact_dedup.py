@@ -6,7 +6,9 @@ most ``slots`` digests can hold more than a ``slots``-th part of all rows. Those
 are counted exactly (verified), and their winners are broadcast, so that the rows
 of a large group are decided where they are read, also if all have one id. All
 other digests go through an ordinary shuffle, where no group can hold more than
-about a ``slots``-th part of the rows.
+about a ``slots``-th part of the rows. ``slots`` grows with the rows, so that such a
+group stays at about ``MOST_SHUFFLED`` rows whatever the table holds, up to
+``MOST_SLOTS`` winners (some 10 MB to broadcast), which is reached at 10^11 rows.
 
 Defined results: null text counts as empty; rows with equal text and equal (or
 null) ids are copies like any others, and exactly one row of a group stays; a
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from veridal.llm.store import arrow_map, ascii_lower, cut
 
 SLOTS = 1024
+#: Bound of what is broadcast, and the rows of one digest that a single task of the shuffle takes.
+MOST_SLOTS = 1 << 17
+MOST_SHUFFLED = 1 << 20
 
 
 def digest_of(text: Column) -> Column:
@@ -38,6 +43,11 @@ def digests(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), digest_of(F.col(text)).alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
+def slots_for(table: DataFrame, most_shuffled: int = MOST_SHUFFLED) -> int:
+    """Counters enough that every digest on more than ``most_shuffled`` rows is a heavy one."""
+    return max(SLOTS, min(MOST_SLOTS, -(-table.count() // most_shuffled)))
+
+
 def misra_gries(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
     """Misra-Gries counters of a partition, and its row count at a null digest.
 
@@ -58,12 +68,14 @@ def misra_gries(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.Re
     )
 
 
-def winners(table: DataFrame, slots: int = SLOTS) -> DataFrame:
+def winners(table: DataFrame, slots: int | None = None) -> DataFrame:
     """``(heavy, win, win_row, group_size)`` of every digest on more than a ``slots``-th of the rows.
 
     At most ``slots`` rows come out, whatever the input: counters never exceed
-    the true counts, and the true counts add up to the number of rows.
+    the true counts, and the true counts add up to the number of rows. Without
+    ``slots``, ``slots_for`` sets them.
     """
+    slots = slots or slots_for(table)
     found = arrow_map(table.select("digest"), lambda b: misra_gries(b, slots), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     found = cut(found)
     rows = F.broadcast(found.filter(F.col("digest").isNull()).select(F.col("n").alias("rows")))
@@ -77,7 +89,7 @@ def winners(table: DataFrame, slots: int = SLOTS) -> DataFrame:
     return best.select(F.col("digest").alias("heavy"), F.col("best.id").alias("win"), F.col("best.row").alias("win_row"), "group_size")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", slots: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     table = cut(digests(docs, text, id_col))
     seen = table.join(F.broadcast(winners(table, slots)), F.col("digest") == F.col("heavy"), "left")
@@ -91,7 +103,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sl
     return heavy.unionByName(rest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", slots: int | None = None) -> DataFrame:
     """``docs`` without the copies: of equal texts the row with the largest id stays.
 
     Copies of a heavy text go where they are read, but for rows with the winner's
