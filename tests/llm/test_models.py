@@ -223,6 +223,27 @@ def test_scores_equal_marginals_by_recursion(spark, documents, labels):
     assert line_crf.score_texts([t.encode() for t in texts], crf) == pytest.approx(want, abs=1e-9)
 
 
+def test_lines_in_the_fit_are_bounded(spark, monkeypatch):
+    """Texts of very many lines reach the driver only as far as the bound goes; scores still cover all."""
+    rows = [(i, "\n" * 19_000 if i % 2 else f"a good line of words {i}\nand another one") for i in range(1, 41)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit = line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda x, lines, good: (seen.append(lines.copy()), fit(x, lines, good))[1])
+    monkeypatch.setattr(line_crf, "ROUNDS", 3)
+    line_crf.train(docs, marks, most_lines=60_000)
+    line_crf.train(docs, marks)
+    bounded, whole = seen
+    assert 0 < bounded.sum() <= 60_000 and set(bounded) <= {2, 19_001}
+    assert len(whole) == sum(line_crf_learns(i) for i, _ in rows)
+    assert line_crf.classify(docs, marks).count() == len(rows)
+
+
+def line_crf_learns(i: int) -> bool:
+    return zlib.crc32(str(i).encode()) % line_crf.FOLDS != line_crf.HELD_OUT
+
+
 def test_text_ids_and_repeated_ids_are_learnt_from_alike(spark, documents, labels):
     as_text = documents.withColumn("doc_id", documents.doc_id.cast("string"))
     a, b = (line_crf.train(d, labels) for d in (documents, as_text))

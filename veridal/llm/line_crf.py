@@ -8,15 +8,17 @@ and backward recursions, weighted by the lines' words (and one, so that blank
 lines count a little).
 
 The model is fitted on at most ``most_documents`` labelled rows of at most
-``most_bytes`` each, chosen by a hash of their ids; everything else covers all
-rows and whole texts.
+``most_bytes`` each, in the order of a hash of their ids and as far as they have
+``most_lines`` lines together, so that the features in the driver are bounded too
+(176 bytes a line); everything else covers all rows and whole texts.
 
 Defined results: null counts as empty; an empty text is one blank line and gets
 that line's marginal; without labels of both kinds every score is the labels'
 smoothed share of good ones; labels that contradict each other for an id are not
 used; rows with equal ids are scored one by one, and of these the text of the least
 hash is learnt from; ids of any type are compared as text; texts of any length are
-scored whole; an empty table gives an empty table; further columns pass.
+scored whole; a score equal to the threshold is good; an empty table gives an empty table;
+further columns pass.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridal.llm.shingles import mix, word_hashes
@@ -35,8 +37,10 @@ from veridal.llm.store import arrow_map, in_slices
 THRESHOLD = 0.7
 MOST_DOCUMENTS = 4000
 MOST_BYTES = 20_000
+MOST_LINES = 500_000
 FOLDS, HELD_OUT = 4, 2
 ROUNDS, RATE, RIDGE = 200, 0.2, 3e-5
+FIT_TASKS = 16
 
 _SYMBOL, _UPPER, _DIGIT, _MARK, _GAP = range(5)
 _KIND = np.full(256, -1, np.int8)
@@ -186,13 +190,17 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", most_documents: int = MOST_DOCUMENTS, most_bytes: int = MOST_BYTES) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", most_documents: int = MOST_DOCUMENTS, most_bytes: int = MOST_BYTES, most_lines: int = MOST_LINES) -> Crf:
     """Fit on a bounded sample of labelled rows; only their features reach the driver."""
     one = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     ids = one.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents).select(F.col("doc_id").alias("labelled"), F.col("high").alias("quality"))
     some = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id").cast("string") == F.col("labelled").cast("string")).filter(f"coalesce(octet_length(text), 0) <= {most_bytes}")
     # Of rows with one id the text of the least hash, wherever they lie.
     some = some.groupBy(F.col("labelled").cast("string").alias("key")).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"), F.first("quality").alias("quality")).select("key", "one.text", "quality")
+    # At most ``most_documents`` rows of ``most_bytes`` meet in this window's task.
+    so_far = Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    breaks = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0))
+    some = some.withColumn("sum_lines", F.sum(breaks + 1).over(so_far)).filter(F.col("sum_lines") <= most_lines).drop("sum_lines").repartition(FIT_TASKS, "key")
     rows = arrow_map(some, _featured, "key string, quality int, lines long, x binary").orderBy("key").toArrow()
     lines = rows.column("lines").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f8").reshape(-1, FEATURES)
