@@ -70,6 +70,22 @@ def test_files_round_trip(spark, corners, documents, nothing, library, tmp_path,
         assert got == brute_files([(r.doc_id, r.text) for r in df.collect()], library)
 
 
+def test_one_id_of_many_rows_is_spread_over_files(spark, clashing, library, tmp_path):
+    rows = [(7 if i % 3 else i, f"text number {i} of many") for i in range(600)]
+    out = f"file://{tmp_path}/hot"
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), out, block_ids=200)
+    files = spark.read.parquet(out).select("part", "n_ids").collect()
+    assert max(Counter({p: sum(r.n_ids for r in files if r.part == p) for p in {r.part for r in files}}).values()) < sum(r.n_ids for r in files) / 3
+    got = sorted(token_files.read_token_files(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert Counter(r.ids_crc32 for r in got) == Counter(zlib.crc32(np.array(ids_of(library, t), "<u4").tobytes()) for _, t in rows)
+    out = f"file://{tmp_path}/clashing"
+    token_files.write_token_files(clashing, out)
+    got = sorted((tuple(r) for r in token_files.read_token_files(spark, out).collect()), key=lambda r: r[1])
+    assert got == brute_files([(r.doc_id, r.text) for r in clashing.collect()], library)
+
+
 def check_packing(rows, want, capacity):
     sequences, docs = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -9,9 +9,16 @@ documents (id, or none, and number of ids) and a coded block of
 A block ends with the first document that brings it to ``block_ids`` ids, so
 documents are whole.
 
+There are as many files as ``spark.sql.shuffle.partitions``. Rows of one id are
+spread over files by a hash of their texts, so that an id of very many rows
+does not end up in one task.
+
 Defined results: null text is an empty document (its end id alone); documents
-with equal ids stay separate and adjacent; null ids come first; an empty table
-gives files without blocks and no rows.
+with equal ids stay separate and adjacent, in the order of their texts' hashes;
+null ids come first; ids are cast to long, and one that cannot be cast fails or is
+null as the session's ANSI mode says; texts of any length are whole in one block;
+further columns, whatever their names, are not read; an empty table gives files
+without blocks and no rows.
 """
 
 from __future__ import annotations
@@ -86,9 +93,9 @@ def write_token_files(docs: DataFrame, out: str, text: str = "text", id_col: str
             yield row()
 
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("first_start", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = some.repartitionByRange(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id").sortWithinPartitions("id")
-    blocks = arrow_map(ordered, run, "part long, block long, first_start long, n_ids long, payload binary")
+    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = some.repartitionByRange(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id", "tie").sortWithinPartitions("id", "tie")
+    blocks = arrow_map(ordered.select("id", "text"), run, "part long, block long, first_start long, n_ids long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(out)
 
 
