@@ -32,20 +32,24 @@ _MOST_LANES, _LEAST_STEPS = 8192, 128
 _HASH_BITS = 20
 EVERY = 8
 _STEP_0, _LIMIT_0, _LIMIT_FLAG = 24, 1 << 22, 1 << 14
+#: Order-0 counts of 1 for every id must fit into their limit.
+_MOST_IDS = _LIMIT_0
 
 
 class _Model:
     """What encoder and decoder both know after every step."""
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int8)
+        if vocabulary > _MOST_IDS:
+            raise ValueError(f"ids must be below {_MOST_IDS}")
+        # Predicted id and, in the lowest three bits, the confidence.
+        self.table1, self.table2 = np.zeros(vocabulary, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
         self.count0 = np.ones(vocabulary, np.int64)
         self.flags = [np.ones((n, 3), np.int64) for n in (16, 16, 9)]
         self.weight = np.array([21, 21, 22], np.int64)
         self.score = np.full(3, 1 << 10, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.history = np.full(lanes, 8, np.int64)
+        self.history, self.flag = np.full(lanes, 8, np.int64), np.full(lanes, 2, np.int64)
         # Every joint context, as the context of each of the three distributions: (sure2, sure1, agree, history).
         joint = np.arange(8 * 8 * 2 * 9)
         history, agree, s1, s2 = joint % 9, joint // 9 % 2, joint // 18 % 8, joint // 144
@@ -64,28 +68,31 @@ class _Model:
         self.flag_freq, self.flag_total = mixed.ravel().astype(np.uint64), ends[:, 2].astype(np.uint64)
         self.flag_first, self.flag_second = ends[:, 0].copy(), ends[:, 1].copy()
         self.flag_start = (ends - mixed).ravel().astype(np.uint64)
-        self.end0 = np.cumsum(self.count0)
+        self.end0 = np.cumsum(self.count0, dtype=np.int32)
+        self.total0 = np.uint64(self.end0[-1])
 
     def predict(self, n: int) -> None:
         """Predictions for the first ``n`` lanes."""
         self.c1 = self.last[:n]
         self.c2 = (self.before[:n] * 40503 ^ self.last[:n] * 2654435761 >> 7) & ((1 << _HASH_BITS) - 1)
-        self.p1, self.p2 = self.next1.take(self.c1), self.next2.take(self.c2)
-        self.s1, self.s2 = self.sure1.take(self.c1), self.sure2.take(self.c2)
-        self.joint = ((self.s2.astype(np.int64) * 8 + self.s1) * 2 + (self.p1 == self.p2)) * 9 + self.history[:n]
+        self.t1, self.t2 = self.table1.take(self.c1), self.table2.take(self.c2)
+        self.p1, self.p2 = self.t1 >> 3, self.t2 >> 3
+        self.joint = (((self.t2 & 7) << 3 | self.t1 & 7) * 2 + (self.p1 == self.p2)) * 9 + self.history[:n]
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, 2))
 
-    def learn(self, ids: np.ndarray, flag: np.ndarray, literals: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, flag: np.ndarray, k: np.ndarray, literals: np.ndarray) -> None:
+        """``k``: the joint context and ``flag`` in one number."""
         n = len(ids)
-        self.seen += np.bincount(self.joint * 3 + flag, minlength=3456)
+        self.seen += np.bincount(k, minlength=3456)
         self.literals.append(literals)
-        for nxt, sure, c, p, s in ((self.next1, self.sure1, self.c1, self.p1, self.s1), (self.next2, self.sure2, self.c2, self.p2, self.s2)):
-            right = p == ids
-            nxt[c] = np.where(right | (s > 0), p, ids)
-            sure[c] = np.where(right, np.minimum(s + 1, 7), s >> 1)
-        self.history[:n] = self.history[:n] % 3 * 3 + flag
+        new = (ids << 3).astype(np.int32)
+        for table, c, old, p in ((self.table1, self.c1, self.t1, self.p1), (self.table2, self.c2, self.t2, self.p2)):
+            s = old & 7
+            wrong = np.where(s > 0, old - s + (s >> 1), new)
+            table[c] = np.where(p == ids, old + (s < 7), wrong)
+        self.history[:n], self.flag[:n] = self.flag[:n] * 3 + flag, flag
         self.before[:n], self.last[:n] = self.last[:n], ids
         self.step += 1
         if self.step < EVERY or self.step % EVERY == 0:
@@ -126,6 +133,11 @@ def _grid(ids: np.ndarray, lanes: int, steps: int) -> np.ndarray:
     return np.ascontiguousarray(padded.reshape(lanes, steps).T)
 
 
+def _full(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Places of the lanes that must give up a word."""
+    return np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
+
+
 class _Writer:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -136,12 +148,15 @@ class _Writer:
     def put(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, total: np.ndarray | np.uint64) -> None:
         r = self.range[at] // total
         low, rng = self.low[at] + r * start, r * freq
-        while len(go := np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))):
+        go = _full(low, rng)
+        while len(go):
             l, g = low[go], rng[go]
             g = np.where((l ^ (l + g)) < _TOP, g, (~l + np.uint64(1)) & (_BOT - np.uint64(1)))
             self.lanes.append(go if isinstance(at, slice) else at[go])
             self.words.append((l >> np.uint64(48)).astype(np.uint16))
-            low[go], rng[go] = l << _U16, g << _U16
+            l, g = l << _U16, g << _U16
+            low[go], rng[go] = l, g
+            go = go[_full(l, g)]
         self.low[at], self.range[at] = low, rng
 
     def stream(self) -> np.ndarray:
@@ -173,12 +188,15 @@ class _Reader:
 
     def took(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
         low, rng, code = self.low[at] + self.r * start, self.r * freq, self.code[at]
-        while len(go := np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))):
+        go = _full(low, rng)
+        while len(go):
             l, g = low[go], rng[go]
             g = np.where((l ^ (l + g)) < _TOP, g, (~l + np.uint64(1)) & (_BOT - np.uint64(1)))
             new = self.words[self.next : self.next + len(go)].astype(np.uint64)
             self.next += len(go)
-            low[go], rng[go], code[go] = l << _U16, g << _U16, code[go] << _U16 | new
+            l, g = l << _U16, g << _U16
+            low[go], rng[go], code[go] = l, g, code[go] << _U16 | new
+            go = go[_full(l, g)]
         self.low[at], self.range[at], self.code[at] = low, rng, code
 
 
@@ -196,8 +214,8 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         miss = np.flatnonzero(flag == 2)
         literal = now[miss]
         freq = model.count0.take(literal)
-        out.put(miss, (model.end0.take(literal) - freq).astype(np.uint64), freq.astype(np.uint64), np.uint64(model.end0[-1]))
-        model.learn(now, flag, literal)
+        out.put(miss, (model.end0.take(literal) - freq).astype(np.uint64), freq.astype(np.uint64), model.total0)
+        model.learn(now, flag, k, literal)
     words = out.stream().astype("<u2").tobytes()
     plain = np.ascontiguousarray(ids, "<u4").tobytes()
     return _HEAD.pack(MAGIC, len(ids), lanes, steps, vocabulary, zlib.crc32(plain), zlib.crc32(words)) + words
@@ -219,13 +237,13 @@ def decode_block(block: bytes) -> np.ndarray:
         k = model.joint * 3 + flag
         source.took(slice(n), model.flag_start.take(k), model.flag_freq.take(k))
         miss = np.flatnonzero(flag == 2)
-        literal = np.searchsorted(model.end0, source.value(miss, np.uint64(model.end0[-1])), side="right")
+        literal = np.searchsorted(model.end0, source.value(miss, model.total0).astype(np.int32), side="right")
         freq = model.count0.take(literal)
         source.took(miss, (model.end0.take(literal) - freq).astype(np.uint64), freq.astype(np.uint64))
         now = np.where(flag == 0, model.p2, model.p1)
         now[miss] = literal
         grid[t, :n] = now
-        model.learn(now, flag, literal)
+        model.learn(now, flag, k, literal)
     ids = np.ascontiguousarray(grid.T).ravel()[:count].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc_ids:
         raise ValueError("damaged block")
