@@ -277,3 +277,23 @@ def test_rows_with_equal_ids_are_sampled_by_their_own_cells(spark):
     want = Counter((r.doc_id, r.source, r.lang, r.tokens) for r in mixing.mixture(docs).filter("sampled").collect())
     assert {r.doc_id for r in mixing.mixture(docs).filter("NOT sampled").collect()} & {d for d, *_ in want}
     assert Counter((r.doc_id, r.source, r.lang, len(words(r.text))) for r in mixing.sample_mixture(docs).collect()) == want
+
+
+def test_rounds_of_raking_are_not_shuffles(spark):
+    """Tasks of a mixture, and so what the driver keeps of them, do not grow with partitions times rounds."""
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame([(i, "x " * (i % 7 + 1), "en" if i % 3 else "fr", "abc"[i % 3]) for i in range(90)], "doc_id long, text string, lang string, source string")
+    tracker = spark.sparkContext.statusTracker()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("raking", "raking")
+    try:
+        assert mixing.mixture(docs, rounds=8).count() == 90
+        stages = {s for j in tracker.getJobIdsForGroup("raking") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)) is not None and info.numCompletedTasks)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks < 8 * 50, tasks

@@ -9,7 +9,7 @@ shrinks, one rare cell can leave next to nothing of the others. ``least_rate``
 bounds that: if fewer of all tokens would be expected to stay, the cells of the
 largest factors stay whole, and one scale for all others makes it that share.
 Everything is DataFrame functions; only cells, not documents, are shuffled for
-raking. Probabilities are rounded to ``PLACES`` places, but never to 0, so that
+raking, once, to the one task that rakes them. Probabilities are rounded to ``PLACES`` places, but never to 0, so that
 every cell keeps its chance.
 
 Targets default to tempered shares: a category with share ``s`` of all tokens
@@ -110,10 +110,11 @@ def mixture(docs: DataFrame, text: str = "text", id_col: str = "doc_id", margins
     )
     table = cut(table)
     names = ["source", "lang", "topic"]
-    cells = cut(table.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
+    # One row per cell, in one partition, so that the steps of all rounds need no shuffles; coalesce() tells Spark that it is one.
+    cells = cut(table.groupBy(*names).agg(F.sum("tokens").alias("tokens")).repartition(1)).coalesce(1)
     for name, margin in zip(names, margins, strict=True):
         shares = target_shares(cells, name, TEMPER[name], (targets or {}).get(margin)).withColumnRenamed(name, "category")
-        cells = cells.join(shares, cells[name].eqNullSafe(shares["category"])).drop("category")
+        cells = cells.join(F.broadcast(shares), cells[name].eqNullSafe(shares["category"])).drop("category")
     cells = cut(rake(cells, names, rounds).select(*names, "tokens", (F.col("weight") / F.col("tokens")).alias("factor")))
     probability = F.least(F.greatest(F.round(F.col("factor") / F.col("scale"), PLACES), F.lit(10.0**-PLACES)), F.lit(1.0))
     cells = cells.join(F.broadcast(scale_of(cells, least_rate))).select(*(F.col(n).alias(f"cell_{n}") for n in names), probability.alias("probability"))
