@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +203,45 @@ def test_many_queries_meet_all_items_in_blocks(spark):
     assert {tuple(r) for r in similarity.top_matches(many, items, 2, most_queries=25).collect()} == want and len(want) == 120
 
 
+def test_best_matches_of_ties_and_odd_vectors(spark):
+    rng = random.Random(5)
+    plain = [[float(rng.randint(-2, 2)) / 3 for _ in range(5)] for _ in range(120)]
+    odd = [None, [], [1.0] * 4, [1.0, None, 1.0, 1.0, 1.0], [1e200] * 5, [float("inf"), 1.0, 1.0, 1.0, 1.0], [0.1] * 6]
+    rows = list(enumerate(plain + plain[:40] + odd + plain[:3]))
+    rng.shuffle(rows)
+
+    def dot(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            return None
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return total
+
+    def best(queries, k):
+        found = set()
+        for q, v in queries:
+            scored = sorted(((s is None, s == s, 0.0 if s is None or s != s else -s, i, s) for i, w in rows for s in [dot(v, w)]), key=lambda t: t[:4])  # NaN is the largest
+            found |= {(q, i, s, n + 1) for n, (*_, i, s) in enumerate(scored[:k])}
+        return {(q, i, str(s), n) for q, i, s, n in found}
+
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>").repartition(3)
+    for queries in (rows[:60], [r for r in rows if r[1] in odd], rows[:0]):
+        frame = spark.createDataFrame(queries, "query_id long, vector array<double>")
+        for k in (1, 4, 400):
+            got = similarity.top_matches(frame, items, k, most_queries=25).collect()
+            assert len(got) == len(queries) * min(k, len(rows)) and {(r.query_id, r.item_id, str(r.score), r.place) for r in got} == best(queries, k)
+
+
+def test_matches_take_no_row_a_pair(spark):
+    """90 million pairs, too many for a row each in this time."""
+    items = spark.range(30_000).select(F.col("id").alias("item_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * F.col("id")).cast("float")).alias("vector"))
+    queries = items.filter("item_id % 10 = 0").withColumnRenamed("item_id", "query_id")
+    begun = time.perf_counter()
+    assert similarity.top_matches(queries, items, 5).count() == 15_000
+    assert time.perf_counter() - begun < 45
+
+
 def test_files_are_replaced_whole(spark, tmp_path):
     target = tmp_path / "out.csv"
     sinks.write_small_csv(spark.createDataFrame([("2", None), ("10", "é")], "id string, v string").orderBy("id"), str(target))
