@@ -183,3 +183,13 @@ def test_best_fit_by_counts_equals_one_by_one():
             else:
                 rooms.append(50 - size)
         assert sum(n for _, n in packing.best_fit(dict(Counter(items)), 50)) == len(rooms)
+
+
+def test_library_ids_come_back_in_the_order_of_pieces(library):  # noqa: F811
+    enc = TextEncoder(default_path(), slot_bits=4)
+    pieces = [" one", "\n\n", "two", " \t ", "x" * 90, "  ", " Straße", "é" * 40, " one"]
+    ids, sizes = enc._library_ids(pieces)
+    want = [library.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    none, nothing = enc._library_ids([])
+    assert len(none) == 0 and len(nothing) == 0

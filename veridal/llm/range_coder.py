@@ -237,7 +237,10 @@ def decode_block(block: bytes) -> np.ndarray:
         k = model.joint * 3 + flag
         source.took(slice(n), model.flag_start.take(k), model.flag_freq.take(k))
         miss = np.flatnonzero(flag == 2)
-        literal = np.searchsorted(model.end0, source.value(miss, model.total0).astype(np.int32), side="right")
+        # Searched for in order, which is faster; the lowest 13 bits tell whose value it is.
+        sought = np.sort(source.value(miss, model.total0) << 13 | np.arange(len(miss)))
+        literal = np.empty(len(miss), np.int64)
+        literal[sought & (_MOST_LANES - 1)] = np.searchsorted(model.end0, (sought >> 13).astype(np.int32), side="right")
         freq = model.count0.take(literal)
         source.took(miss, (model.end0.take(literal) - freq).astype(np.uint64), freq.astype(np.uint64))
         now = np.where(flag == 0, model.p2, model.p1)

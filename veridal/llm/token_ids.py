@@ -39,7 +39,7 @@ def piece_starts(a: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     starts where an ASCII letter is followed by another kind of ASCII character,
     as runs of letters are tokens of their own.
     """
-    gap = _GAP[a]
+    gap = _GAP.take(a)
     first = np.zeros(len(a), bool)
     first[text_starts] = True
     before = np.concatenate([[False], gap[:-1]]) & ~first
@@ -47,7 +47,7 @@ def piece_starts(a: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     start = gap & ~before
     alone = word & ~(before & np.concatenate([[False], a[:-1] == 0x20]))
     last = np.concatenate([word[1:] & ~first[1:], [False]]) & gap
-    inner = np.concatenate([[False], _LETTER[a[:-1]]]) & _AFTER_LETTER[a]
+    inner = np.concatenate([[False], _LETTER.take(a[:-1])]) & _AFTER_LETTER.take(a)
     return np.flatnonzero(start | alone | last | inner)
 
 
@@ -67,26 +67,32 @@ class TextEncoder:
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.mask = np.uint64((1 << slot_bits) - 1)
-        self.names = np.zeros((2, 1 << slot_bits), np.uint64)
+        # Both names and the packed ids of a slot lie side by side, so that they are fetched at once.
+        self.table = np.zeros((1 << slot_bits, 2 + _WIDTH * self.width.itemsize // 8), np.uint64)
         self.lengths = np.zeros(1 << slot_bits, np.uint8)
-        self.kept = np.zeros((1 << slot_bits, _WIDTH), self.width)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.width) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _library_ids(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces; those that are words in one call for many, as a line break before one is a token of its own."""
-        out: list[np.ndarray] = [np.zeros(0, self.width)] * len(pieces)
-        words = [i for i, p in enumerate(pieces) if len(self.newline) == 1 and not p.isspace()]
-        others = sorted(set(range(len(pieces))) - set(words))
-        for i, ids in zip(others, self._whole([pieces[i] for i in others]), strict=True):
-            out[i] = ids
-        groups = [words[k : k + 256] for k in range(0, len(words), 256)]
-        for group, ids in zip(groups, self._whole(["\n".join([pieces[i] for i in g] + [""]) for g in groups]), strict=True):
-            ends = np.flatnonzero(ids == self.newline[0])
-            for i, a, b in zip(group, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
-                out[i] = ids[a:b]
-        return out
+    def _library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has; words go in one call for many, as a line break before one is a token of its own."""
+        is_word = np.array([len(self.newline) == 1 and not p.isspace() for p in pieces], bool)
+        words, others = np.flatnonzero(is_word).tolist(), np.flatnonzero(~is_word).tolist()
+        alone = self._whole([pieces[i] for i in others])
+        joined = self._whole(["\n".join([pieces[i] for i in words[k : k + 256]] + [""]) for k in range(0, len(words), 256)])
+        ids = np.concatenate([np.zeros(0, self.width), *joined])
+        is_end = ids == self.newline[0]
+        ends = np.flatnonzero(is_end)
+        if len(ends) != len(words):
+            raise ValueError("a piece has a line break's id")
+        sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.array([len(a) for a in alone], np.int64)])
+        flat = np.concatenate([ids[~is_end], *alone])
+        if others:  # back to the order of the pieces
+            order = np.argsort(words + others)
+            at = (np.cumsum(sizes) - sizes)[order]
+            sizes = sizes[order]
+            flat = flat[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))]
+        return flat, sizes
 
     def _group(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of texts that are not empty."""
@@ -97,8 +103,9 @@ class TextEncoder:
         ends = np.append(starts[1:], len(a))
         names = byte_hashes(raw, starts, ends, _SEEDS)
         slot = (names[0] & self.mask).astype(np.int64)
-        hit = (self.names[0][slot] == names[0]) & (self.names[1][slot] == names[1]) & (ends - starts <= LONG)
-        ids, lengths = self.kept[slot], self.lengths[slot].astype(np.int64)
+        held = self.table.take(slot, axis=0)
+        hit = (held[:, 0] == names[0]) & (held[:, 1] == names[1]) & (ends - starts <= LONG)
+        ids, lengths = held[:, 2:].view(self.width), self.lengths.take(slot)
         miss = np.flatnonzero(~hit)
         long: dict[int, np.ndarray] = {}
         if len(miss):
@@ -109,18 +116,19 @@ class TextEncoder:
             which = np.empty(len(miss), np.int64)
             which[order] = np.cumsum(fresh) - 1
             at = miss[order[fresh]]
-            found = self._library_ids([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            sizes = np.array([len(f) for f in found])
-            rows = np.zeros((len(found), _WIDTH), self.width)
+            found, sizes = self._library_ids([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            rows = np.zeros((len(sizes), _WIDTH), self.width)
             short = sizes <= _WIDTH
             kept = short & (ends[at] - starts[at] <= LONG)
-            if short.any():
-                rows[short[:, None] & (np.arange(_WIDTH) < sizes[:, None])] = np.concatenate([f for f, s in zip(found, short.tolist(), strict=True) if s])
+            rows[short[:, None] & (np.arange(_WIDTH) < sizes[:, None])] = found[np.repeat(short, sizes)]
             put, into = at[kept], slot[at[kept]]
-            self.names[0][into], self.names[1][into], self.lengths[into], self.kept[into] = names[0][put], names[1][put], sizes[kept], rows[kept]
+            self.table[into] = np.concatenate([names[0][put, None], names[1][put, None], rows[kept].view(np.uint64)], axis=1)
+            self.lengths[into] = sizes[kept]
             ids[miss], lengths[miss] = rows[which], np.where(short, sizes, 0)[which]
-            long = {int(i): found[w] for i, w in zip(miss.tolist(), which.tolist(), strict=True) if not short[w]}
-        flat = ids[np.arange(_WIDTH) < lengths[:, None]]
+            after, beyond = np.cumsum(sizes), np.flatnonzero(~short[which])
+            long = {i: found[after[w] - sizes[w] : after[w]] for i, w in zip(miss[beyond].tolist(), which[beyond].tolist(), strict=True)}
+        flat = ids[np.arange(_WIDTH, dtype=np.uint8) < lengths[:, None]]
+        lengths = lengths.astype(np.int64)
         place = np.concatenate([[0], np.cumsum(lengths)])
         if long:
             where = sorted(long)
